@@ -23,11 +23,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.merges import MergeOrder
+from textloom.llm.shared import Shared, read_file
 
 #: Twice so many pieces, and words, at most are kept with their ids by each worker; the vocabulary and this bound its memory.
 MEMO = 150_000
@@ -139,32 +139,16 @@ class ByteBPE:
         return self.bytes[place], width
 
 
-_made: dict[int, ByteBPE] = {}
+def share(spark: SparkSession, rank_path: str, pattern: str) -> Shared:
+    return Shared(spark, ByteBPE, read_file(rank_path), pattern)
 
 
-def _codec(shared: Broadcast) -> ByteBPE:
-    if shared.id not in _made:
-        _made.clear()
-        _made[shared.id] = ByteBPE(*shared.value)
-    return _made[shared.id]
-
-
-def read_file(path: str) -> bytes:
-    """A vocabulary file, read on the driver (some MB at most whatever the corpus is) and sent to the workers."""
-    with open(path, "rb") as f:
-        return f.read()
-
-
-def share(spark: SparkSession, rank_path: str, pattern: str) -> Broadcast:
-    return spark.sparkContext.broadcast((read_file(rank_path), pattern))
-
-
-def encode_column(shared: Broadcast, text: Column) -> Column:
+def encode_column(shared: Shared, text: Column) -> Column:
     """array<int> of the ids of a text column."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        codec, ends, flat = _codec(shared), [0], []
+        codec, ends, flat = shared.get(), [0], []
         for t in texts:
             got = np.array(codec.encode(t.as_py() or ""), np.int32)
             flat.append(got)
@@ -174,12 +158,12 @@ def encode_column(shared: Broadcast, text: Column) -> Column:
     return ids(text)
 
 
-def decode_column(shared: Broadcast, ids: Column) -> Column:
+def decode_column(shared: Shared, ids: Column) -> Column:
     """binary of the bytes of an array<int> column; null for null."""
 
     @F.arrow_udf("binary")
     def decoded(batch: pa.Array) -> pa.Array:
-        codec, out = _codec(shared), []
+        codec, out = shared.get(), []
         offsets, values = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
         for i, there in enumerate(batch.is_valid().to_pylist()):
             out.append(codec.decode_flat(values[offsets[i] : offsets[i + 1]])[0].tobytes() if there else None)

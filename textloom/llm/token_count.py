@@ -30,12 +30,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import sentencepiece
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import Memo, read_file
+from textloom.llm.bpe import Memo
 from textloom.llm.merges import MergeOrder
+from textloom.llm.shared import Shared, read_file
 
 SPACE = "▁"
 CHUNK = 4096
@@ -147,23 +147,13 @@ class CountTransducer:
         return self.run(self.FRESH, maps[0].head)[0] + maps[0].emitted
 
 
-_made: dict[int, CountTransducer] = {}
-
-
-def _transducer(shared: Broadcast) -> CountTransducer:
-    if shared.id not in _made:
-        _made.clear()
-        _made[shared.id] = CountTransducer(shared.value)
-    return _made[shared.id]
-
-
 def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (more tokens than the limit) of each whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(read_file(model_path))
+    shared = Shared(df.sparkSession, CountTransducer, read_file(model_path))
 
     @F.arrow_udf("bigint")
     def tokens(texts: pa.Array) -> pa.Array:
-        made = _transducer(shared)
+        made = shared.get()
         return pa.array([made.count(t.as_py() or "") for t in texts], pa.int64())
 
     out = df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("n_tokens", tokens(F.col(text)))
