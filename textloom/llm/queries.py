@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, token_count
+from textloom.llm import bpe, decontam, line_dedup, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,9 +34,69 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "probed.n_lines", "probed.n_dropped", F.sha2("probed.kept", 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.col("found.items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.size("found.hits").cast("long").alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (F.size("found.hits") > 0).alias("contaminated"),
+    )
+
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+LINE_DEDUP_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (SELECT *, translate(trim(line, {BLANKS}), {AZ}) AS k FROM lines),
+frequent AS (
+  SELECT k, max(doc_id) AS last_id FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT l.doc_id, l.line, l.pos, f.k IS NOT NULL AND l.doc_id <> f.last_id AS dropped
+  FROM keyed l LEFT JOIN frequent f ON l.k = f.k)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+TEXT_WORDS = "regexp_extract_all(translate(coalesce(text, ''), " + AZ + "), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {TEXT_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {TEXT_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS k
+  FROM (SELECT d.doc_id, d.w, s.n, unnest(range(1, CAST(len(d.w) - s.n + 2 AS BIGINT))) AS p FROM d, sizes s WHERE len(d.w) >= s.n)),
+found AS (SELECT doc_id, p, dw.n, item_id FROM doc_windows dw JOIN item_windows iw ON dw.n = iw.n AND dw.k = iw.k),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count}
+    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op8_decontamination": DECONTAMINATION_SQL}
