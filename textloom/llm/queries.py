@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontam, line_dedup, token_count
+from textloom.llm import bpe, decontam, line_dedup, quality_rules, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.rate_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *(f"rated.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -94,9 +99,37 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+STOP_LIST = ", ".join("'" + w + "'" for w in quality_rules.STOP_WORDS)
+
+QUALITY_RULES_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+spots AS (SELECT doc_id, p, array_to_string(w[p : p + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM spots) WHERE c > 1),
+again AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(w, lambda x: x IN ({STOP_LIST}))) AS n_stop,
+         len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_shout,
+         len(list_filter(w, lambda x, i: i > 1 AND w[greatest(i - 1, 1)] = x)) AS n_echo
+  FROM d LEFT JOIN again USING (doc_id)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(greatest(n_words, 1) AS DOUBLE) AS n FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n >= 2.0 AND word_chars / n <= 14.0 AND n_symbols / n <= 0.2 AND n_shout / n <= 0.5
+       AND n_stop / n >= 0.04 AND n_echo / n <= 0.3 AND (n_lines < 8 OR n_dup_lines / CAST(n_lines AS DOUBLE) <= 0.5) AS kept
+FROM based"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op8_decontamination": op8_decontamination}
+    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op6_quality_rules": op6_quality_rules, "op8_decontamination": op8_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_RULES_SQL, "op8_decontamination": DECONTAMINATION_SQL}
