@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontam, line_dedup, quality_rules, token_count
+from textloom.llm import bpe, chat, decontam, line_dedup, quality_rules, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,56 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"rated.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what the windows hold. A digest needs a conversation's text in one row; the windows themselves don't."""
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    turns = chat.read_turns(F.expr("substr(text, new_from + 1)"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    windows = chat.format_windows(rows).select(
+        "conv_id", "block", "window", F.size(turns).cast("long").alias("n"), said.alias("said"), chat.read_loss(F.col("text"), F.col("loss_spans")).alias("loss"), F.length("text").cast("long").alias("size")
+    )
+    whole = windows.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("size").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("block", "window", "said", "loss"))).alias("parts"))
+    joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"), F.length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars"
+    )
+
+
+#: What both turns of conversation -7 say.
+PLANTED = "\\### Assistant: </turn> ok"
+
+CHAT_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+s AS (
+  SELECT *, '<|' || replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '|', '\\p') || '|>' || replace(replace(text, '\\', '\\b'), '<', '\\l') || '<|end|>' || chr(10) AS seg FROM c),
+t AS (
+  SELECT *, CAST(ceil(strlen(seg) / 4.0) AS BIGINT) AS cost, turn // {chat.BLOCK} AS block,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM s),
+sys AS (SELECT conv_id, turn AS sys_turn, seg AS sys_seg, cost AS sys_cost FROM t WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i) = 1),
+r AS (SELECT t.*, {chat.BUDGET} - {chat.HISTORY} - coalesce(sys_cost, 0) AS room FROM t LEFT JOIN sys USING (conv_id)),
+w AS (
+  SELECT conv_id, i, block, cost AS used, CAST(1 AS BIGINT) AS win FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.conv_id, r.i, r.block, CASE WHEN r.block <> w.block OR w.used + r.cost > greatest(r.room, 1) THEN r.cost ELSE w.used + r.cost END,
+         CASE WHEN r.block <> w.block OR w.used + r.cost > greatest(r.room, 1) THEN w.win + 1 ELSE w.win END
+  FROM w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i + 1),
+starts AS (SELECT w.conv_id, win, min(w.i) AS i, min(t.turn) AS turn FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i GROUP BY w.conv_id, win),
+hist AS (
+  SELECT a.conv_id, a.win, t.turn, t.seg, sum(t.cost) OVER (PARTITION BY a.conv_id, a.win ORDER BY t.i DESC) AS back
+  FROM starts a JOIN t ON t.conv_id = a.conv_id AND t.i < a.i AND t.turn >= a.turn - {chat.HISTORY_TURNS}),
+rep AS (SELECT conv_id, win, min(turn) AS turn, sum(length(seg)) AS size FROM hist WHERE back <= {chat.HISTORY} GROUP BY conv_id, win),
+extra AS (
+  SELECT a.conv_id, sum(coalesce(rep.size, 0) + CASE WHEN sys_turn < coalesce(rep.turn, a.turn) THEN length(sys_seg) ELSE 0 END) AS size
+  FROM starts a LEFT JOIN rep ON rep.conv_id = a.conv_id AND rep.win = a.win LEFT JOIN sys ON sys.conv_id = a.conv_id GROUP BY a.conv_id),
+whole AS (
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(length(seg)) AS size FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(whole.size + extra.size AS BIGINT) AS formatted_chars
+FROM whole JOIN extra USING (conv_id)"""
+
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -128,8 +178,8 @@ FROM based"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op6_quality_rules": op6_quality_rules, "op8_decontamination": op8_decontamination}
+    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op6_quality_rules": op6_quality_rules, "op8_decontamination": op8_decontamination, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_RULES_SQL, "op8_decontamination": DECONTAMINATION_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_RULES_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL}
