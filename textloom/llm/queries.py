@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, decontam, line_dedup, quality_rules, token_count
+from textloom.llm import bpe, chat, decontam, line_dedup, ngram_join, quality_rules, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "probed.n_lines", "probed.n_dropped", F.sha2("probed.kept", 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -149,6 +153,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+NGRAM_JACCARD_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {AZ}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) END AS g FROM w),
+cls AS (SELECT g, len(g) AS n, min(doc_id) AS rep FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT rep, n, unnest(g) AS x FROM cls),
+pairs AS (SELECT a.rep AS u, b.rep AS v, a.n + b.n AS total, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+links AS (SELECT u, v FROM pairs WHERE 100 * c >= 90 * (total - c) UNION ALL SELECT v, u FROM pairs WHERE 100 * c >= 90 * (total - c)),
+reach AS (SELECT rep AS node, rep AS r FROM cls UNION SELECT reach.node, links.v FROM reach JOIN links ON reach.r = links.u),
+comp AS (SELECT node, min(r) AS c FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(comp.c, s.doc_id) AS component_id
+FROM s LEFT JOIN cls ON s.g = cls.g LEFT JOIN comp ON comp.node = cls.rep"""
+
 STOP_LIST = ", ".join("'" + w + "'" for w in quality_rules.STOP_WORDS)
 
 QUALITY_RULES_SQL = f"""
@@ -178,8 +197,8 @@ FROM based"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op6_quality_rules": op6_quality_rules, "op8_decontamination": op8_decontamination, "op10_chat_format": op10_chat_format}
+    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op6_quality_rules": op6_quality_rules, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_decontamination": op8_decontamination, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_RULES_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_RULES_SQL, "op7_ngram_jaccard": NGRAM_JACCARD_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL}
