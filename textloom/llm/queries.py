@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, decontam, line_dedup, ngram_join, quality_rules, token_count
+from textloom.llm import bpe, chat, decontam, language_id, line_dedup, ngram_join, quality_rules, quality_svm, token_count, toxicity
+from textloom.llm.features import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,26 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = fold(F.col("doc_id"), 5)
+    out = quality_svm.score_quality(docs, table(spark, sf_dir, "labels"), place != 0)
+    return out.select("doc_id", (place == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    place = fold(F.col("doc_id"), 4)
+    return language_id.identify_language(docs, place != 2).select("doc_id", (place == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = fold(F.col("doc_id"), 5)
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), place != 0)
+    return out.select("doc_id", (place == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -197,8 +218,16 @@ FROM based"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_token_count": op4_token_count, "op6_quality_rules": op6_quality_rules, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_decontamination": op8_decontamination, "op10_chat_format": op10_chat_format}
+    found = (op1_line_dedup, op2_byte_bpe, op3_quality_svm, op4_token_count, op5_language_id, op6_quality_rules, op7_ngram_jaccard, op8_decontamination, op9_toxicity, op10_chat_format)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": QUALITY_RULES_SQL, "op7_ngram_jaccard": NGRAM_JACCARD_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL}
+    """Tokenizers and trained models have none; they are tested against libraries and held-out rows."""
+    return {
+        "op1_line_dedup": LINE_DEDUP_SQL,
+        "op6_quality_rules": QUALITY_RULES_SQL,
+        "op7_ngram_jaccard": NGRAM_JACCARD_SQL,
+        "op8_decontamination": DECONTAMINATION_SQL,
+        "op10_chat_format": CHAT_SQL,
+    }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +25,10 @@ class Shared:
             while len(_made) >= KEEP:
                 _made.pop(next(iter(_made)))
             _made[self.key] = self.make(*self.args.value)
+            # tables and memos hold many objects and no cycles: without this, the collector walks them again and again
+            gc.collect()
+            gc.freeze()
+            gc.set_threshold(1_000_000, 50, 1000)
         return _made[self.key]
 
 
