@@ -1 +1 @@
-"""operators."""
+"""DataFrame operators: correction, coverage gates, layout, turns and alignment, images, catalog."""
