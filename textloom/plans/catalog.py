@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from textloom.plans import pages, texts
+
 
 def queries() -> dict:
-    return {}
+    return {**texts.QUERIES, **pages.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**texts.SQL, **pages.SQL}

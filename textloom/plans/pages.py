@@ -1,0 +1,195 @@
+"""Queries over pages, and over tables that stand in for catalogs, hot-word lists and time lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import html as H
+from textloom.functions import text as T
+from textloom.operators import catalog, images, turns
+from textloom.plans.tables import registry, table
+
+QUERIES, SQL, query = registry()
+
+UNESCAPE_SQL = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+def pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages")
+
+
+@query(f"SELECT page_id, length({UNESCAPE_SQL.format('html')})::INTEGER AS n_chars, sha256({UNESCAPE_SQL.format('html')}) AS text_sha256 FROM pages")
+def html_unescape(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", T.unescape(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
+def html_title(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS h1 FROM pages")
+def html_h1(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.coalesce(H.clean(H.first_heading(F.col("html"))), F.lit("")).alias("h1"))
+
+
+@query("SELECT page_id, count(*) AS n_links, min(href) AS first_href, max(href) AS last_href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY page_id")
+def html_links(spark, sf_dir):
+    links = pages(spark, sf_dir).select("page_id", F.explode(T.found_all(F.col("html"), r'<a\s[^>]*?href="([^"]*)"', 1)).alias("href"))
+    return links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.min("href").alias("first_href"), F.max("href").alias("last_href"))
+
+
+STRIPPED_SQL = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+
+
+@query(f"SELECT page_id, sha256(trim(regexp_replace({UNESCAPE_SQL.format(STRIPPED_SQL)}, '\\s+', ' ', 'g'))) AS text_sha256 FROM pages")
+def html_text(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.sha2(T.collapse(H.strip_tags(F.col("html"))), 256).alias("text_sha256"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?s)<h1[^>]*>.*?</h1>'))::BIGINT AS n_h1 FROM pages")
+def html_blocks(spark, sf_dir):
+    blocks = pages(spark, sf_dir).select("page_id", F.explode_outer(H.events(F.col("html"))).alias("e"))
+    return blocks.groupBy("page_id").agg(F.count_if(F.col("e.raw").startswith("<h1")).alias("n_h1"))
+
+
+@query("""
+WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages)
+SELECT page_id, host, trim(regexp_replace(replace(regexp_replace(host, '\\.[^.]*$', ''), '.', '-'), '[^a-z0-9-]+', '-', 'g'), '-') AS source_slug FROM h""")
+def url_publication(spark, sf_dir):
+    out = H.with_publication(pages(spark, sf_dir).select("page_id", "url"), H.slug_table(spark))
+    return out.select("page_id", "host", "source_slug")
+
+
+@query("""
+SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title,
+       CAST(NULL AS VARCHAR) AS author, url AS canonical FROM pages""")
+def meta_chain(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", H.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.title", "m.author", "m.canonical")
+
+
+SNIPPETS = [
+    (1, "https://www.paulgraham.com/x.html", "<title>Essay</title><body>July 2024 and more</body>"),
+    (2, "https://a.b.example.org/2023/04/05/x", "<title> A\n b </title>"),
+    (3, "https://example.org/x", """<meta property="article:published_time" content="2022-01-02T03:04:05Z"><meta content="it's" name="author">"""),
+    (4, "https://example.org/x", """<script type="application/ld+json">{"@graph":[{"dateModified":"2021-05-06"}],"datePublished":"2020-01-01","headline":"T","author":[{"name":"N"}]}</script>"""),
+    (5, "https://example.org/x", "<time datetime='soon'></time><time datetime='20200102'></time>"),
+    (6, "https://example.org/x", "".join(f"<img src='/wp-content/uploads/{m}/a.png'>" for m in ("2019/03", "2019/04", "2019/04", "2019/04"))),
+    (7, "https://www.youtube.com/watch?v=1", "<title>Video</title>"),
+    (8, "https://example.org/x", "<meta name='pubdate' content='2018/07/08'><link rel='canonical' href='https://c.example.org/'>"),
+]
+
+
+@query()
+def meta_strategies(spark, sf_dir):
+    """Each date strategy once, on constant pages."""
+    rows = spark.createDataFrame(SNIPPETS, "id int, url string, html string")
+    return rows.select("id", H.metadata(F.col("html"), F.col("url")).alias("m")).select("id", "m.*")
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN event_id END AS mark FROM events)
+SELECT user_id, event_id, last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS anchor FROM e""")
+def anchor_fill(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    mark = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return images.fill_forward(events, ["user_id"], ["ts", "event_id"], mark, "anchor").select("user_id", "event_id", "anchor")
+
+
+ARTICLE = """<article><a class="image-link" href="https://c.org/images%2Fabcdef12-1_x.png"><img src="https://c.org/s.png"></a><p>First block</p>
+<img alt="Chart of growth" src="https://c.org/aaaabbbb1.png"><img src="https://c.org/avatar.png"><h2>Second</h2><img src="data:x"><img src="https://c.org/aaaabbbb1.png"></article>"""
+
+
+@query()
+def img_anchor(spark, sf_dir):
+    docs = spark.createDataFrame([(1, ARTICLE)], "doc_id int, html string")
+    blocks = spark.createDataFrame([(1, 0, "First block"), (1, 1, "Second")], "doc_id int, block_no int, text string")
+    return images.anchor_images(docs, blocks)
+
+
+@query("""
+WITH c AS (SELECT d AS chapter, CAST(epoch(TIMESTAMP '2024-01-02' + to_days(CAST(d AS INTEGER))) AS DOUBLE) AS s FROM range(0, 28) t(d)),
+e AS (SELECT event_id, epoch(ts) AS t FROM events)
+SELECT chapter, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, max(chapter) AS chapter FROM e JOIN c ON c.s <= e.t GROUP BY event_id) GROUP BY chapter""")
+def chapter_bucket(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.lit(1).alias("doc_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("sec", F.col("us") / 1e6)
+    starts = spark.range(28).select(F.lit(1).alias("doc_id"), F.col("id").alias("chapter_no"), (F.unix_seconds(F.lit("2024-01-02 00:00:00").cast("timestamp")) + F.col("id") * 86400).cast("double").alias("start_sec"))
+    # one time line for each day, so that no task gets all events; a day is a chapter's length
+    day = lambda c: F.floor(F.col(c) / 86400).cast("int")
+    own = turns.chapters_of(events.withColumn("doc_id", day("sec")), starts.withColumn("doc_id", day("start_sec")).unionByName(starts.where("chapter_no = 27").withColumn("doc_id", F.explode(F.sequence(day("start_sec") + 1, day("start_sec") + 4)))))
+    return own.groupBy(F.col("chapter.chapter_no").alias("chapter")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+TOPICS = {"greetings": ["that", "this"], "motion": ["ing", "tion"], "places": ["there", "here", "where"], "numbers": ["one", "two", "ten"], "law": ["license", "copyright"]}
+TOPIC_SQL = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{t}' AS topic, {' + '.join(f'contains(l, {chr(39)}{w}{chr(39)})::INTEGER' for w in ws)} AS score FROM l" for i, (t, ws) in enumerate(TOPICS.items()))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, lower(coalesce(text, '')) AS l FROM documents), s AS ({TOPIC_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS k FROM s WHERE score > 0)
+SELECT doc_id, coalesce(string_agg(topic, ',' ORDER BY k) FILTER (k <= 3), '') AS tags FROM (SELECT doc_id FROM l) LEFT JOIN r USING (doc_id) GROUP BY doc_id""")
+def infer_tags(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(catalog.topic_tags(F.coalesce("text", F.lit("")), TOPICS), ",").alias("tags"))
+
+
+@query("""
+WITH f AS (SELECT user_id, CAST(min(ts) AS DATE) AS d FROM events GROUP BY user_id)
+SELECT user_id, strftime(CASE WHEN user_id % 3 = 0 THEN DATE '2023-12-31' ELSE d END, '%Y-%m-%d') AS added FROM f""")
+def manifest_merge(spark, sf_dir):
+    entries = table(spark, sf_dir, "events").groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("d"))
+    known = entries.where("user_id % 3 = 0").select("user_id", F.lit("2023-12-31").alias("added"))
+    return catalog.merge_manifest(entries, known, F.col("d"), "user_id")[1]
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS k FROM orders),
+s AS (SELECT *, coalesce(y <> lag(y) OVER (PARTITION BY o_custkey ORDER BY k), true) AS new_year FROM o)
+SELECT o_custkey, count(*) FILTER (new_year) AS n_years, count(*) AS n FROM s GROUP BY o_custkey""")
+def year_separators(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.col("o_orderkey").alias("scan_no"))
+    return catalog.year_separators(orders, ["o_custkey"]).groupBy("o_custkey").agg(F.count_if("new_year").alias("n_years"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS tag, count(*) AS n FROM events GROUP BY event_type")
+def tag_counts(spark, sf_dir):
+    return catalog.tag_counts(table(spark, sf_dir, "events").select(F.col("event_id").alias("scan_no"), F.array("event_type").alias("tags"))).select("tag", "n")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_name = '' THEN 'empty' WHEN strlen(p_name) > 30 THEN 'bytes' WHEN NOT p_size BETWEEN 1 AND 10 THEN 'weight'
+       WHEN regexp_matches(p_name, '[^\\pL\\pN\\s]') THEN 'symbol' END AS fault, regexp_matches(p_name, '[0-9]') AS warned FROM part""")
+def hotword_validate(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", catalog.hotword_fault(F.col("p_name"), F.col("p_size")).alias("fault"), catalog.hotword_warning(F.col("p_name")).alias("warned"))
+
+
+HOTWORDS_SQL = "SELECT p_name AS word, arg_min(p_size, p_partkey) AS weight, min(p_partkey) AS ord FROM part WHERE p_partkey % 2 = {0} GROUP BY p_name"
+
+
+def hotwords(spark, sf_dir, half: int):
+    lines = table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == half).select(F.col("p_partkey").alias("ord"), F.concat_ws("|", "p_name", F.col("p_size").cast("string")).alias("value"))
+    return catalog.parse_hotwords(lines)
+
+
+@query(f"""
+WITH t AS ({HOTWORDS_SQL.format(0)}), n AS ({HOTWORDS_SQL.format(1)})
+SELECT word, CAST(weight AS INTEGER) AS weight FROM t UNION ALL SELECT word, CAST(weight AS INTEGER) FROM n WHERE word NOT IN (SELECT word FROM t)""")
+def hotword_add(spark, sf_dir):
+    return catalog.hotword_add(hotwords(spark, sf_dir, 0), hotwords(spark, sf_dir, 1)).select("word", "weight")
+
+
+@query(f"WITH t AS ({HOTWORDS_SQL.format(0)}), n AS ({HOTWORDS_SQL.format(1)}) SELECT word, CAST(weight AS INTEGER) AS weight FROM t WHERE word NOT IN (SELECT word FROM n)")
+def hotword_delete(spark, sf_dir):
+    return catalog.hotword_delete(hotwords(spark, sf_dir, 0), hotwords(spark, sf_dir, 1)).select("word", "weight")
+
+
+NAMES = ["2024-01-02_naval_on-wealth.html", "2024-01-02_naval_On Wealth.html", "index.html", "2024-1-2_x_y.html", "2023-12-31_y-combinator_a_b.html"]
+
+
+@query(f"""
+WITH n(name) AS (VALUES {", ".join(f"('{x}')" for x in NAMES)})
+SELECT name, nullif(regexp_extract(name, '{T.FILENAME}', 1), '') AS date, nullif(regexp_extract(name, '{T.FILENAME}', 2), '') AS source,
+       nullif(regexp_extract(name, '{T.FILENAME}', 3), '') AS rest, name = lower(name) AS lower_case FROM n""")
+def filename_parse(spark, sf_dir):
+    names = spark.createDataFrame([(x,) for x in NAMES], "name string")
+    return names.select("name", T.parse_filename(F.col("name")).alias("f"), T.lint_filename(F.col("name"))["lower"].alias("lower_case")).select("name", "f.date", "f.source", "f.rest", "lower_case")
