@@ -50,7 +50,7 @@ def parse_entries(pages: DataFrame, path: str = "path", html: str = "html") -> D
     own = own.withColumn("__f", parse_filename(name)).where("__f is not null")
     heading = F.coalesce(F.nullif(first_heading(F.col(html)), F.lit("")), F.initcap(F.replace(F.col("__f.rest"), F.lit("-"), F.lit(" "))))
     zh, eyebrow = field(F.col(html), "zh-title"), field(F.col(html), "eyebrow")
-    explicit = F.transform(F.split(meta_content(F.col(html), "name", "tags"), ","), F.trim)
+    explicit = F.transform(F.split(meta_content(F.col(html), "name", "tags"), ","), lambda x: F.trim(x))
     inferred = infer_tags(F.concat_ws(" ", clean(heading), zh, eyebrow), F.col("__f.source"))
     return own.select(
         F.col(path).alias("href"), F.col("__f.date").alias("iso"), F.col("__f.source").alias("source"), heading.alias("title"), zh.alias("zh"), eyebrow.alias("eyebrow"),

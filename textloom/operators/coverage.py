@@ -114,12 +114,12 @@ def latin_terms(text: Column) -> Column:
 
 def audit(df: DataFrame, raw: str = "raw", clean: str = "clean", report_most: int = 40) -> DataFrame:
     """Adds missing numbers (hard gate), years and Latin terms (soft), ratio and status; lists are cut for the report only."""
-    src, out, low = source_values(F.col(raw)), target_values(F.col(clean)), F.lower(clean)
+    src, out = source_values(F.col(raw)), target_values(F.col(clean))
     df = df.withColumn("__src", src).withColumn("__out", out).withColumn("__latin", latin_terms(F.col(raw)))
     # terms that occur twice stand side by side once sorted
     twice = let(F.sort_array("__latin"), lambda s: F.array_distinct(F.filter(s, lambda t, i: F.coalesce(F.get(s, i + 1) == t, F.lit(False)))))
     df = df.withColumn("missing_values", F.array_sort(F.array_except("__src", "__out"))).withColumn("missing_years", F.array_sort(F.array_except(year_values(F.col(raw)), "__out")))
-    df = df.withColumn("missing_latin", F.array_sort(F.filter(twice, lambda t: ~F.contains(low, t))))
+    df = df.withColumn("missing_latin", let(F.lower(clean), lambda low: F.array_sort(F.filter(twice, lambda t: ~F.contains(low, t)))))
     df = df.withColumn("missing_ratio", F.when(F.size("__src") > 0, F.size("missing_values") / F.size("__src")).otherwise(0.0)).withColumn("status", F.when(F.col("missing_ratio") > TOLERANCE, 1).otherwise(0))
     for c in ("missing_values", "missing_years", "missing_latin"):
         df = df.withColumn(f"{c}_shown", F.slice(c, 1, report_most))

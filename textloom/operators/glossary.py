@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import CJK_KEYS, nonempty, replace_each
+from textloom.functions.text import CJK_KEYS, let, nonempty, replace_each
 
 #: Keys that a pattern may have.
 MOST_KEYS = 20_000
@@ -23,7 +23,7 @@ def parse_entries(lines: DataFrame, line: str = "value", ord_: str = "ord") -> D
     own = F.trim(line)
     parts = F.split(own, r"\|")
     part = lambda k: F.trim(F.coalesce(F.get(parts, F.lit(k)), F.lit("")))
-    rows = lines.where((own != "") & ~own.startswith("#")).select(F.col(ord_).alias("ord"), part(0).alias("term"), part(1).alias("weight"), nonempty(F.transform(F.split(part(2), ","), F.trim)).alias("variants"))
+    rows = lines.where((own != "") & ~own.startswith("#")).select(F.col(ord_).alias("ord"), part(0).alias("term"), part(1).alias("weight"), nonempty(F.transform(F.split(part(2), ","), lambda x: F.trim(x))).alias("variants"))
     return rows.where("term <> ''")
 
 
@@ -117,8 +117,8 @@ def scan_terms(docs: DataFrame, entries: DataFrame, text: str = "text", id_: str
     if not got:
         return docs.select(id_, F.lit("").alias("term")).where("false")
     known = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["key"]).alias("key")) for r in got])
-    low = docs.select(id_, F.lower(text).alias("__low"))
-    return low.select(id_, F.explode(F.array_distinct(F.transform(F.filter(known, lambda k: F.contains(F.col("__low"), k["key"])), lambda k: k["term"]))).alias("term"))
+    hits = let(F.lower(text), lambda low: F.array_distinct(F.transform(F.filter(known, lambda k: F.contains(low, k["key"])), lambda k: k["term"])))
+    return docs.select(id_, F.explode(hits).alias("term"))
 
 
 def normalize_names(names: Column) -> Column:
@@ -127,7 +127,7 @@ def normalize_names(names: Column) -> Column:
         is_object = js.startswith("{")
         term = F.trim(F.when(is_object, F.get_json_object(js, "$.term")).otherwise(js))
         seen = F.when(is_object, F.from_json(F.get_json_object(js, "$.seen_as"), "array<string>"))
-        return F.struct(term.alias("term"), F.coalesce(nonempty(F.transform(seen, F.trim)), F.array().cast("array<string>")).alias("seen_as"))
+        return F.struct(term.alias("term"), F.coalesce(nonempty(F.transform(seen, lambda x: F.trim(x))), F.array().cast("array<string>")).alias("seen_as"))
 
     return F.filter(F.transform(F.from_json(names, "array<string>"), one), lambda x: x["term"] != "")
 

@@ -63,7 +63,7 @@ def added_ratio(spark, sf_dir):
 
 
 def line_windows(spark, sf_dir, size: int) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", T.nonempty(F.transform(F.split("text", "\n"), F.trim)).alias("ls"))
+    docs = documents(spark, sf_dir).select("doc_id", T.nonempty(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("ls"))
     return docs.select("doc_id", F.posexplode(T.windows(F.col("ls"), size)).alias("window", "ls"))
 
 

@@ -15,10 +15,10 @@ AUDIO = ["m4a", "mp3", "aac", "webm", "ogg"]
 
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, text) of whole files."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
