@@ -1,7 +1,7 @@
 """Every query of the catalog against its SQL; those without SQL run."""
 
 import pytest
-from conftest import rows, sql_rows
+from compare import rows, sql_rows
 
 from textloom.plans import catalog
 
