@@ -19,7 +19,7 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     """(id, text, label) of the documents with a label. Labels are broadcast only up to a checked number."""
     labels = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
     side = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
-    return docs.join(side, F.col(doc_id) == F.col("__id")).select(F.col("__id").alias("id"), F.col(text).alias("text"), "label")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(side, F.col("id") == F.col("__id")).drop("__id")
 
 
 def bounded(labels: DataFrame, most: int) -> DataFrame:

@@ -176,9 +176,11 @@ def _probe_shards(docs: DataFrame, shards: DataFrame, n_shards: int, group_probe
 
     probes = docs.select("__row", F.col(doc_id).cast("long"), F.col(text)).mapInArrow(hashed, "row long, id long, line int, hi long, lo long")
     probes = probes.withColumn("shard", F.pmod("lo", F.lit(n_shards)).cast("int"))
-    sizes = probes.groupBy("shard").agg((F.ceil(F.count("*") / group_probes)).cast("int").alias("salts"))
-    salted = probes.join(F.broadcast(sizes) if n_shards < 10_000 else sizes, "shard").withColumn("salt", F.pmod(F.xxhash64("row", "line"), F.col("salts")).cast("int"))
-    copies = shards.join(sizes, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    sizes = store(probes.groupBy("shard").agg((F.ceil(F.count("*") / group_probes)).cast("int").alias("salts")))  # a row for each shard
+    own, other = (sizes.select(F.col("shard").alias(f"{x}_shard"), F.col("salts").alias(f"{x}_salts")) for x in "ab")
+    salted = probes.join(F.broadcast(own) if n_shards < 10_000 else own, F.col("shard") == F.col("a_shard"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("row", "line"), F.col("a_salts")).cast("int")).select("shard", "salt", "row", "id", "line", "hi", "lo")
+    copies = shards.join(other, F.col("shard") == F.col("b_shard")).select("shard", F.explode(F.sequence(F.lit(0), F.col("b_salts") - 1)).alias("salt"), "data")
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
