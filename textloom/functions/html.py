@@ -283,3 +283,19 @@ def image_name(number: Column, alt: Column, extension: Column) -> Column:
 
 def accept_download(rc: Column, size: Column, content_type: Column, url: Column) -> Column:
     return (rc == 0) & (size > 0) & (content_type.startswith("image/") | F.lower(url).endswith(".svg"))
+
+
+def image_size(content: Column) -> Column:
+    """Struct of w and h in pixels from the first bytes of PNG and GIF files and the attributes of SVG; 0 and 0 if unknown."""
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
+    swapped = lambda at: F.conv(F.concat(F.hex(F.substring(content, at + 1, 1)), F.hex(F.substring(content, at, 1))), 16, 10).cast("int")
+    svg = F.left(F.decode(content, "ISO-8859-1"), F.lit(2000))
+    box = F.split(found(svg, r"""(?i)viewBox=["']([^"']+)["']"""), r"[\s,]+")
+    attr = lambda name: found(svg, rf"""(?i)<svg[^>]*\b{name}=["'](\d+)""").try_cast("int")
+    side = lambda k, name, default: F.coalesce(F.get(box, F.lit(k)).try_cast("double").cast("int"), attr(name), F.lit(default))
+    return (
+        F.when(F.hex(F.substring(content, 1, 4)) == "89504E47", F.struct(number(17, 4).alias("w"), number(21, 4).alias("h")))
+        .when(F.hex(F.substring(content, 1, 4)) == "47494638", F.struct(swapped(7).alias("w"), swapped(9).alias("h")))
+        .when(svg.rlike("(?i)<svg"), F.struct(side(2, "width", 1200).alias("w"), side(3, "height", 600).alias("h")))
+        .otherwise(F.struct(F.lit(0).alias("w"), F.lit(0).alias("h")))
+    )

@@ -151,3 +151,11 @@ def first_places(words: DataFrame, phrases: DataFrame, n: int = 4, id_: str = "d
     grams = words.select(id_, "pos", F.concat_ws(" ", *[F.col("word") if k == 0 else F.lead("word", k).over(w) for k in range(n)]).alias("gram"), F.lead("word", n - 1).over(w).isNotNull().alias("whole")).where("whole")
     first = grams.groupBy(id_, "gram").agg(F.min("pos").alias("pos"))
     return phrases.join(first, [id_, "gram"], "left")
+
+
+def with_stamps(turns: DataFrame, times: DataFrame, id_: str = "doc_id", turn: str = "turn_no") -> DataFrame:
+    """Turns with the stamp (HH:MM:SS) at which they were found, null for none; a stamp from before is replaced."""
+    from textloom.functions.text import to_stamp
+
+    own = times.select(id_, turn, F.when(F.col("start_sec").isNotNull(), to_stamp(F.col("start_sec"))).alias("stamp"))
+    return turns.drop("stamp").join(own, [id_, turn], "left")
