@@ -239,6 +239,7 @@ def anchor_key(text: Column) -> Column:
     return F.left(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(45))
 
 
+# fixed values: image links, images and text blocks
 EVENT = r'<a\b[^>]*class="[^"]*image-link[^"]*"[^>]*>|<img\b[^>]*>|(?s:<(h[1-6]|p|blockquote|li|figcaption)[^>]*>(.*?)</\1>)'
 
 

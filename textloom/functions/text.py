@@ -223,7 +223,7 @@ def find_org_name(text: Column) -> Column:
     return F.trim(found(text, r"(?im)^.{2,40}?(研究部|研究所|研究院|证券|Research|Capital|Institute)\s*$", 0))
 
 
-#: date_source_rest.html
+# fixed values: date_source_rest.html
 FILENAME = r"^(\d{4}-\d{2}-\d{2})_([^_]+)_(.+)\.html$"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions.python import numerals
 from textloom.functions.text import found_all, let, norm_words
 
+# fixed values: the gates
 GATE, ADDED, TOLERANCE = 0.98, 0.05, 0.0
 
 # fixed values

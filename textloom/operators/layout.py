@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import find_cover_date, find_org_name, fold_lines, is_junk_title, norm_running, parse_pdf_date, slugify, strip_zero_width
 
 PAGE = ["doc_id", "page"]
+# fixed values: shares, ratios and sizes in points
 TEXT_CHARS, TEXT_RATIO, SCAN_RATIO = 50, 0.8, 0.2
 BAND, REPEATED, MIN_PAGES = 0.08, 0.6, 4
 WIDE, PER_COLUMN, GUTTER = 0.40, 3, 8.0

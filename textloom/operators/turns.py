@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import found, nonempty, norm_words, split_sentences, to_seconds, unescape
 
+# fixed values: the header line of a turn
 HEADER = r"^\**\s*Speaker\s+(\d+)\s+(\d{1,2}:\d{2}:\d{2})(?:\.\d+)?\s*\**\s*(.*)$"
 
 
