@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
-from itertools import chain
+import struct
 
 import ahocorasick
 import numpy as np
@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from textloom.llm.merges import MergeOrder
 from textloom.llm.shared import Shared, read_file
 
-#: Twice so many pieces, and words, at most are kept with their ids by each worker; the vocabulary and this bound its memory.
-MEMO = 150_000
-#: Space beside other white space: there a border between pieces need not be where the words are split.
-UNEVEN = re.compile(r"\s | \s|^ | $").search
+#: Twice so many words, and pieces, at most are kept with their ids by each worker; the vocabulary and this bound its memory.
+WORDS, PIECES = 150_000, 30_000
+#: Longer keys are not kept.
+LONGEST = 64
+#: White space other than spaces and line breaks.
+RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
 class Memo:
-    """A bounded memo of two generations: what is still asked for moves to the younger one."""
+    """A bounded memo of strings in two generations: what is still asked for moves to the younger one."""
 
     def __init__(self, make, most: int):
         self.make, self.most, self.young, self.old = make, most, {}, {}
@@ -45,6 +47,8 @@ class Memo:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+            if len(key) > LONGEST:
+                return found
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[key] = found
@@ -59,12 +63,14 @@ class ByteBPE:
         self.text = {i: s for s, i in self.ids.items()}
         self.order = MergeOrder(self.ids)
         self.pieces = regex.compile(pattern).findall
+        self.pack = lambda ids: struct.pack(f"{len(ids)}i", *ids)
         self.index = ahocorasick.Automaton()
         for s in self.ids:
-            self.index.add_word(s, s)
+            if len(s) > 1:  # single bytes are all tokens, and are found without the index
+                self.index.add_word(s, (len(s) - 1, s))
         self.index.make_automaton()
-        self.by_piece = Memo(self.piece_ids, MEMO)
-        self.by_word = Memo(self.word_ids, MEMO)
+        self.by_piece = Memo(self.piece_ids, PIECES)
+        self.by_word = Memo(self.word_ids, WORDS)
         self.cut: dict[str, str | None] = {}
         size = max(self.text) + 1
         parts = [self.text.get(i, "").encode("latin-1") for i in range(size)]
@@ -82,53 +88,60 @@ class ByteBPE:
         """The tokens of one piece, whose bytes are given as Latin-1 characters."""
         if piece in self.ids:
             return [piece]
-        longest = [""] * len(piece)
-        for end, token in self.index.iter(piece):
-            longest[end + 1 - len(token)] = token  # ends ascend: the last one is the longest
-        known, apart, out, at, dead = self.order.known, self.order.apart, [], 0, set()
+        longest = list(piece)
+        for end, (back, token) in self.index.iter(piece):
+            longest[end - back] = token  # ends ascend: the last one is the longest
+        known, apart, shorter, size = self.order.known, self.order.apart, self.cut, len(piece)
+        out, at, dead, before = [], 0, set(), ""
         token: str | None = longest[0]
         while True:
+            row = known.get(before) or {}
             while token is not None:
                 end = at + len(token)
-                if end not in dead:
-                    if not out:
-                        if self.order.reachable(token):
-                            break
-                    elif (fit := known.get((out[-1], token))) or fit is None and apart(out[-1], token):
-                        break
-                token = self.shorter(token)
+                if end not in dead and ((fit := row.get(token)) or fit is None and apart(before, token)):
+                    break
+                token = shorter[token] if token in shorter else self.shorter(token)
             if token is None:  # nothing fits here: take the token before it back and shorten that
                 dead.add(at)
                 token = out.pop()
                 at -= len(token)
+                before = out[-1] if out else ""
                 continue
             out.append(token)
-            at = end
-            if at == len(piece):
+            if end == size:
                 return out
+            at, before = end, token
             token = longest[at]
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        return tuple([self.ids[t] for t in self.tokens(piece.encode().decode("latin-1"))])
+    def piece_ids(self, piece: str) -> bytes:
+        ids = self.ids
+        return self.pack([ids[t] for t in self.tokens(piece if piece.isascii() else piece.encode().decode("latin-1"))])
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of a word with the space before it; letters alone are one piece."""
-        word = " " + word
-        return self.piece_ids(word) if word[1:].isalpha() else tuple(self.by_pieces(word))
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word with the space before it; letters alone are one piece, and a mark after letters is one."""
+        if word.isalpha():
+            return self.piece_ids(" " + word)
+        letters, mark = word[:-1], word[-1]
+        if mark in ".,;:!?" and letters.isalpha():
+            return (self.by_word.young.get(letters) or self.by_word.fill(letters)) + self.piece_ids(mark)
+        return self.by_pieces(" " + word)
 
-    def by_pieces(self, text: str) -> list[int]:
+    def by_pieces(self, text: str) -> bytes:
         known, fill = self.by_piece.young.get, self.by_piece.fill
-        return list(chain.from_iterable([(known(p) or fill(p)) if len(p) <= 48 else self.piece_ids(p) for p in self.pieces(text)]))
+        return b"".join([known(p) or fill(p) for p in self.pieces(text)])
 
-    def encode(self, text: str) -> list[int]:
-        """Where each space stands alone between words, pieces begin at the spaces, and words are looked up whole."""
-        if not text or UNEVEN(text):
+    def packed(self, text: str) -> bytes:
+        """Ids as 32-bit numbers. Where each space stands alone between words, pieces begin at the spaces, and words are looked up whole."""
+        if "\n " in text or " \n" in text or RARE(text):
             return self.by_pieces(text)
         first, *words = text.split(" ")
+        if not first or "" in words:
+            return self.by_pieces(text)
         known, fill = self.by_word.young.get, self.by_word.fill
-        out = self.by_pieces(first)
-        out.extend(chain.from_iterable([(known(w) or fill(w)) if len(w) <= 64 else self.word_ids(w) for w in words]))
-        return out
+        return self.by_pieces(first) + b"".join([known(w) or fill(w) for w in words])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, and how many each id has."""
@@ -150,12 +163,13 @@ def encode_column(shared: Shared, text: Column) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         codec, ends, flat = shared.get(), [0], []
         for t in texts:
-            got = np.array(codec.encode(t.as_py() or ""), np.int32)
+            got = codec.packed(t.as_py() or "")
             flat.append(got)
-            ends.append(ends[-1] + len(got))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+            ends.append(ends[-1] + len(got) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
 
-    return ids(text)
+    # not to be computed anew within each expression that uses the ids, such as their decoding
+    return ids.asNondeterministic()(text)
 
 
 def decode_column(shared: Shared, ids: Column) -> Column:

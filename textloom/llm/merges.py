@@ -12,13 +12,16 @@ merge across a border would have to happen in that concatenation as well.
 from __future__ import annotations
 
 FOREVER = 1 << 60
+#: Pairs of tokens that are remembered at a time.
+MOST_PAIRS = 300_000
 
 
 class MergeOrder:
     def __init__(self, rank: dict[str, int]):
         self.rank = rank
         self._halves: dict[str, tuple[str, str] | None] = {}
-        self.known: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, dict[str, bool]] = {}  # by the left token, then the right one
+        self.held = 0
 
     def merge(self, symbols: list[str], below: int = FOREVER) -> list[str]:
         """The plain definition: merges of rank under ``below``, one by one."""
@@ -41,13 +44,21 @@ class MergeOrder:
         return len(token) == 1 or self.halves(token) is not None
 
     def apart(self, left: str, right: str) -> bool:
-        """True if the merges of ``left + right`` end in just these two tokens (memoised)."""
-        key = (left, right)
-        found = self.known.get(key)
+        """True if the merges of ``left + right`` end in just these two tokens (memoised).
+
+        Of no token before, written as an empty one: if merges make the token.
+        """
+        row = self.known.get(left)
+        if row is None:
+            row = self.known[left] = {}
+        found = row.get(right)
         if found is None:
-            if len(self.known) >= 400_000:
+            self.held += 1
+            if self.held > MOST_PAIRS:
+                self.held = 0
                 self.known.clear()
-            found = self.known[key] = self._meet(left, right)
+                row = self.known[left] = {}
+            found = row[right] = self._meet(left, right) if left else self.reachable(right)
         return found
 
     def _meet(self, left: str, right: str) -> bool:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-import uuid
+import hashlib
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -14,10 +15,13 @@ _made: dict[str, object] = {}
 
 
 class Shared:
-    """``Shared(spark, make, *args).get()`` is ``make(*args)`` in any worker; args travel once to each executor."""
+    """``Shared(spark, make, *args).get()`` is ``make(*args)`` in any worker; args travel once to each executor.
+
+    What is made is known by its arguments' content: operators that share a vocabulary, and later jobs, share it in a worker.
+    """
 
     def __init__(self, spark: SparkSession, make: Callable, *args):
-        self.key, self.make = uuid.uuid4().hex, make
+        self.key, self.make = f"{make.__qualname__}-{hashlib.sha256(pickle.dumps(args)).hexdigest()}", make
         self.args = spark.sparkContext.broadcast(args)
 
     def get(self):
