@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.stored import store
+from textloom.llm.stored import drop, release, store_at
 
 ROUNDS = 60
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and all its v; only minima are gathered, never neighbours."""
+    """Each (u, v) with the least of u and all its v; only minima are gathered, never neighbours. Both uses of the pairs share one exchange."""
+    pairs = pairs.where("u is not null and v is not null").repartition("u")
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u2"), F.least("u2", "m").alias("m"))
     return pairs.join(least, F.col("u") == F.col("u2")).select("u", "v", "m")
 
@@ -24,13 +25,18 @@ def components(links: DataFrame) -> DataFrame:
     count and a checksum of each come to the driver.
     """
     links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    spark, before, path = links.sparkSession, None, None
     for _ in range(ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = _least(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        links = store(small.where("u <> v").distinct())
+        links, now_at = store_at(small.where("u <> v").distinct())
+        del both, large, near, small
+        if path:
+            drop(spark, path)
+        path = now_at
+        release(spark)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import components
 from textloom.llm.mph import mix
-from textloom.llm.stored import store
+from textloom.llm.stored import release, store
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A block of a large cluster has about so many elements and sets; a pack of small clusters so many elements.
@@ -307,10 +307,14 @@ def near_duplicates(
             break
     bands.band(int(most or 1) + 1)
     bands.scheme(len(bands.tops))  # the band after the last
-    raw = _index(docs.where("doc_id is not null").select("text"), n, seed, bands).repartition("key")
+    # the same filter as the join below puts on its side: so both uses share one exchange
+    raw = _index(docs.where("doc_id is not null").select("text"), n, seed, bands).where("key is not null and fp is not null").repartition("key")
     shared = raw.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select(F.col("key").alias("k"), "least")
     stars = raw.join(shared, F.col("key") == F.col("k")).where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v")).distinct()
-    clusters = components(store(stars))
+    spark, stars = docs.sparkSession, store(stars)
+    del raw, shared
+    release(spark)  # the signatures are the largest thing shuffled here, and done with
+    clusters = components(stars)
     links = components(store(_verified(docs, sets, clusters, n, seed, bands, (block_elements, block_sets, pack_elements), broadcast_ids)))
     # a document whose sets differ (several rows of one id) joins their components as well
     own = marked.where("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b")
