@@ -241,17 +241,25 @@ def dictionary(spark):
     return entries, glossary.protected_words(entries, spark.createDataFrame([(w,) for w in PROTECT], "word string"))
 
 
+def corrected(spark, docs):
+    out = docs.withColumn("u", glossary.Corrections.collect(*dictionary(spark)).apply(F.col("text")))
+    return out.select("doc_id", F.sha2("u", 256).alias("text_sha256"), (F.col("u") != F.col("text")).alias("changed"))
+
+
 @query("""
 WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
   '\\bthention\\b', 'Thentian', 'g'), '\\bthonting\\b', 'Thentian', 'g'), '\\bationing\\b', 'Ationer', 'g'), '\\bation\\b', 'Ationer', 'g'), '\\brestion\\b', 'Restonor', 'g'), '\\bedition\\b', 'Edgetion', 'g') AS u,
   coalesce(text, '') AS text FROM documents)
 SELECT doc_id, sha256(u) AS text_sha256, u <> text AS changed FROM t WHERE NOT regexp_matches(text, '\\bthing in\\b|\\bther\\b|[_\\x{80}-\\x{10ffff}]')""")
 def glossary_apply(spark, sf_dir):
-    """On texts where word borders mean the same in both languages."""
-    fix = glossary.Corrections.collect(*dictionary(spark))
-    docs = documents(spark, sf_dir).where(~F.col("text").rlike(r"\bthing in\b|\bther\b|[_\x{80}-\x{10ffff}]"))
-    out = docs.withColumn("u", fix.apply(F.col("text")))
-    return out.select("doc_id", F.sha2("u", 256).alias("text_sha256"), (F.col("u") != F.col("text")).alias("changed"))
+    """The rows of ``glossary_apply_all`` for texts where word borders mean the same in both languages; the rest is left out."""
+    return corrected(spark, documents(spark, sf_dir).where(~F.col("text").rlike(r"\bthing in\b|\bther\b|[_\x{80}-\x{10ffff}]")))
+
+
+@query()
+def glossary_apply_all(spark, sf_dir):
+    """A row for each document. No SQL: DuckDB's patterns can't look around, which borders of ASCII letters and protected words need."""
+    return corrected(spark, documents(spark, sf_dir))
 
 
 @query("""
