@@ -1,6 +1,7 @@
 """Queries without SQL over all documents, against plain versions; the fixtures hold what the queries with SQL leave out."""
 
 import hashlib
+import re
 
 import pytest
 from compare import rows
@@ -69,3 +70,66 @@ def test_corrections_of_the_small_table(spark, small):
     assert sorted((r["changed"], r["doc_id"], r["text_sha256"]) for r in got.collect()) == expected_corrections(documents)
     assert len(documents) == got.count()
     assert set(rows(catalog.queries()["glossary_apply"](spark, small))) <= set(rows(got))
+
+
+def protected_marks(text):
+    """Places of marks that end nothing: within names of hosts, numbers with dots, titles, abbreviations and initials."""
+    protected = (
+        r"\b(?:[A-Za-z0-9-]+\.)+(?:com|org|net|io|co|ai|dev|app|edu|gov|so|me|fm)\b(?:/[A-Za-z0-9_\-./~%?&=#]*[A-Za-z0-9_\-/~%=#])?",
+        r"\b\d+(?:\.\d+)+\b",
+        r"\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|Inc|Ltd|Fig|No|Vol)\.",
+        r"(?i:\b(?:e\.g|i\.e|a\.m|p\.m|U\.S|U\.K|Ph\.D)\.)",
+        r"\b(?:[A-Za-z]\.){2,}",
+    )
+    out = set()
+    for pattern in protected:
+        for m in re.finditer(pattern, text):
+            if not out & set(range(*m.span())):
+                out |= {i for i in range(*m.span()) if text[i] in ".!?"}
+    return out
+
+
+def plain_sentences(text):
+    """Character by character: a mark, closing quotes, white space, then a capital or digit, maybe after an opening quote."""
+    text = text.strip()
+    hidden, out, begin, i = protected_marks(text), [], 0, 0
+    while i < len(text):
+        end = i + 1
+        if text[i] in ".!?" and i not in hidden:
+            while text[end : end + 1] and text[end] in "\"')]":
+                end += 1
+            after = end
+            while text[after : after + 1].isspace():
+                after += 1
+            first = text[after + 1 : after + 2] if text[after : after + 1] and text[after] in "\"'([" else text[after : after + 1]
+            if after > end and first and (first in "0123456789" or "A" <= first <= "Z"):
+                out.append(text[begin:end])
+                begin = end = after
+        i = end
+    return [s.strip() for s in [*out, text[begin:]] if s.strip()]
+
+
+SENTENCES = {
+    'He said "this is it." Then he left.': 2,
+    "Visit vanta.com/lenny. That is 2.0 and Dr. No came.": 2,
+    "Mr. A. B. Smith vs. Jones Ltd. Corp. Next one.": 4,
+    "At 5 p.m. They met in the U.S. Army. 3 of 1.5.3 left!": 2,
+    "One. (Two?) [Three!] 'Four.' 5 six. seven": 5,
+    "Él vino. Él no. Ya está! A la casa. ¿No? ok": 3,
+    "No. 5 is etc. And e.g. This one.": 1,
+    "  \n\t ": 0,
+    "First.\u00a0Second.\n\nThird?Fourth": 3,
+}
+
+
+def test_sentences_of_all_documents(spark, folder):
+    assert {t: len(plain_sentences(t)) for t in SENTENCES} == SENTENCES
+    sf_dir = folder([*SENTENCES, None])
+    got = {r["doc_id"]: r["n_sentences"] for r in catalog.queries()["sentence_counts_all"](spark, sf_dir).collect()}
+    assert got == {i: len(plain_sentences(t)) for i, t in by_id(spark, sf_dir).items()}
+
+
+def test_sentences_of_the_small_table(spark, small):
+    got = catalog.queries()["sentence_counts_all"](spark, small)
+    assert {r["doc_id"]: r["n_sentences"] for r in got.collect()} == {i: len(plain_sentences(t)) for i, t in by_id(spark, small).items()}
+    assert set(rows(catalog.queries()["sentence_counts"](spark, small))) <= set(rows(got))
