@@ -11,9 +11,11 @@ What is scored are the restored words. A word's features are the word and its
 prefixes of four to seven letters. Their document frequencies by class are
 counted over all labelled training documents (on the cluster, map-side
 combined). Features in enough toxic documents weigh their smoothed log odds
-(less for few documents), the strongest ``most_features`` are kept, a word
+(less for few documents); all that weigh more than nothing are kept. A word
 weighs its strongest feature, and a text's margin is a falling sum over its
-strongest words. A quarter of the training documents is kept out of the counts; a
+strongest words. Workers hold at most ``shard_features`` features at once: where
+there are more, the documents are read once for each shard, and each pass leaves
+a document's strongest words so far. Both give equal results. A quarter of the training documents is kept out of the counts; a
 bounded sample of them turns margins into probabilities.
 
 Results: null and empty texts have no words and get the score of no features.
@@ -25,6 +27,8 @@ Input columns stay, but for those with the names of outputs.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,11 @@ from pyspark.sql import functions as F
 from textloom.llm.bpe import Memo
 from textloom.llm.features import bounded, labelled, platt, sigmoid
 from textloom.llm.shared import Shared
+from textloom.llm.stored import drop, store, store_at
 
-SAMPLE, MOST_FEATURES, MIN_TOXIC = 1500, 50_000, 2
+SAMPLE, MIN_TOXIC = 1500, 2
+#: Features in a worker at once, of 16 bytes each; results don't depend on it.
+SHARD_FEATURES = 2_000_000
 PREFIXES = (4, 5, 6, 7)
 #: How much the strongest words of a text count.
 SHARES = (1.0, 0.6, 0.3)
@@ -143,8 +150,8 @@ def restored_words(restorer: Restorer, memo: Memo, text: str | None) -> set[str]
     return {known(w) or memo.fill(w) for w in set(low.split())} | set(restorer.spaced(low))
 
 
-def feature_odds(rows: DataFrame, shared: Shared, most: int, min_toxic: int) -> tuple[dict[int, float], int, int]:
-    """Log odds of the strongest features, and documents by class, over all rows (text, label)."""
+def feature_odds(rows: DataFrame, shared: Shared, min_toxic: int) -> tuple[DataFrame, int, int]:
+    """(f, odds) of all features with log odds above 0, and documents by class, over all rows (text, label)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = shared.get()
@@ -160,69 +167,112 @@ def feature_odds(rows: DataFrame, shared: Shared, most: int, min_toxic: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(n), np.uint64).view(np.int64)), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], ["f", "n0", "n1"])
 
     found = rows.select("text", "label").mapInArrow(counted, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = found.where((F.col("n1") >= min_toxic) | (F.col("f") == 0))
-    # documents are few (key 0) and every feature's rate is relative to them: order by the ratio of counts alone
-    top = found.orderBy(F.col("f") != 0, ((F.col("n1") + 0.1) / (F.col("n0") + 0.5)).desc(), F.col("f")).limit(most + 1).toPandas()
-    totals = top[top["f"] == 0]
-    n0, n1 = (int(totals[c].sum()) for c in ("n0", "n1"))
-    top = top[top["f"] != 0]
-    odds = np.log((top["n1"] + 0.1) / (n1 + 0.2)) - np.log((top["n0"] + 0.5) / (n0 + 1)) - 1 / np.sqrt(top["n1"])
-    keys = top["f"].to_numpy(np.int64).view(np.uint64).tolist()
-    return {k: float(v) for k, v in zip(keys, odds) if v > 0}, n0, n1
+    found = store(found.where((F.col("n1") >= min_toxic) | (F.col("f") == 0)))
+    totals = found.where("f = 0").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    n0, n1 = totals["n0"] or 0, totals["n1"] or 0
+    odds = F.log((F.col("n1") + 0.1) / (n1 + 0.2)) - F.log((F.col("n0") + 0.5) / (n0 + 1)) - 1 / F.sqrt("n1")
+    return found.where("f <> 0").select("f", odds.alias("odds")).where("odds > 0"), n0, n1
+
+
+def shards(odds: DataFrame, most: int) -> Iterator[tuple[bytes, bytes]]:
+    """Keys in order and odds, of all features in shards of about ``most``; an empty one if there are none."""
+    n = max(1, -(-odds.count() // most))
+    for k in range(n):
+        own = odds.where(F.pmod("f", F.lit(n)) == k).toArrow()
+        keys, values = own["f"].to_numpy().view(np.uint64), own["odds"].to_numpy()
+        order = np.argsort(keys)
+        yield keys[order].tobytes(), values[order].tobytes()
 
 
 class Scorer:
-    def __init__(self, counts: np.ndarray, odds: dict[int, float], a: float, b: float):
-        self.restorer, self.odds, self.a, self.b = Restorer(counts), odds, a, b
+    def __init__(self, counts: np.ndarray, keys: bytes, odds: bytes):
+        self.restorer, self.keys, self.odds = Restorer(counts), array("Q", keys), array("d", odds)
         self.known = Memo(self.weight, 200_000)
 
+    def of_feature(self, feature: str) -> float:
+        at = bisect_left(self.keys, k := key(feature))
+        return self.odds[at] if at < len(self.keys) and self.keys[at] == k else 0.0
+
     def of_word(self, word: str) -> float:
-        return max([self.odds.get(key(f), 0.0) for f in word_features(word)], default=0.0)
+        return max(map(self.of_feature, word_features(word)), default=0.0)
 
     def weight(self, token: str) -> float:
         return self.of_word(self.restorer.word(token))
 
-    def margin(self, text: str | None) -> float:
+    def weights(self, text: str | None) -> list[float]:
+        """Of the text's distinct tokens in order, then of its spaced words."""
         low = (text or "").lower()
         known, fill = self.known.young.get, self.known.fill
-        found = [v if (v := known(w)) is not None else fill(w) for w in set(low.split())]
-        best = sorted([*found, *(self.of_word(w) for w in self.restorer.spaced(low))], reverse=True)[: len(SHARES)]
+        found = [v if (v := known(w)) is not None else fill(w) for w in dict.fromkeys(low.split())]
+        return [*found, *(self.of_word(w) for w in self.restorer.spaced(low))]
+
+    def strongest(self, text: str | None, before: list[dict] | None = None) -> list[dict]:
+        """The strongest words (place among the weights, weight), with what shards before this one left."""
+        found = self.weights(text)
+        for x in before or ():
+            found[x["at"]] = max(found[x["at"]], x["v"])
+        return [{"at": at, "v": found[at]} for at in sorted(range(len(found)), key=lambda at: -found[at])[: len(SHARES)]]
+
+    def margin(self, text: str | None, before: list[dict] | None = None) -> float:
+        best = [x["v"] for x in self.strongest(text, before)] if before else sorted(self.weights(text), reverse=True)
         return sum(v * share for v, share in zip(best, SHARES))
 
-    def score(self, text: str | None) -> float:
-        return float(sigmoid(self.a * self.margin(text) + self.b))
-
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE, most_features: int = MOST_FEATURES, min_toxic: int = MIN_TOXIC
+    docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE, shard_features: int = SHARD_FEATURES, min_toxic: int = MIN_TOXIC
 ) -> DataFrame:
     """Adds score and predicted to all documents; learns from those that have a label and for which ``train`` holds."""
     spark = docs.sparkSession
     counts = trigram_counts(docs, text)
     rows = labelled(docs.where(train), labels, doc_id, text, label)
     kept_out = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0
-    odds, n0, n1 = feature_odds(rows.where(~kept_out), Shared(spark, Restorer, counts), most_features, min_toxic)
+    odds, n0, n1 = feature_odds(rows.where(~kept_out), Shared(spark, Restorer, counts), min_toxic)
     if n0 and n1:
-        found = bounded(rows.where(kept_out), sample).select("label", margin_column(Shared(spark, Scorer, counts, odds, 1.0, 0.0), F.col("text")).alias("m")).toPandas()
+        scorers = [Shared(spark, Scorer, counts, *shard) for shard in shards(odds, shard_features)]
+        sampled = strongest_so_far(bounded(rows.where(kept_out), sample).select("text", "label"), scorers, "text")
+        found = sampled.select("label", margin_column(scorers[-1], F.col("text"), F.col(BEFORE)).alias("m")).toPandas()
         a, b = platt(found["m"].to_numpy(), found["label"].to_numpy()) if found["label"].nunique() == 2 else (1.0, -5.0)
     else:
         share = min(max(n1 / (n0 + n1) if n0 + n1 else 0.5, 1e-6), 1 - 1e-6)
-        odds, a, b = {}, 0.0, float(np.log(share / (1 - share)))
-    shared = Shared(spark, Scorer, counts, odds, a, b)
-    return docs.withColumn("score", score_column(shared, F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        scorers, a, b = [Shared(spark, Scorer, counts, b"", b"")], 0.0, float(np.log(share / (1 - share)))
+    docs = strongest_so_far(docs, scorers, text)
+    return docs.withColumn("score", score_column(scorers[-1], F.col(text), F.col(BEFORE), a, b)).drop(BEFORE).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+BEFORE, STRONGEST = "__before", "array<struct<at:int,v:double>>"
+_STRONGEST = pa.list_(pa.struct([("at", pa.int32()), ("v", pa.float64())]))
+
+
+def strongest_so_far(docs: DataFrame, scorers: list[Shared], text: str) -> DataFrame:
+    """Adds what all shards but the last leave; each pass is a table that replaces the one before, so that workers hold a shard at a time."""
+    docs, path = docs.withColumn(BEFORE, F.lit(None).cast(STRONGEST)), None
+    for shared in scorers[:-1]:
+        then, at = store_at(docs.withColumn(BEFORE, strongest_column(shared, F.col(text), F.col(BEFORE))))
+        if path:
+            drop(docs.sparkSession, path)
+        docs, path = then, at
+    return docs
+
+
+def strongest_column(shared: Shared, text: Column, before: Column) -> Column:
+    @F.arrow_udf(STRONGEST)
+    def strongest(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return pa.array([shared.get().strongest(t.as_py(), x) for t, x in zip(texts, before.to_pylist())], _STRONGEST)
+
+    return strongest(text, before)
 
 
-def margin_column(shared: Shared, text: Column) -> Column:
+def margin_column(shared: Shared, text: Column, before: Column) -> Column:
     @F.arrow_udf("double")
-    def margin(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.get().margin(t.as_py()) for t in texts], pa.float64())
+    def margin(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return pa.array([shared.get().margin(t.as_py(), x) for t, x in zip(texts, before.to_pylist())], pa.float64())
 
-    return margin(text)
+    return margin(text, before)
 
 
-def score_column(shared: Shared, text: Column) -> Column:
+def score_column(shared: Shared, text: Column, before: Column, a: float, b: float) -> Column:
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.get().score(t.as_py()) for t in texts], pa.float64())
+    def score(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return pa.array([float(sigmoid(a * shared.get().margin(t.as_py(), x) + b)) for t, x in zip(texts, before.to_pylist())], pa.float64())
 
-    return score(text)
+    return score(text, before)
