@@ -1,7 +1,9 @@
 """Toxicity with many features, and in shards."""
 
+import time
 from itertools import islice, product
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.llm import toxicity
@@ -34,3 +36,26 @@ def test_shards_give_equal_scores(spark):
     labels = [(i, int(i < 60)) for i in range(120)]
     whole = scores(spark, texts, labels)
     assert len(set(whole.values())) > 4 and scores(spark, texts, labels, shard_features=10) == whole
+
+
+def restorer():
+    text = "you stupid idiot moron scum trash loser worthless disgusting clown pathetic are the worst of this and that time " * 3
+    c = toxicity.codes(f"  {text} ")
+    counts = np.bincount((c[:-2] * toxicity.SYMBOLS + c[1:-1]) * toxicity.SYMBOLS + c[2:], minlength=toxicity.SYMBOLS**3)
+    return toxicity.Restorer(counts.astype(float))
+
+
+def test_long_disguises_are_restored():
+    own = restorer()
+    cases = {"i" * 45 + "diot": "idiot", "stu" + "u" * 100 + "pid!!!": "stupid", ".".join("disgustingworthlessloser"): "disgustingworthlessloser", "l" + "o" * 20_000 + "ser": "loser"}
+    cases["d1sgust1ng" + "g" * 50] = "disgusting"
+    for token, word in cases.items():
+        assert len(token) > 40 and own.word(token) == word, token[:50]
+
+
+def test_very_long_tokens_take_linear_time():
+    own = restorer()
+    began = time.process_time()
+    for token in ("z" * 200_000, "9f3a0c" * 10_000, "a1" + "1307" * 2_000 + "b"):
+        own.word(token)
+    assert time.process_time() - began < 30

@@ -87,6 +87,14 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
+def spelled(path: tuple | None) -> str:
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
 class Restorer:
     """Viterbi decoding of disguised tokens under the trigram model."""
 
@@ -97,12 +105,9 @@ class Restorer:
         context = cube.sum(axis=2, keepdims=True)
         self.log = np.log((cube + 4 * after[None]) / (context + 4)).tolist()
 
-    def options(self, token: str, i: int) -> list[tuple[str, float]]:
-        c = token[i]
+    def options(self, c: str, run: int) -> list[tuple[str, float]]:
+        """What a character may stand for that is the ``run``-th of equal ones."""
         if c.isalpha():
-            run = 1
-            while i - run >= 0 and token[i - run] == c:
-                run += 1
             return [(c, 0.0)] if run == 1 else [(c, 0.0), ("", DOUBLED)] if run == 2 else [("", MARK_DROPPED / run)]
         out = [(x, SIGN) for x in LEET.get(c, "")]
         if c == "*":
@@ -110,17 +115,22 @@ class Restorer:
         return [*out, ("", MARK_DROPPED if c in SEPARATORS else DROPPED)]
 
     def restore(self, token: str) -> str:
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for i in range(len(token)):
-            then: dict[tuple[int, int], tuple[float, str]] = {}
-            for letter, cost in self.options(token, i):
+        """Linear in the token: at most SYMBOLS**2 states for each character, whose paths are linked lists of letters."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        run, last = 0, ""
+        for c in token:
+            run, last = run + 1 if c == last else 1, c
+            then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for letter, cost in self.options(c, run):
                 code = (ord(letter) - 96 if "a" <= letter <= "z" else 27) if letter else 0
                 for (p, q), (total, path) in best.items():
                     key, value = ((q, code), total + cost + self.log[p][q][code]) if letter else ((p, q), total + cost)
                     if key not in then or then[key][0] < value:
-                        then[key] = (value, path + letter)
+                        then[key] = (value, (path, letter) if letter else path)
             best = then
-        return max((total + self.log[p][q][0], path) for (p, q), (total, path) in best.items())[1]
+        ends = [(total + self.log[p][q][0], path) for (p, q), (total, path) in best.items()]
+        most = max(total for total, _ in ends)
+        return max(spelled(path) for total, path in ends if total == most)
 
     def spaced(self, text: str) -> list[str]:
         """The words hidden in runs of single letters; text in lower case."""
@@ -133,7 +143,7 @@ class Restorer:
         # a sign at either end may be a letter (one of them) or a mark
         if len(core) < len(whole) <= len(core) + 1 and core and (whole[0] in LEET or whole[-1] in "$"):
             core = whole
-        return self.restore(core) if core and len(core) <= 40 and DISGUISED.search(core) else core.strip(MARKS)
+        return self.restore(core) if core and DISGUISED.search(core) else core.strip(MARKS)
 
 
 def word_features(word: str) -> list[str]:
