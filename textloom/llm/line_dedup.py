@@ -111,11 +111,12 @@ class Shard:
         self.hash = PerfectHash.load(data[24 : 24 + size])
         self.fingerprint, self.n_docs, self.last = np.frombuffer(data, np.int64, 3 * n, 24 + size).reshape(3, n)
 
-    def drops(self, hi: np.ndarray, lo: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """True where the key is among the frequent ones and the row's id isn't the largest that holds it."""
+    def drops(self, hi: np.ndarray, lo: np.ndarray, ids: np.ndarray, min_docs: int = MIN_DOCS) -> np.ndarray:
+        """True where the key is in at least min_docs documents and the row's id isn't the largest that holds it."""
         place = self.hash.places(fold(hi, lo, self.seed))
         there = place >= 0
         there[there] = self.fingerprint[place[there]] == lo[there]
+        there[there] = self.n_docs[place[there]] >= min_docs
         there[there] = self.last[place[there]] != ids[there]
         return there
 
@@ -123,15 +124,15 @@ class Shard:
 class Shards:
     """All shards, where they are few enough to be in every worker."""
 
-    def __init__(self, n_shards: int, data: dict[int, bytes]):
-        self.n, self.shards = n_shards, {k: Shard(v) for k, v in data.items()}
+    def __init__(self, n_shards: int, data: dict[int, bytes], min_docs: int = MIN_DOCS):
+        self.n, self.shards, self.min_docs = n_shards, {k: Shard(v) for k, v in data.items()}, min_docs
 
     def drops(self, hi: np.ndarray, lo: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out, of = np.zeros(len(hi), bool), np.mod(lo, self.n)
         for k, shard in self.shards.items():
             rows = np.flatnonzero(of == k)
             if len(rows):
-                out[rows] = shard.drops(hi[rows], lo[rows], ids[rows])
+                out[rows] = shard.drops(hi[rows], lo[rows], ids[rows], self.min_docs)
         return out
 
 
@@ -156,7 +157,7 @@ def _probe_here(docs: DataFrame, shared: Shared, doc_id: str, text: str, min_cha
     return docs.withColumn(out, probe(F.col(doc_id).cast("long"), F.col(text)))
 
 
-def _probe_shards(docs: DataFrame, shards: DataFrame, n_shards: int, group_probes: int, doc_id: str, text: str, min_chars: int, out: str) -> DataFrame:
+def _probe_shards(docs: DataFrame, shards: DataFrame, n_shards: int, group_probes: int, doc_id: str, text: str, min_chars: int, out: str, min_docs: int) -> DataFrame:
     """Probes go to their shards by (shard, salt); a row's hits come back by the row's own number."""
     from textloom.llm.stored import store
 
@@ -185,7 +186,7 @@ def _probe_shards(docs: DataFrame, shards: DataFrame, n_shards: int, group_probe
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
             return left[:0][["row", "line"]]
-        return left.loc[Shard(right["data"].iloc[0]).drops(*(left[c].to_numpy(np.int64) for c in ("hi", "lo", "id"))), ["row", "line"]]
+        return left.loc[Shard(right["data"].iloc[0]).drops(*(left[c].to_numpy(np.int64) for c in ("hi", "lo", "id")), min_docs), ["row", "line"]]
 
     hits = salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "row long, line int")
     dropped = hits.groupBy("row").agg(F.collect_list("line").alias("__lines"))  # at most the lines of one document
@@ -209,6 +210,6 @@ def dedup_lines(
     shards = store(build_shards(frequent, n_shards))
     size = shards.agg(F.sum(F.length("data"))).first()[0] or 0
     if size > broadcast_bytes:
-        return _probe_shards(docs, shards, n_shards, group_probes, doc_id, text, min_chars, out)
-    shared = Shared(docs.sparkSession, Shards, n_shards, {r["shard"]: bytes(r["data"]) for r in shards.collect()})
+        return _probe_shards(docs, shards, n_shards, group_probes, doc_id, text, min_chars, out, min_docs)
+    shared = Shared(docs.sparkSession, Shards, n_shards, {r["shard"]: bytes(r["data"]) for r in shards.collect()}, min_docs)
     return _probe_here(docs, shared, doc_id, text, min_chars, out)
