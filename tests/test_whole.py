@@ -133,3 +133,9 @@ def test_sentences_of_the_small_table(spark, small):
     got = catalog.queries()["sentence_counts_all"](spark, small)
     assert {r["doc_id"]: r["n_sentences"] for r in got.collect()} == {i: len(plain_sentences(t)) for i, t in by_id(spark, small).items()}
     assert set(rows(catalog.queries()["sentence_counts"](spark, small))) <= set(rows(got))
+
+
+def test_scales_of_numbers(spark, folder):
+    sf_dir = folder(["1.5 k and 20K, 3M", "2B or 2 B", "1700万 12:30 Speaker 7", "7 kM", None])
+    got = {r["doc_id"]: (r["n_values"], r["largest"]) for r in catalog.queries()["numeric_facts_all"](spark, sf_dir).collect()}
+    assert got == {0: (3, 3e6), 1: (1, 2e9), 2: (1, 1.7e7), 3: (1, 7e3), 4: (0, 0.0)}

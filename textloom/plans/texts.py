@@ -297,10 +297,22 @@ NUMBERS_SQL = "SELECT doc_id, list_distinct(list_transform(regexp_extract_all(re
 
 @query(f"SELECT doc_id, CAST(len(v) AS INTEGER) AS n_values, coalesce(list_max(v), 0.0) AS largest FROM ({NUMBERS_SQL})")
 def numeric_facts(spark, sf_dir):
+    """Without the scales k, K, M and B, which this SQL doesn't know; ``numeric_facts_all`` has them."""
     docs = documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", "(?<=[0-9])\\s*[kKMB]", " "))
     return docs.select("doc_id", coverage.arabic_values(F.col("text")).alias("v")).select("doc_id", F.size("v").alias("n_values"), F.coalesce(F.array_max("v"), F.lit(0.0)).alias("largest"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{coverage.NOISE}', ' ', 'g') AS t FROM documents),
+n AS (SELECT doc_id, regexp_extract_all(t, '{coverage.ARABIC}', 1) AS x, regexp_extract_all(t, '{coverage.ARABIC}', 2) AS s FROM d),
+v AS (SELECT doc_id, list_distinct(list_transform(range(1, len(x) + 1), lambda i: CAST(x[i] AS DOUBLE) * CASE s[i] {" ".join(f"WHEN '{k}' THEN {f:.0f}::DOUBLE" for k, f in coverage.SCALES.items())} ELSE 1::DOUBLE END)) AS v FROM n)
+SELECT doc_id, CAST(len(v) AS INTEGER) AS n_values, coalesce(list_max(v), 0.0) AS largest FROM v""")
+def numeric_facts_all(spark, sf_dir):
+    """With all scales."""
+    out = documents(spark, sf_dir).select("doc_id", coverage.arabic_values(F.col("text")).alias("v"))
+    return out.select("doc_id", F.size("v").alias("n_values"), F.coalesce(F.array_max("v"), F.lit(0.0)).alias("largest"))
+
+
 @query(f"""
 WITH r AS ({REDUCED_SQL}),
 l AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(source, '[A-Za-z][A-Za-z0-9.+-]{{2,}}'), lambda x: lower(x))) AS t FROM r) WHERE length(t) >= 4 AND t NOT IN ({", ".join(f"'{w}'" for w in coverage.LATIN_STOP)}) GROUP BY ALL),
