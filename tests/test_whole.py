@@ -139,3 +139,12 @@ def test_scales_of_numbers(spark, folder):
     sf_dir = folder(["1.5 k and 20K, 3M", "2B or 2 B", "1700万 12:30 Speaker 7", "7 kM", None])
     got = {r["doc_id"]: (r["n_values"], r["largest"]) for r in catalog.queries()["numeric_facts_all"](spark, sf_dir).collect()}
     assert got == {0: (3, 3e6), 1: (1, 2e9), 2: (1, 1.7e7), 3: (1, 7e3), 4: (0, 0.0)}
+
+
+def test_text_blocks_of_pages(spark, tmp_path):
+    html = "<h1>On <b>x</b></h1><p>One <a href=\"u\">two</a> &amp; three</p><ul><li> four</li><li></li></ul><img src='i'><h2>five</h2><p>six\nseven</p>"
+    spark.createDataFrame([(1, html), (2, "none")], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in catalog.queries()["html_text_blocks"](spark, str(tmp_path)).collect()}
+    assert [got[1][c] for c in ("n_blocks", "n_h1", "n_h2", "n_p", "n_li", "n_figcaption")] == [5, 1, 1, 2, 1, 0] and got[2]["n_blocks"] == 0
+    blocks = [("h1", "On x"), ("p", "One [two](u) & three"), ("li", "four"), ("h2", "five"), ("p", "six\nseven")]
+    assert got[1]["text_sha256"] == hashlib.sha256("\n".join("\t".join(b) for b in blocks).encode()).hexdigest()

@@ -49,10 +49,31 @@ def html_text(spark, sf_dir):
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?s)<h1[^>]*>.*?</h1>'))::BIGINT AS n_h1 FROM pages")
 def html_blocks(spark, sf_dir):
+    """Headings only; ``html_text_blocks`` has all text blocks."""
     blocks = pages(spark, sf_dir).select("page_id", F.explode_outer(H.events(F.col("html"))).alias("e"))
     return blocks.groupBy("page_id").agg(F.count_if(F.col("e.raw").startswith("<h1")).alias("n_h1"))
 
 
+BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "li", "figcaption")
+BLOCKS_SQL = "(?s)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in BLOCK_TAGS)
+BLOCK_SQL = UNESCAPE_SQL.format("regexp_replace(regexp_replace(regexp_replace(raw, '^<[^>]*>|</[^<]*>$', '', 'g'), '(?s)<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g'), '<[^>]+>', '', 'g')")
+
+
+@query(f"""
+WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '{BLOCKS_SQL}')) AS raw, generate_subscripts(regexp_extract_all(html, '{BLOCKS_SQL}'), 1) AS k FROM pages),
+b AS (SELECT page_id, k, regexp_extract(raw, '^<({"|".join(BLOCK_TAGS)})', 1) AS tag, regexp_replace({BLOCK_SQL}, '^\\s+|\\s+$', '', 'g') AS value FROM r),
+c AS (SELECT page_id, count(*) AS n, {", ".join(f"count(*) FILTER (tag = '{t}') AS n_{t}" for t in BLOCK_TAGS)}, string_agg(tag || chr(9) || value, chr(10) ORDER BY k) AS blocks FROM b WHERE value <> '' GROUP BY page_id)
+SELECT page_id, CAST(coalesce(n, 0) AS INTEGER) AS n_blocks, {", ".join(f"CAST(coalesce(n_{t}, 0) AS INTEGER) AS n_{t}" for t in BLOCK_TAGS)}, sha256(coalesce(blocks, '')) AS text_sha256 FROM pages LEFT JOIN c USING (page_id)""")
+def html_text_blocks(spark, sf_dir):
+    """Blocks by tag, and a digest of the tags and texts of all in order."""
+    tag = lambda e: F.regexp_extract(e["raw"], f"^<({'|'.join(BLOCK_TAGS)})", 1)
+    texts = F.filter(H.events(F.col("html")), lambda e: e["kind"] == "text")
+    out = pages(spark, sf_dir).select("page_id", F.transform(texts, lambda e: F.struct(tag(e).alias("tag"), e["value"].alias("value"))).alias("b"))
+    count = lambda t: F.size(F.filter("b", lambda x: x["tag"] == t)).alias(f"n_{t}")
+    digest = F.sha2(F.array_join(F.transform("b", lambda x: F.concat(x["tag"], F.lit("\t"), x["value"])), "\n"), 256)
+    return out.select("page_id", F.size("b").alias("n_blocks"), *[count(t) for t in BLOCK_TAGS], digest.alias("text_sha256"))
+
+
 @query("""
 WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages)
 SELECT page_id, host, trim(regexp_replace(replace(regexp_replace(host, '\\.[^.]*$', ''), '.', '-'), '[^a-z0-9-]+', '-', 'g'), '-') AS source_slug FROM h""")
