@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from textloom.functions import html as H
@@ -214,3 +216,10 @@ def test_stream(spark, small, tmp_path):
         stream = stream_metadata(spark, str(pages)).withColumn("day", F.lit("2024-01-01"))
         grow_manifest(stream, str(tmp_path / "manifest"), str(tmp_path / "checkpoint"), "url", F.col("day")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "manifest")).count() == spark.read.parquet(str(pages)).select("url").distinct().count()
+
+
+def test_overlap_of_cues():
+    rng = random.Random(4)
+    for _ in range(500):
+        said, words = (rng.choices("ab", k=rng.randint(0, 9)) for _ in range(2))
+        assert turns.overlap(said, words) == max(k for k in range(min(len(said), len(words)) + 1) if k == 0 or said[-k:] == words[:k])

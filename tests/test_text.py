@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions.python import parse_numeral
+from textloom.functions.numerals import numeral, numerals
 
 
 def one(spark, expression, **values):
@@ -75,10 +75,14 @@ def test_titles_and_names(spark):
     assert one(spark, T.mark_uncertain(col()), t="a ⟨?b⟩") == 'a <mark class="asr-uncertain" title="ASR存疑">b?</mark>'
 
 
-@pytest.mark.parametrize(
-    ("numeral", "value"),
-    [("八十", 80), ("三", 3), ("十五", 15), ("一千七百万", 17_000_000), ("两亿", 200_000_000), ("二零二六", 2026), ("一二三", 123), ("一百九", 190), ("五百九", 590), ("两千三", 2300), ("一百零五", 105),
-     ("十万", 100_000), ("十亿", 1_000_000_000), ("一百二百", None), ("三万五万", None), ("百", None), ("万", None), ("十", None), ("", None), ("一亿三千万", 130_000_000)],
-)
-def test_numerals(numeral, value):
-    assert parse_numeral(numeral) == value
+NUMERALS = {
+    "八十": 80, "三": 3, "十五": 15, "一千七百万": 17_000_000, "两亿": 200_000_000, "二零二六": 2026, "一二三": 123, "一百九": 190, "五百九": 590, "两千三": 2300, "一百零五": 105,
+    "十万": 100_000, "十亿": 1_000_000_000, "一百二百": None, "三万五万": None, "百": None, "万": None, "十": None, "": None, "一亿三千万": 130_000_000, "零": 0, "百万": None, "三亿五千万零二十": 350_000_020,
+    "九千九百九十九": 9999, "一千零一十": 1010, "abc": None, "三x": None,
+}
+
+
+def test_numerals(spark):
+    df = spark.createDataFrame([(s, None if v is None else float(v)) for s, v in NUMERALS.items()], "s string, v double")
+    assert df.where(~numeral(F.col("s")).eqNullSafe(F.col("v"))).collect() == []
+    assert one(spark, numerals(F.split(col(), ",")), t="十,八十,三,百,三") == [3.0, 80.0]

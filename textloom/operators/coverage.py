@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.python import numerals
+from textloom.functions.numerals import numerals
 from textloom.functions.text import found_all, let, norm_words
 
 # fixed values: the gates

@@ -91,16 +91,33 @@ def cues(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\n+"), read), lambda c: c["start_sec"].isNotNull() & (F.size(c["words"]) > 0))
 
 
+def overlap(said: list[str], words: list[str]) -> int:
+    """The most words that end ``said`` and begin ``words``, by the borders of prefixes: linear in ``words``."""
+    border = [0] * (len(words) + 1)  # border[n]: the longest proper border of the first n words
+
+    def grow(n: int, word: str) -> int:
+        while n and (n == len(words) or words[n] != word):
+            n = border[n]
+        return n + (words[n] == word)
+
+    for i in range(1, len(words)):
+        border[i + 1] = grow(border[i], words[i])
+    n = 0
+    for word in said[max(0, len(said) - len(words)) :]:
+        n = grow(n, word)
+    return n
+
+
 def rolled_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The word stream of one file's cues: of each, what goes on after the longest overlap with what was said."""
-    said: list[str] = []
-    at: list[float] = []
-    for start, words in zip(pdf["start_sec"], pdf["words"]):
-        own = list(words)
-        overlap = next((k for k in range(min(len(said), len(own)), 0, -1) if said[-k:] == own[:k]), 0)
-        said += own[overlap:]
-        at += [start] * (len(own) - overlap)
-    return pd.DataFrame({"id": [pdf["id"].iloc[0]] * len(said), "pos": range(len(said)), "start_sec": at, "word": said})
+    """The word stream of one file's cues: each cue adds what it doesn't repeat of the end of the stream."""
+    stream: list[str] = []
+    new: list[int] = []
+    for words in pdf["words"].map(list):
+        fresh = words[overlap(stream, words) :]
+        stream.extend(fresh)
+        new.append(len(fresh))
+    out = pdf.loc[pdf.index.repeat(new), ["id", "start_sec"]]
+    return out.assign(pos=range(len(stream)), word=stream)[["id", "pos", "start_sec", "word"]]
 
 
 def word_stream(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

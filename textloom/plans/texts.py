@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.numerals import numeral
 from textloom.operators import coverage, glossary, layout, turns
 from textloom.operators.catalog import join_fragments
 from textloom.plans.tables import SQL_WORDS, registry, table
@@ -339,8 +340,6 @@ def latin_terms(spark, sf_dir):
 
 @query()
 def cn_numerals(spark, sf_dir):
-    from textloom.functions.python import numeral
-
     rows = ["八十", "三", "十五", "一千七百万", "两亿", "二零二六", "一二三", "一百九", "五百九", "两千三", "一百零五", "十万", "十亿", "一百二百", "三万五万", "百", "万", "十"]
     return spark.createDataFrame([(s,) for s in rows], "s string").withColumn("v", numeral(F.col("s")))
 
