@@ -162,7 +162,7 @@ def test_metadata_strategies(spark):
 def test_publication(spark):
     urls = ["https://www.anthropic.com/research/x", "https://anthropic.com/about", "https://a.substack.com/p", "https://www.my-site.co.uk/x", "nonsense"]
     df = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
-    got = {r["id"]: r["source_slug"] for r in H.with_publication(df, H.slug_table(spark)).collect()}
+    got = {r["id"]: r["source_slug"] for r in H.with_publication(df).collect()}
     assert got == {0: "anthropic-research", 1: "anthropic-blog", 2: "substack", 3: "my-site-co", 4: ""}
 
 

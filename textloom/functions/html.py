@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.text import MONTHS, collapse, found, found_all, let, month_number, slugify, unescape
 
@@ -28,10 +30,17 @@ MIME = {"image/png": "png", "image/jpeg": "jpg", "image/webp": "webp", "image/sv
 
 
 def normalize_date(s: Column) -> Column:
-    s = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
     dash = lambda d, a, b: F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, a, 2), F.substring(d, b, 2))
-    compact, slashed = found(s, r"^\d{8}$", 0), found(s, r"^\d{4}/\d{2}/\d{2}", 0)
-    return F.coalesce(found(s, r"^\d{4}-\d{2}-\d{2}", 0), F.when(compact.isNotNull(), dash(compact, 5, 7)), F.when(slashed.isNotNull(), dash(slashed, 6, 9)))
+
+    def read(own: Column) -> Column:
+        return F.when(own.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(own, F.lit(10))).when(own.rlike(r"^\d{8}$"), dash(own, 5, 7)).when(own.rlike(r"^\d{4}/\d{2}/\d{2}"), dash(own, 6, 9))
+
+    return let(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), read)
+
+
+def meta_tags(html: Column) -> Column:
+    """All meta tags of a page, joined: what the lookups below read, once cut out, instead of the page."""
+    return F.array_join(found_all(html, r"""(?i)<meta(?:"[^"]*+"|'[^']*+'|[^>"']++)*+>"""), "\n")
 
 
 def meta_content(html: Column, attr: str, value: str) -> Column:
@@ -89,7 +98,7 @@ def title_from_jsonld(html: Column) -> Column:
 
 
 def _dated(date: Column, source) -> Column:
-    return F.when(date.isNotNull(), F.struct(date.alias("date"), F.lit(source).alias("source")))
+    return let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(source).alias("source"))))
 
 
 def date_from_time(html: Column) -> Column:
@@ -122,17 +131,21 @@ def body_head(html: Column, chars: int = 1500) -> Column:
 
 
 def date_from_body(html: Column) -> Column:
-    head, names = body_head(html), "|".join(MONTHS)
+    names = "|".join(MONTHS)
     day, month = rf"\b({names})\s+(\d{{1,2}}),?\s+(\d{{4}})\b", rf"\b({names})\s+(\d{{4}})\b"
-    number = lambda p: F.lpad(month_number(F.regexp_extract(head, p, 1)).cast("string"), 2, "0")
-    return F.coalesce(
-        _dated(F.when(head.rlike(day), F.concat_ws("-", F.regexp_extract(head, day, 3), number(day), F.lpad(F.regexp_extract(head, day, 2), 2, "0"))), "body:month-day-year"),
-        _dated(F.when(head.rlike(month), F.concat_ws("-", F.regexp_extract(head, month, 2), number(month), F.lit("01"))), "body:month-year"),
-    )
 
+    def read(head: Column) -> Column:
+        number = lambda p: F.lpad(month_number(F.regexp_extract(head, p, 1)).cast("string"), 2, "0")
+        return F.coalesce(
+            _dated(F.when(head.rlike(day), F.concat_ws("-", F.regexp_extract(head, day, 3), number(day), F.lpad(F.regexp_extract(head, day, 2), 2, "0"))), "body:month-day-year"),
+            _dated(F.when(head.rlike(month), F.concat_ws("-", F.regexp_extract(head, month, 2), number(month), F.lit("01"))), "body:month-year"),
+        )
+
+    return let(body_head(html), read)
 
-def title(html: Column) -> Column:
-    return F.coalesce(F.trim(meta_content(html, "property", "og:title")), collapse(found(html, r"(?is)<title[^>]*>(.*?)</title>")))
+
+def title(html: Column, tags: Column | None = None) -> Column:
+    return F.coalesce(F.trim(meta_content(html if tags is None else tags, "property", "og:title")), collapse(found(html, r"(?is)<title[^>]*>(.*?)</title>")))
 
 
 def author_from_meta(html: Column) -> Column:
@@ -155,25 +168,25 @@ def slug_from_domain(domain: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(base, "^-+|-+$", ""), F.lit("")), own)
 
 
-def slug_table(spark: SparkSession, slugs: dict[str, str] = SLUGS) -> DataFrame:
-    return spark.createDataFrame(list(slugs.items()), "key string, slug string")
+def publication(url: Column, slugs: dict[str, str] = SLUGS) -> Column:
+    """The slug of a URL: of the longest path that it begins with, of its host, of the host's last two labels, or made of the domain.
 
+    The table is kept by hand and small: it is part of the expression.
+    """
+    known = F.create_map(*[F.lit(x) for pair in slugs.items() for x in pair])
+    paths = sorted((k for k in slugs if "/" in k), key=lambda k: (-len(k), k))
 
-def with_publication(df: DataFrame, slugs: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host and source_slug: longest path prefix, then the host, then its last two labels, then a slug of the domain.
+    def look_up(own: Column) -> Column:
+        path = F.concat(own, F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+        last_two = F.when(F.contains(own, F.lit(".")), F.substring_index(own, ".", -2))
+        return F.coalesce(*[F.when(path.startswith(k), F.lit(slugs[k])) for k in paths], F.try_element_at(known, own), F.try_element_at(known, last_two), slug_from_domain(own))
 
-    The table of slugs is a dimension kept by hand; its lookups are equi-joins
-    on every prefix a URL has, so nothing is compared with every key.
-    """
-    df = df.withColumn("host", host(F.col(url))).withColumn("__row", F.monotonically_increasing_id())
-    path = F.concat(F.col("host"), F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")))
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))), lambda n: F.struct(F.left(path, n).alias("key"), n.alias("rank")))
-    prefixes = F.filter(prefixes, lambda p: p["key"].contains("/"))
-    last_two = F.when(F.size(F.split("host", r"\.")) >= 2, F.substring_index("host", ".", -2))
-    keys = F.concat(prefixes, F.array(F.struct(F.col("host").alias("key"), F.lit(0).alias("rank")), F.struct(last_two.alias("key"), F.lit(-1).alias("rank"))))
-    hits = df.select("__row", F.explode(keys).alias("k")).select("__row", "k.*").join(slugs.withColumnRenamed("slug", "__slug"), "key")
-    best = hits.groupBy("__row").agg(F.max_by("__slug", "rank").alias("__slug"))
-    return df.join(best, "__row", "left").withColumn("source_slug", F.coalesce("__slug", slug_from_domain(F.col("host")))).drop("__row", "__slug")
+    return let(host(url), look_up)
+
+
+def with_publication(df: DataFrame, url: str = "url", slugs: dict[str, str] = SLUGS) -> DataFrame:
+    """Adds host and source_slug."""
+    return df.withColumn("host", host(F.col(url))).withColumn("source_slug", publication(F.col(url), slugs))
 
 
 def is_video_host(url: Column) -> Column:
@@ -183,25 +196,28 @@ def is_video_host(url: Column) -> Column:
 
 def metadata(html: Column, url: Column) -> Column:
     """Struct of date, source, title, author, canonical: the first strategy that gives a date wins and is named."""
-    chain = F.coalesce(
-        date_from_jsonld(html),
-        _dated(normalize_date(meta_content(html, "property", "article:published_time")), "og:article:published_time"),
-        *[_dated(normalize_date(meta_content(html, a, v)), f"meta:{v}") for a, v in META_DATES],
-        _dated(date_from_time(html), "html5:time"),
-        _dated(date_from_url(url), "url"),
-        _dated(date_from_uploads(html), "wp-uploads"),
-        date_from_body(html),
-    )
     video = is_video_host(url)
-    unless = lambda c: F.when(~video, c)
-    return let(
-        chain,
-        lambda d: F.struct(
-            unless(d["date"]).alias("date"), F.when(video, "youtube_skip").otherwise(F.coalesce(d["source"], F.lit("none"))).alias("source"),
-            unless(F.coalesce(title_from_jsonld(html), title(html))).alias("title"), unless(F.coalesce(author_from_jsonld(html), author_from_meta(html))).alias("author"),
-            unless(canonical(html, url)).alias("canonical"),
-        ),
-    )
+
+    def read(tags: Column) -> Column:
+        chain = F.coalesce(
+            date_from_jsonld(html),
+            _dated(normalize_date(meta_content(tags, "property", "article:published_time")), "og:article:published_time"),
+            *[_dated(normalize_date(meta_content(tags, a, v)), f"meta:{v}") for a, v in META_DATES],
+            _dated(date_from_time(html), "html5:time"),
+            _dated(date_from_url(url), "url"),
+            _dated(date_from_uploads(html), "wp-uploads"),
+            date_from_body(html),
+        )
+        return let(
+            chain,
+            lambda d: F.struct(
+                d["date"].alias("date"), F.coalesce(d["source"], F.lit("none")).alias("source"), F.coalesce(title_from_jsonld(html), title(html, tags)).alias("title"),
+                F.coalesce(author_from_jsonld(html), author_from_meta(tags)).alias("author"), canonical(html, url).alias("canonical"),
+            ),
+        )
+
+    nothing = F.struct(*[F.lit("youtube_skip" if c == "source" else None).cast("string").alias(c) for c in ("date", "source", "title", "author", "canonical")])
+    return F.when(video, nothing).otherwise(let(meta_tags(html), read))
 
 
 def strip_tags(html: Column) -> Column:
@@ -286,16 +302,52 @@ def accept_download(rc: Column, size: Column, content_type: Column, url: Column)
     return (rc == 0) & (size > 0) & (content_type.startswith("image/") | F.lower(url).endswith(".svg"))
 
 
+def _little(content: Column, at: int, n: int) -> Column:
+    return sum((F.conv(F.hex(F.substring(content, at + k, 1)), 16, 10).cast("int") * 256**k for k in range(n)), F.lit(0))
+
+
+def _webp_size(content: Column) -> Column:
+    """Lossy files have 14 bits for each side, lossless ones 14 bits in a row, extended ones three bytes (both less one)."""
+    kind, bits = F.hex(F.substring(content, 13, 4)), _little(content, 22, 4).cast("long")
+    side = lambda w, h: F.struct(w.cast("int").alias("w"), h.cast("int").alias("h"))
+    return (
+        F.when(kind == "56503820", side(_little(content, 27, 2).bitwiseAND(0x3FFF), _little(content, 29, 2).bitwiseAND(0x3FFF)))
+        .when(kind == "5650384C", side(bits.bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1))
+        .when(kind == "56503858", side(_little(content, 25, 3) + 1, _little(content, 28, 3) + 1))
+        .otherwise(side(F.lit(0), F.lit(0)))
+    )
+
+
+def jpeg_frame(content: bytes | None) -> tuple[int, int]:
+    """Width and height in the first frame header, which is reached from segment to segment; zeros if there is none."""
+    at, data = 2, content or b""
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        alone = kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD8  # padding, and markers without a length
+        at += 1 if kind == 0xFF else 2 if alone else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return 0, 0
+
+
+@F.arrow_udf(T.StructType().add("w", T.IntegerType()).add("h", T.IntegerType()))
+def _jpeg_size(content: pa.Array) -> pa.Array:
+    return pa.array([dict(zip("wh", jpeg_frame(c.as_py()))) for c in content], pa.struct([("w", pa.int32()), ("h", pa.int32())]))
+
+
 def image_size(content: Column) -> Column:
-    """Struct of w and h in pixels from the first bytes of PNG and GIF files and the attributes of SVG; 0 and 0 if unknown."""
+    """Struct of w and h in pixels from the headers of PNG, GIF, WebP and JPEG files and the attributes of SVG; 0 and 0 if unknown."""
     number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
     swapped = lambda at: F.conv(F.concat(F.hex(F.substring(content, at + 1, 1)), F.hex(F.substring(content, at, 1))), 16, 10).cast("int")
     svg = F.left(F.decode(content, "ISO-8859-1"), F.lit(2000))
     box = F.split(found(svg, r"""(?i)viewBox=["']([^"']+)["']"""), r"[\s,]+")
     attr = lambda name: found(svg, rf"""(?i)<svg[^>]*\b{name}=["'](\d+)""").try_cast("int")
     side = lambda k, name, default: F.coalesce(F.get(box, F.lit(k)).try_cast("double").cast("int"), attr(name), F.lit(default))
+    at = lambda k: F.hex(F.substring(content, k, 4))
     return (
-        F.when(F.hex(F.substring(content, 1, 4)) == "89504E47", F.struct(number(17, 4).alias("w"), number(21, 4).alias("h")))
+        F.when((at(1) == "52494646") & (at(9) == "57454250"), _webp_size(content))
+        .when(at(1).startswith("FFD8"), _jpeg_size(F.when(at(1).startswith("FFD8"), content)))
+        .when(F.hex(F.substring(content, 1, 4)) == "89504E47", F.struct(number(17, 4).alias("w"), number(21, 4).alias("h")))
         .when(F.hex(F.substring(content, 1, 4)) == "47494638", F.struct(swapped(7).alias("w"), swapped(9).alias("h")))
         .when(svg.rlike("(?i)<svg"), F.struct(side(2, "width", 1200).alias("w"), side(3, "height", 600).alias("h")))
         .otherwise(F.struct(F.lit(0).alias("w"), F.lit(0).alias("h")))

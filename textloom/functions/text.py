@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.entities import REFERENCE, decoded
+
 # fixed values
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 CJK_IDEOGRAPHS = "\u4e00-\u9fff"
 CJK_JOINED = "\u3000-\u303f\u4e00-\u9fff\uff00-\uffef"
 CJK_KEYS = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&hellip;", "\u2026"), ("&amp;", "&"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,10 +42,8 @@ def replace_each(text: Column, pattern: str, change: Callable[[Column], Column])
 
 
 def unescape(text: Column) -> Column:
-    """The common HTML entities; the ampersand last, so nothing is undone twice."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All HTML5 character references, once; texts without an ampersand are left as they are."""
+    return F.when(F.contains(text, F.lit("&")), replace_each(text, REFERENCE, decoded)).otherwise(text)
 
 
 def escape(text: Column, quotes: bool = False) -> Column:
@@ -71,10 +70,11 @@ def windows(items: Column, size: int = 25) -> Column:
 
 def norm_words(text: Column, drop_tags: bool = False) -> Column:
     """Lower-case words of ASCII letters and digits, without bracketed notes (and without tags)."""
-    out = F.regexp_replace(unescape(text), r"\[[^\]]*\]", " ")
+    own = unescape(text)
+    out = F.when(F.contains(own, F.lit("[")), F.regexp_replace(own, r"\[[^\]]*\]", " ")).otherwise(own)
     if drop_tags:
         out = F.regexp_replace(out, r"<[^>]+>", " ")
-    return nonempty(F.split(F.regexp_replace(F.lower(out), "[^a-z0-9 ]", " "), " +"))
+    return nonempty(F.split(F.lower(out), "[^a-z0-9]+"))
 
 
 def word_count(text: Column) -> Column:
@@ -130,7 +130,8 @@ HIDDEN, SHOWN = "\x01\x02\x03", ".!?"
 
 def split_sentences(text: Column) -> Column:
     """Sentences; their marks and closing quotes stay with them. URLs, decimals, titles and initials don't end one."""
-    hidden = replace_each(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), PROTECTED, lambda m: F.translate(m, SHOWN, HIDDEN))
+    own = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    hidden = F.when(text.rlike(PROTECTED), replace_each(own, PROTECTED, lambda m: F.translate(m, SHOWN, HIDDEN))).otherwise(own)
     marked = F.regexp_replace(hidden, "([.!?][\"')\\]]*)(?U:\\s)+(?=[\"'(\\[]?[A-Z0-9])", "$1\x04")
     return nonempty(F.transform(F.split(marked, "\x04"), lambda s: F.translate(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), HIDDEN, SHOWN)))
 

@@ -51,25 +51,28 @@ def window_coverage(windows: DataFrame, output: DataFrame, id_: str = "doc_id",
 
     A window of source words [a, b) is compared with the output's slice
     [a n / T - m, b n / T + m), m the margin or half the slice if that is more.
-    Words meet on (document, word): a slice takes the word's places that lie in
-    it, so no window is paired with all words.
+    Each document's output is cut into the slices of all its windows at once;
+    their words and those of the windows are then counted together, so the work
+    grows with the slices, however often a word occurs.
     """
     src = windows.select(id_, window, norm_words(F.col(text)).alias("words"))
     size = F.size("words").cast("long")
     upto = Window.partitionBy(id_).orderBy(window)
-    src = src.withColumn("b", F.sum(size).over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.col("b") - size)
-    src = src.withColumn("total", F.sum(size).over(Window.partitionBy(id_)))
-    out = output.select(id_, norm_words(F.col(out_text)).alias("out"))
-    lengths = out.select(id_, F.size("out").cast("long").alias("n"))
-    src = src.join(lengths, id_, "left").fillna({"n": 0})
-    lo, hi = F.floor(F.col("a") * F.col("n") / F.greatest("total", F.lit(1))), F.floor(F.col("b") * F.col("n") / F.greatest("total", F.lit(1)))
-    m = F.greatest(F.lit(margin).cast("long"), F.floor((hi - lo) / 2))
-    src = src.withColumn("lo", F.greatest(lo - m, F.lit(0).cast("long"))).withColumn("hi", F.least(hi + m, F.col("n")))
-    wanted = src.select(id_, window, "lo", "hi", F.explode("words").alias("word")).groupBy(id_, window, "lo", "hi", "word").agg(F.count("*").alias("a"))
-    places = out.select(id_, F.posexplode("out").alias("pos", "word")).groupBy(id_, "word").agg(F.array_sort(F.collect_list("pos")).alias("places"))  # one document's places
-    there = F.size(F.filter("places", lambda p: (p >= F.col("lo")) & (p < F.col("hi"))))
-    kept = wanted.join(places, [id_, "word"], "left").groupBy(id_, window).agg(F.sum(F.least(F.col("a"), F.coalesce(there.cast("long"), F.lit(0)))).alias("kept"), F.sum("a").alias("n"))
-    cov = F.coalesce(F.col("kept") / F.col("n"), F.lit(1.0))
+    bounds = src.select(id_, window, size.alias("size"), F.sum(size).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("b"), F.sum(size).over(Window.partitionBy(id_)).alias("total"))
+    bounds = bounds.groupBy(id_).agg(F.max("total").alias("total"), F.collect_list(F.struct(window, (F.col("b") - F.col("size")).alias("a"), "b")).alias("ws"))
+    out = output.select(id_, norm_words(F.col(out_text)).alias("out")).withColumn("n", F.size("out").cast("long"))
+
+    def slice_of(w: Column) -> Column:
+        place = lambda at: F.floor(at * F.col("n") / F.greatest("total", F.lit(1)))
+        m = F.greatest(F.lit(margin).cast("long"), F.floor((place(w["b"]) - place(w["a"])) / 2))
+        lo, hi = F.greatest(place(w["a"]) - m, F.lit(0).cast("long")), F.least(place(w["b"]) + m, F.col("n"))
+        return F.struct(w[window].alias(window), F.slice("out", lo.cast("int") + 1, F.greatest(hi - lo, F.lit(0).cast("long")).cast("int")).alias("words"))
+
+    slices = bounds.join(out, id_).select(id_, F.explode(F.transform("ws", slice_of)).alias("s")).select(id_, f"s.{window}", F.lit(0).alias("src"), "s.words")
+    both = src.select(id_, window, F.lit(1).alias("src"), "words").unionByName(slices).select(id_, window, "src", F.explode("words").alias("word"))
+    counts = both.groupBy(id_, window, "word").agg(F.sum("src").alias("a"), F.sum(1 - F.col("src")).alias("b"))
+    kept = counts.groupBy(id_, window).agg(F.sum(F.least("a", "b")).alias("kept"), F.sum("a").alias("n"))
+    cov = F.coalesce(F.try_divide("kept", "n"), F.lit(1.0))
     return src.select(id_, window).join(kept, [id_, window], "left").select(id_, window, F.bround(cov, 4).alias("coverage"), (cov >= gate).alias("ok"))
 
 

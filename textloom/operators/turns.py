@@ -163,12 +163,23 @@ def phrase_times(stream: DataFrame, turns: DataFrame, id_: str = "doc_id", turn:
     return out.select(F.col("id").alias(id_), F.col("turn").alias(turn), F.expr("nullif(start_sec, double('NaN'))").alias("start_sec"))
 
 
-def first_places(words: DataFrame, phrases: DataFrame, n: int = 4, id_: str = "doc_id") -> DataFrame:
-    """(id, phrase columns, pos): first place of each phrase of n words, by an equi-join on n-grams."""
-    w = Window.partitionBy(id_).orderBy("pos")
-    grams = words.select(id_, "pos", F.concat_ws(" ", *[F.col("word") if k == 0 else F.lead("word", k).over(w) for k in range(n)]).alias("gram"), F.lead("word", n - 1).over(w).isNotNull().alias("whole")).where("whole")
-    first = grams.groupBy(id_, "gram").agg(F.min("pos").alias("pos"))
-    return phrases.join(first, [id_, "gram"], "left")
+def first_places(texts: DataFrame, phrases: DataFrame, n: int = 4, id_: str = "doc_id") -> DataFrame:
+    """(id, phrase columns, pos): where the first n words of each phrase first occur in the texts that have them.
+
+    texts: (id, words array), phrases: any columns and a words array; shorter
+    ones are in none. An equi-join on two hashes of n words (128 bits), so that
+    texts make numbers of their words, not strings.
+    """
+
+    def keys(words: Column, i: Column) -> Column:
+        own = [F.get(words, i + k) for k in range(n)]
+        return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(*own[::-1], F.lit(1)).alias("b"))
+
+    asked = phrases.where(F.size("words") >= n).withColumn("__k", keys(F.col("words"), F.lit(0)))
+    grams = texts.where(F.size("words") >= n).select(id_, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: keys(F.col("words"), i))).alias("pos", "__g"))
+    found = grams.join(asked, (F.col("__g.a") == F.col("__k.a")) & (F.col("__g.b") == F.col("__k.b")))
+    kept = [c for c in phrases.columns if c != "words"]
+    return found.groupBy(id_, *kept).agg(F.min("pos").alias("pos"))
 
 
 def with_stamps(turns: DataFrame, times: DataFrame, id_: str = "doc_id", turn: str = "turn_no") -> DataFrame:

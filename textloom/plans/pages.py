@@ -78,7 +78,7 @@ def html_text_blocks(spark, sf_dir):
 WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages)
 SELECT page_id, host, trim(regexp_replace(replace(regexp_replace(host, '\\.[^.]*$', ''), '.', '-'), '[^a-z0-9-]+', '-', 'g'), '-') AS source_slug FROM h""")
 def url_publication(spark, sf_dir):
-    out = H.with_publication(pages(spark, sf_dir).select("page_id", "url"), H.slug_table(spark))
+    out = H.with_publication(pages(spark, sf_dir).select("page_id", "url"))
     return out.select("page_id", "host", "source_slug")
 
 

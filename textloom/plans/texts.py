@@ -380,11 +380,9 @@ d AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT doc_id, {
 g AS (SELECT doc_id, array_to_string(w[i : i + 3], ' ') AS gram, i - 1 AS pos FROM d)
 SELECT g.doc_id, p.item_id, CAST(min(g.pos) AS INTEGER) AS pos FROM g JOIN p USING (gram) GROUP BY ALL""")
 def phrase_align(spark, sf_dir):
-    """First place of each item's first four words in the documents that have them: an equi-join on four-grams."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.norm_words(F.col("text")).alias("w")).where("size(w) >= 4").select("item_id", F.array_join(F.slice("w", 1, 4), " ").alias("gram"))
-    docs = documents(spark, sf_dir).select("doc_id", T.norm_words(F.col("text")).alias("w")).where("size(w) >= 4")
-    grams = docs.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " "))).alias("pos", "gram"))
-    return grams.join(items, "gram").groupBy("doc_id", "item_id").agg(F.min("pos").alias("pos"))
+    """First place of each item's first four words in the documents that have them."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.norm_words(F.col("text")).alias("words"))
+    return turns.first_places(documents(spark, sf_dir).select("doc_id", T.norm_words(F.col("text")).alias("words")), items)
 
 
 @query("""
