@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Label rows that may be broadcast to their documents; more are joined by shuffling.
-BROADCAST_LABELS = 2_000_000
+from textloom.llm.stored import store
+
+#: Labels that may be broadcast to their documents; more are joined by shuffling.
+BROADCAST_LABELS = 1_000_000
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -16,20 +18,29 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """(id, text, label) of the documents with a label. Labels are broadcast only up to a checked number."""
-    labels = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
+    """(id, text, label) of the documents with a label; of several labels of an id the largest counts, once.
+
+    Labels are broadcast only up to a checked number. Repeated documents are rows of their own.
+    """
+    labels = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    labels = store(labels)
     side = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(side, F.col("id") == F.col("__id")).drop("__id")
 
 
-def bounded(labels: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows of each label, chosen by a hash of the id (all, where there are fewer)."""
-    counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    chosen = F.lit(False)
-    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    for label, n in counts.items():
-        chosen = chosen | ((F.col("label") == label) & (place < min(1_000_000, int(1_000_000 * most / n) + 1)))
-    return labels.where(chosen)
+def bounded(rows: DataFrame, most: int, label: str = "label", id_: str = "id") -> DataFrame:
+    """The ``most`` rows of each label whose ids have the least hashes (all, where there are fewer): never more, however many rows there are.
+
+    Two passes of ids: the first finds the bound of each label, and only rows
+    within it are ranked. Each task ranks its own rows before any are shuffled.
+    """
+    ranked = lambda df: df.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__hash"))).where(F.col("__rank") <= most)
+    hashed = rows.withColumn("__hash", F.xxhash64(id_, F.lit(17)))
+    ends = ranked(hashed.select(label, "__hash")).groupBy(label).agg(F.max("__hash").alias("end")).collect()  # a row for each label
+    within = F.lit(False)
+    for end in ends:
+        within = within | (F.col(label).eqNullSafe(F.lit(end[label])) & (F.col("__hash") <= end["end"]))
+    return ranked(hashed.where(within)).drop("__hash", "__rank")
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[float, float]:

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
+    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where none is set and all runs on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
