@@ -4,34 +4,39 @@ Texts are normalised to words: runs of ASCII letters and digits and of all
 characters beyond ASCII, with A-Z lower-cased. A benchmark item is cut into
 windows of ``width`` consecutive words; an item with fewer words, but not none,
 is one window. All windows go into one Aho-Corasick automaton over the
-normalised text (words with single spaces between, as UTF-8 bytes mapped to
-Latin-1). A document is scanned once; matches are mapped from offsets in the
-normalised text to words and on to code points of the original.
-
-The benchmark is a query set given from outside. Its windows are cut on the
-driver only in blocks of at most ``block_bytes`` of text; each block is an
-automaton of its own, broadcast, and the scans of the blocks follow one another
-in one pass over the documents, each adding to what the ones before found.
-That needs no shuffle, and no block outgrows a worker.
+normalised text, in which each word of the benchmark is one symbol (a character
+of its own) and all other words are another: a window is a pattern of ``width``
+symbols, whatever its words are. A document is scanned once; a match ends at a
+word, from which offsets are mapped on to code points of the original.
+
+The benchmark is a query set given from outside. It is read in blocks of at most
+``block_bytes`` of text (about 100 bytes of automaton for each of them); each
+block is an automaton of its own, broadcast, and scans of up to ``CHAIN`` blocks
+follow one another in one pass over the documents, each adding to what the ones
+before found. A benchmark of more blocks takes a pass for each ``CHAIN`` of them,
+with a table between, so that workers build each automaton once. That needs no
+shuffle, and no block outgrows a worker.
 
 Results: a null text, of a document or an item, has no words; such documents
 get zero counts and such items never occur. Items with equal texts are all
-reported. Null item ids are skipped. Repeated rows get equal results, and input
-columns stay but for those with the names of outputs.
+reported, in order of their ids. Null item ids are skipped. Repeated rows get
+equal results; very long texts are scanned whole; empty tables of documents or
+items give no rows and no hits. Input columns stay, but for one with the name of
+the output.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from itertools import accumulate
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import Shared
+from textloom.llm.shared import CHAIN, Shared
+from textloom.llm.stored import drop, store_at
 
 WIDTH = 10
 #: Characters that separate words, as a table for bytes: all ASCII but digits and letters become spaces.
@@ -48,22 +53,37 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TO_WORDS).split(b" ")
 
 
-def windows(text: str | None, width: int = WIDTH) -> list[bytes]:
-    own = [w for w in words(text) if w]
-    return [b" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))] if own else []
+#: Symbols of words: characters from here on, without the range of surrogates.
+FIRST, HOLE = 0x100, range(0xD800, 0xE000)
+OTHER = "\x01"
+
+
+def symbol(number: int) -> str:
+    point = FIRST + number
+    return chr(point if point < HOLE.start else point + len(HOLE))
 
 
 class Scanner:
     """The automaton over one block of items, given as (item id, text)."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        held: dict[str, tuple[int, set[int]]] = {}
+        self.symbols: dict[bytes, str] = {}
+        held: dict[str, tuple[int, ...]] = {}
         for item, text in items:
-            for w in windows(text, width):
-                held.setdefault(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, set()))[1].add(item)
+            own = [w for w in words(text) if w]
+            for w in own:
+                if w not in self.symbols:
+                    self.symbols[w] = symbol(len(self.symbols))
+            coded, alone = "".join([self.symbols[w] for w in own]), (item,)
+            for i in range(max(1, len(own) - width + 1) if own else 0):
+                window = coded[i : i + width]
+                before = held.get(window)
+                held[window] = alone if before is None or before == alone else tuple(sorted({*before, item}))
         self.automaton = ahocorasick.Automaton()
-        for pattern, value in held.items():
-            self.automaton.add_word(pattern, (pattern, *value))
+        values: dict[tuple, tuple] = {}
+        for window, found in held.items():
+            key = (len(window), found)
+            self.automaton.add_word(window, values.setdefault(key, key))
         if held:
             self.automaton.make_automaton()
         self.empty = not held
@@ -74,12 +94,10 @@ class Scanner:
         hits: set[int] = set()
         items: set[int] = set()
         if own and not self.empty:
-            ends: list[int] = []
-            for end, (pattern, n, found) in self.automaton.iter(f" {b' '.join(own).decode('latin-1')} "):
-                ends = ends or list(accumulate((len(w) + 1 for w in own), initial=1))
-                first = bisect_right(ends, end - len(pattern) + 2) - 1
-                hits.update(range(first, first + n))
-                items |= found
+            known = self.symbols.get
+            for end, (n, found) in self.automaton.iter("".join([known(w, OTHER) for w in own])):
+                hits.update(range(end - n + 1, end + 1))
+                items.update(found)
         return len(own), hits, items
 
 
@@ -97,26 +115,31 @@ def spans(text: str, hits: set[int]) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded text, an item at a time."""
-    out: list[list[tuple[int, str]]] = [[]]
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded text, an item at a time; at least one block."""
+    block: list[tuple[int, str]] = []
     room = block_bytes
     for row in benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        size = len(row["t"])
-        if out[-1] and size > room:
-            out.append([])
-            room = block_bytes
-        out[-1].append((row["i"], row["t"]))
+        size = len(row["t"].encode("utf-8", "surrogatepass"))
+        if block and size > room:
+            yield block
+            block, room = [], block_bytes
+        block.append((row["i"], row["t"]))
         room -= size
-    return out
+    yield block
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 4_000_000, found: str = "found"
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 500_000, found: str = "found"
 ) -> DataFrame:
     """Adds ``found``: number of words, places of words hit, items that occur, spans hit in code points of the text."""
-    before = F.lit(None).cast(FOUND)
-    for block in _blocks(benchmark, item, item_text, block_bytes):
+    before, path = F.lit(None).cast(FOUND), None
+    for k, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+        if k and k % CHAIN == 0:
+            docs, at = store_at(docs)
+            if path:
+                drop(docs.sparkSession, path)
+            path = at
         docs = docs.withColumn(found, _scan_column(Shared(docs.sparkSession, Scanner, block, width), text, before))
         before = F.col(found)
     return docs

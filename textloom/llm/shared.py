@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import pickle
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-#: At most so many made things stay in a worker; of a chain of operators, each has its own.
-KEEP = 4
+#: At most so many made things stay in a worker, those used last. No operator uses more than ``CHAIN`` of them in one pass.
+KEEP, CHAIN = 6, 4
 _made: dict[str, object] = {}
 
 
@@ -25,15 +24,13 @@ class Shared:
         self.args = spark.sparkContext.broadcast(args)
 
     def get(self):
-        if self.key not in _made:
+        made = _made.pop(self.key, None)
+        if made is None:
             while len(_made) >= KEEP:
                 _made.pop(next(iter(_made)))
-            _made[self.key] = self.make(*self.args.value)
-            # tables and memos hold many objects and no cycles: without this, the collector walks them again and again
-            gc.collect()
-            gc.freeze()
-            gc.set_threshold(1_000_000, 50, 1000)
-        return _made[self.key]
+            made = self.make(*self.args.value)
+        _made[self.key] = made  # the last one used is the last one to go
+        return made
 
 
 def read_file(path: str) -> bytes:
