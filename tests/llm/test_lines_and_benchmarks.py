@@ -8,7 +8,7 @@ from compare import rows, sql_rows
 from textloom.llm import decontam, line_dedup, queries
 from textloom.llm.mph import PerfectHash
 
-DOCS = "doc_id long, text string, probed int, found int"
+DOCS = "doc_id long, text string, probed int, row int"
 LONG = "A line that is shared by several documents"
 
 

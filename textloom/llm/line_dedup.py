@@ -2,26 +2,30 @@
 
 Two passes. The first gives each document's distinct line keys as 128-bit
 hashes, counted with map-side combining, so that a line that a third of all
-documents hold is a row for each task. The keys in at least ``min_docs``
-documents are kept: only for these can a line be dropped. Half of the hash
-picks the shard; each shard is built, in a task of its own, into a minimal
-perfect hash over the distinct hashes with compact arrays beside it, by place:
-a 64-bit fingerprint (the other half of the hash), the document count and the
-largest document id.
-
-The second pass reads the documents again and probes the arrays. While all
-shards together are at most ``broadcast_bytes``, they are broadcast and the
-documents are probed where they are, without a shuffle. Beyond that, 20-byte
-probes (not lines) go to their shards, each shard's probes dealt over several
-tasks, and only the hits come back to their documents. Both give equal results.
+documents hold is a row for each task. Half of the hash picks the shard; each
+shard is built, in a task of its own, into a minimal perfect hash over its
+distinct hashes with compact arrays beside it, by place: a 64-bit fingerprint
+(the other half of the hash), the document count and the largest document id.
+Hashes of lines in one document only, which no threshold could drop, are left
+out, as they are by far the most.
+
+The second pass reads the documents again and probes the arrays: the count
+there decides whether a line is in ``min_docs`` documents. While all shards
+together are at most ``broadcast_bytes``, they are broadcast and the documents
+are probed where they are, without a shuffle. Beyond that, probes of 44 bytes
+(not lines) go to their shards, each shard's probes dealt over several tasks,
+and the hits come back to their documents: broadcast while they are few, else by
+a join, the one shuffle of whole texts. All ways give equal results.
 
 A key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z
 lower-cased; keys shorter than ``min_chars`` code points are never dropped.
 
 Results: a null or empty text is one empty line. Each row is a document of its
 own, so repeated rows count as often as they are there; of rows tied for the
-largest id, each keeps its lines. A null id is below all others. Input columns
-stay but for those with the names of outputs.
+largest id, each keeps its lines. A null id is below all others. Very long texts
+are split and rebuilt whole, a row at a time. An empty table gives an empty
+one. Input columns stay, but for one with the name of the output and names that
+begin with two underscores.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.mph import PerfectHash, mix
 from textloom.llm.shared import Shared
+from textloom.llm.stored import store
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of a shard, on average: some MB when built.
@@ -64,8 +69,8 @@ def line_hashes(text: str | None, min_chars: int) -> tuple[list[int], bytes]:
     return places, b"".join(digests)
 
 
-def frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(hi, lo, n_docs, last_id) of the line keys in at least min_docs documents."""
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(hi, lo, n_docs, last_id) of the line keys in two documents or more."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +84,7 @@ def frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["hi", "lo", "id"])
 
     lines = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(hashed, "hi long, lo long, id long")
-    return lines.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id")).where(F.col("n_docs") >= min_docs)
+    return lines.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id")).where("n_docs > 1")
 
 
 def build_shards(frequent: DataFrame, n_shards: int) -> DataFrame:
@@ -157,10 +162,8 @@ def _probe_here(docs: DataFrame, shared: Shared, doc_id: str, text: str, min_cha
     return docs.withColumn(out, probe(F.col(doc_id).cast("long"), F.col(text)))
 
 
-def _probe_shards(docs: DataFrame, shards: DataFrame, n_shards: int, group_probes: int, doc_id: str, text: str, min_chars: int, out: str, min_docs: int) -> DataFrame:
+def _probe_shards(docs: DataFrame, shards: DataFrame, n_shards: int, group_probes: int, broadcast_bytes: int, doc_id: str, text: str, min_chars: int, out: str, min_docs: int) -> DataFrame:
     """Probes go to their shards by (shard, salt); a row's hits come back by the row's own number."""
-    from textloom.llm.stored import store
-
     docs = store(docs.withColumn("__row", F.monotonically_increasing_id()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +192,16 @@ def _probe_shards(docs: DataFrame, shards: DataFrame, n_shards: int, group_probe
         return left.loc[Shard(right["data"].iloc[0]).drops(*(left[c].to_numpy(np.int64) for c in ("hi", "lo", "id")), min_docs), ["row", "line"]]
 
     hits = salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "row long, line int")
-    dropped = hits.groupBy("row").agg(F.collect_list("line").alias("__lines"))  # at most the lines of one document
+    dropped = hits.groupBy(F.col("row").alias("__of")).agg(F.collect_list("line").alias("__lines"))  # at most the lines of one document
+    dropped = store(dropped)
+    few = dropped.agg(F.sum(F.size("__lines") + 4)).first()[0] or 0
 
     @F.arrow_udf(PROBED)
     def keep(texts: pa.Array, lines: pa.Array) -> pa.Array:
         return pa.array([_keep(t.as_py(), set(x.as_py() or ())) for t, x in zip(texts, lines)], _PROBED)
 
-    return docs.join(dropped, docs["__row"] == dropped["row"], "left").withColumn(out, keep(F.col(text), F.col("__lines"))).drop("__row", "row", "__lines")
+    side = F.broadcast(dropped) if 4 * few <= broadcast_bytes else dropped
+    return docs.join(side, F.col("__row") == F.col("__of"), "left").withColumn(out, keep(F.col(text), F.col("__lines"))).drop("__row", "__of", "__lines")
 
 
 def dedup_lines(
@@ -203,13 +209,13 @@ def dedup_lines(
     shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES, group_probes: int = GROUP_PROBES, out: str = "probed",
 ) -> DataFrame:
     """Adds ``out``: n_lines before dropping, n_dropped, and the kept lines joined by line breaks."""
-    from textloom.llm.stored import store
-
-    frequent = store(frequent_lines(docs, doc_id, text, min_chars, min_docs))
-    n_shards = max(1, -(-frequent.count() // shard_keys))
-    shards = store(build_shards(frequent, n_shards))
+    if min_docs < 2:
+        raise ValueError("lines in a single document can't be repeated: min_docs must be 2 at least")
+    repeated = store(repeated_lines(docs, doc_id, text, min_chars))
+    n_shards = max(1, -(-repeated.count() // shard_keys))
+    shards = store(build_shards(repeated, n_shards))
     size = shards.agg(F.sum(F.length("data"))).first()[0] or 0
     if size > broadcast_bytes:
-        return _probe_shards(docs, shards, n_shards, group_probes, doc_id, text, min_chars, out, min_docs)
+        return _probe_shards(docs, shards, n_shards, group_probes, broadcast_bytes, doc_id, text, min_chars, out, min_docs)
     shared = Shared(docs.sparkSession, Shards, n_shards, {r["shard"]: bytes(r["data"]) for r in shards.collect()}, min_docs)
     return _probe_here(docs, shared, doc_id, text, min_chars, out)
