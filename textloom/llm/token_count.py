@@ -12,15 +12,19 @@ the text up to there with its relative count. The token that ends at a new
 character is the one token that stands next to the last token before it
 (``MergeOrder.apart``); exactly one does.
 
-Texts are cut into chunks. The map of a chunk, from the state it is entered in
-to the state it is left in and the tokens emitted, has a compact form: no token
-spans the border before a run of spaces, and none contains a character outside
-the vocabulary, so only the characters before the first such border (the head)
-depend on the entry. Maps of neighbouring chunks compose associatively and are
-reduced pairwise as a prefix scan.
+Texts are cut into chunks. A chunk's state map says, for each state in which it
+can be entered, in which state it is left and how many tokens are emitted. Few
+states can be: no token spans the border before a run of spaces or at a line
+break, so a chunk with such a border is left in one state, however it was
+entered, and only the characters before its first border (the head) depend on
+the entry. What comes after the head is run once for each chunk, on its own.
+State maps of neighbouring chunks compose associatively; the prefix scan
+composes them pair by pair.
 
 Results: a null text counts as empty, with no tokens. Rows are counted one by
-one; input columns stay, but for those with the names of outputs.
+one, so ties, repeated rows and empty tables need nothing special; a very long
+text is counted whole, in time linear in its length. Input columns stay, but for
+those with the names of outputs (n_bytes, n_tokens, over_limit).
 """
 
 from __future__ import annotations
@@ -46,15 +50,23 @@ RUNS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+").findall
 BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}|\n")
 
 
+#: What a model must count as its library does, to be compiled: no normaliser, a space put first, byte fallback, merges by score.
+PROBES = ("a", " a", "a  b ", "\ufb01 \u2460\uff21 e\u0301", "\x01\U000f0000\n\n x", "Hello hello HELLO, wörld; 12345 + 67.", "aaaaaaaaaaaaaaaaaaaaaaaaa", "the quick brown fox jumps over", "\t\u00a0\u3000.")
+
+
 @dataclass(frozen=True)
-class ChunkMap:
-    """State map of a chunk. leaves None: no border, and all of the chunk is its head."""
+class Chunk:
+    """The head of a chunk, the tokens emitted after it, and the state that the chunk is left in (None: no border, all of it is head)."""
 
     head: str
     emitted: int = 0
     leaves: int | None = None
 
 
+#: From the state entered in to the state left in and the tokens emitted.
+StateMap = dict[int, tuple[int, int]]
+
+
 class CountTransducer:
     FRESH = 0
 
@@ -71,6 +83,9 @@ class CountTransducer:
         self.begins = {p[:n] for p in self.rank for n in range(1, len(p))}
         self.words = Memo(self.word, WORDS)
         self.restart()
+        for probe in PROBES:
+            if self.count(probe, 3) != len(sp.encode(probe)):
+                raise ValueError(f"a model that counts the tokens of {probe!r} by other rules is not supported")
 
     def restart(self) -> None:
         fresh = ("", (None,), (0,))
@@ -119,21 +134,34 @@ class CountTransducer:
         """Tokens of a run between two borders, the smallest chunk."""
         return self.run(self.FRESH, run)[0]
 
-    def chunk(self, text: str) -> ChunkMap:
+    def chunk(self, text: str) -> Chunk:
         border = BORDER.search(text)
         if border is None:
-            return ChunkMap(text)
+            return Chunk(text)
         runs = RUNS(text, border.start())
         emitted, state = self.run(self.FRESH, runs.pop())
         known, fill = self.words.young.get, self.words.fill
         total = sum([(known(r) or fill(r)) if len(r) <= 48 else self.word(r) for r in runs])
-        return ChunkMap(text[: border.start()], total + emitted, state)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.leaves is None:
-            return ChunkMap(a.head + b.head, b.emitted, b.leaves)
-        emitted, state = self.run(a.leaves, b.head)
-        return ChunkMap(a.head, a.emitted + emitted + b.emitted, state if b.leaves is None else b.leaves)
+        return Chunk(text[: border.start()], total + emitted, state)
+
+    def state_map(self, chunk: Chunk, entries: set[int]) -> StateMap:
+        out = {}
+        for entry in entries:
+            emitted, state = self.run(entry, chunk.head)
+            out[entry] = (state if chunk.leaves is None else chunk.leaves, emitted + chunk.emitted)
+        return out
+
+    def state_maps(self, chunks: list[Chunk], entry: int) -> list[StateMap]:
+        """Of each chunk, over the states in which the one before it can be left."""
+        maps, entries = [], {entry}
+        for chunk in chunks:
+            maps.append(self.state_map(chunk, entries))
+            entries = {state for state, _ in maps[-1].values()}
+        return maps
+
+    @staticmethod
+    def compose(a: StateMap, b: StateMap) -> StateMap:
+        return {entry: (b[state][0], emitted + b[state][1]) for entry, (state, emitted) in a.items()}
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if not text:
@@ -141,10 +169,10 @@ class CountTransducer:
         if len(self.states) > STATES:
             self.restart()
         text = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        maps = self.state_maps([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)], self.FRESH)
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.run(self.FRESH, maps[0].head)[0] + maps[0].emitted
+        return maps[0][self.FRESH][1]
 
 
 def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, text: str = "text") -> DataFrame:
