@@ -12,8 +12,9 @@ adds the words that the one before didn't cover. So a text of n words costs
 n log n, however often it repeats itself.
 
 Results: a null text has no words and all counts 0; it fails the base rule, as
-empty texts do. Ratios of texts without words are 0. Rows are rated one by one;
-input columns stay, but for those with the names of outputs.
+empty texts do. Ratios of texts without words are 0. Rows are rated one by one,
+so ties, repeated rows and empty tables need nothing special; very long texts
+are rated whole. Input columns stay, but for one with the name of the output.
 """
 
 from __future__ import annotations
@@ -40,14 +41,15 @@ STOP_WORDS = tuple(
 
 @dataclass(frozen=True)
 class Rule:
-    """Keeps a text whose measure lies within the bounds; None: unbounded."""
+    """Keeps a text whose measure lies within the bounds (None: unbounded), or that has fewer lines with a word than ``min_lines``."""
 
     measure: str
     least: float | None = None
     most: float | None = None
+    min_lines: int = 0
 
 
-#: The threshold table. Ratios are to n_words, but for dup_line_ratio (to lines with a word; 0 for less than 8 lines).
+#: The threshold table. Ratios are to n_words, but for dup_line_ratio (to lines with a word).
 #: Shouted words are in capitals; an echo is a word equal to the word before it.
 RULES = (
     Rule("mean_word_chars", 2.0, 14.0),
@@ -55,7 +57,7 @@ RULES = (
     Rule("shout_ratio", most=0.50),
     Rule("stop_word_ratio", least=0.04),
     Rule("echo_ratio", most=0.30),
-    Rule("dup_line_ratio", most=0.50),
+    Rule("dup_line_ratio", most=0.50, min_lines=8),
 )
 
 
@@ -123,14 +125,16 @@ def verdict(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
         "shout_ratio": found["n_shouted"] / words,
         "stop_word_ratio": found["n_stop_words"] / words,
         "echo_ratio": found["n_echoes"] / words,
-        "dup_line_ratio": F.when(found["lines"]["n"] < 8, 0.0).otherwise((found["lines"]["n"] - found["lines"]["distinct"]) / n_lines),
+        "dup_line_ratio": (found["lines"]["n"] - found["lines"]["distinct"]) / n_lines,
     }
     held = F.lit(True)
     for rule in rules:
+        within = F.lit(True)
         if rule.least is not None:
-            held = held & (known[rule.measure] >= rule.least)
+            within = within & (known[rule.measure] >= rule.least)
         if rule.most is not None:
-            held = held & (known[rule.measure] <= rule.most)
+            within = within & (known[rule.measure] <= rule.most)
+        held = held & (within | (found["lines"]["n"] < rule.min_lines) if rule.min_lines else within)
     return held
 
 

@@ -1,18 +1,20 @@
 """Quality classifier (operator 3): linear support vectors over naive Bayes features.
 
 Features are indicators of byte n-grams of a whole text (hashed to ``BUCKETS``
-places), and of word bigrams of two equal words, as one n-gram in powers of
-their share. Document frequencies by class are counted over all labelled
+places). Document frequencies by class are counted over all labelled
 training documents, on the cluster; their smoothed log-count ratios scale the
 indicators. A hinge-loss linear model is then fitted by dual coordinate descent
-on a bounded sample, about ``sample`` documents of each class, chosen by a hash
+on a bounded sample, at most ``sample`` documents of each class, chosen by a hash
 of the id. A part of the sample is kept out of that fit and turns margins into
 probabilities.
 
 Results: empty and null texts have no n-grams and get the score of the
 intercept. Without labelled rows, or with one class only, the score is that
-class's share (0.5 without any). Labels, language, source and id are no inputs.
-Input columns stay, but for those with the names of outputs.
+class's share (0.5 without any). Of several labels of an id the largest counts;
+repeated documents count as often as they are there and get equal scores, so
+there are no ties to break. Very long texts are read whole. An empty table gets
+an empty result. Labels, language, source and id are no inputs. Input columns
+stay, but for those with the names of outputs (score, predicted).
 """
 
 from __future__ import annotations
@@ -31,13 +33,11 @@ BITS = 17
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3, 4)
 SAMPLE = 1500
-MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted places of the n-grams that occur."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.split()
     out = []
     codes = np.frombuffer(data, np.uint8).astype(np.uint64)
     for n in ORDERS:
@@ -48,10 +48,6 @@ def features(text: str | None) -> np.ndarray:
             gram |= codes[k : len(codes) - n + 1 + k] << np.uint64(8 * k)
         gram = (gram + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
         out.append((gram >> np.uint64(64 - BITS)).astype(np.int64))
-    echoes = sum(a == b for a, b in zip(words, words[1:]))
-    if echoes:
-        share = int(np.log2(echoes / len(words)) + 12)
-        out.append(np.array([int(MULTIPLIERS[share % 4]) * (share + 77) % BUCKETS]))
     if not out:
         return np.zeros(0, np.int32)
     seen = np.zeros(BUCKETS, bool)
