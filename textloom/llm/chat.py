@@ -107,9 +107,11 @@ def format_windows(
     ``new_from`` is the code point at which the window's own turns begin;
     loss_spans are [start, end) in code points of ``text``.
     """
+    if block < history_turns:
+        raise ValueError("a block must be as long as the history that may be repeated: block >= history_turns")
     turns = _turns(df, conv, turn, role, text)
     system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "segment", "cost")).alias("system")).withColumnRenamed("conv_id", "of")
-    here = F.floor(F.col("turn") / block).cast("long")
+    here = F.expr(f"(turn - pmod(turn, {block}L)) div {block}L")
     # the last turns of a block are also what the next block may repeat
     both = F.when(F.pmod("turn", F.lit(block)) >= block - history_turns, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     dealt = turns.withColumn("before", F.explode(both)).withColumn("block", here + F.col("before").cast("long"))
