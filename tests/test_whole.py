@@ -60,13 +60,13 @@ CORRECTED = {
 def test_corrections_of_all_documents(spark, folder):
     assert {t: plain_corrections(t) for t in CORRECTED} == CORRECTED
     sf_dir = folder([*CORRECTED, "plain ation", "", None])
-    got = catalog.queries()["glossary_apply_all"](spark, sf_dir)
+    got = catalog.queries()["glossary_apply"](spark, sf_dir)
     assert sorted((r["changed"], r["doc_id"], r["text_sha256"]) for r in got.collect()) == expected_corrections(by_id(spark, sf_dir))
 
 
 def test_corrections_of_the_small_table(spark, small):
     documents = by_id(spark, small)
-    got = catalog.queries()["glossary_apply_all"](spark, small)
+    got = catalog.queries()["glossary_apply"](spark, small)
     assert sorted((r["changed"], r["doc_id"], r["text_sha256"]) for r in got.collect()) == expected_corrections(documents)
     assert len(documents) == got.count()
     assert set(rows(catalog.queries()["glossary_apply"](spark, small))) <= set(rows(got))
@@ -125,26 +125,26 @@ SENTENCES = {
 def test_sentences_of_all_documents(spark, folder):
     assert {t: len(plain_sentences(t)) for t in SENTENCES} == SENTENCES
     sf_dir = folder([*SENTENCES, None])
-    got = {r["doc_id"]: r["n_sentences"] for r in catalog.queries()["sentence_counts_all"](spark, sf_dir).collect()}
+    got = {r["doc_id"]: r["n_sentences"] for r in catalog.queries()["sentence_counts"](spark, sf_dir).collect()}
     assert got == {i: len(plain_sentences(t)) for i, t in by_id(spark, sf_dir).items()}
 
 
 def test_sentences_of_the_small_table(spark, small):
-    got = catalog.queries()["sentence_counts_all"](spark, small)
+    got = catalog.queries()["sentence_counts"](spark, small)
     assert {r["doc_id"]: r["n_sentences"] for r in got.collect()} == {i: len(plain_sentences(t)) for i, t in by_id(spark, small).items()}
     assert set(rows(catalog.queries()["sentence_counts"](spark, small))) <= set(rows(got))
 
 
 def test_scales_of_numbers(spark, folder):
     sf_dir = folder(["1.5 k and 20K, 3M", "2B or 2 B", "1700万 12:30 Speaker 7", "7 kM", None])
-    got = {r["doc_id"]: (r["n_values"], r["largest"]) for r in catalog.queries()["numeric_facts_all"](spark, sf_dir).collect()}
+    got = {r["doc_id"]: (r["n_values"], r["largest"]) for r in catalog.queries()["numeric_facts"](spark, sf_dir).collect()}
     assert got == {0: (3, 3e6), 1: (1, 2e9), 2: (1, 1.7e7), 3: (1, 7e3), 4: (0, 0.0)}
 
 
 def test_text_blocks_of_pages(spark, tmp_path):
     html = "<h1>On <b>x</b></h1><p>One <a href=\"u\">two</a> &amp; three</p><ul><li> four</li><li></li></ul><img src='i'><h2>five</h2><p>six\nseven</p>"
     spark.createDataFrame([(1, html), (2, "none")], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r["page_id"]: r for r in catalog.queries()["html_text_blocks"](spark, str(tmp_path)).collect()}
+    got = {r["page_id"]: r for r in catalog.queries()["html_blocks"](spark, str(tmp_path)).collect()}
     assert [got[1][c] for c in ("n_blocks", "n_h1", "n_h2", "n_p", "n_li", "n_figcaption")] == [5, 1, 1, 2, 1, 0] and got[2]["n_blocks"] == 0
     blocks = [("h1", "On x"), ("p", "One [two](u) & three"), ("li", "four"), ("h2", "five"), ("p", "six\nseven")]
     assert got[1]["text_sha256"] == hashlib.sha256("\n".join("\t".join(b) for b in blocks).encode()).hexdigest()

@@ -158,8 +158,13 @@ def canonical(html: Column, url: Column) -> Column:
     return F.coalesce(found(tag, r"""(?i)href=["']([^"']+)["']"""), url)
 
 
+def _authority(url: Column, group: int = 1) -> Column:
+    """What stands between // and the path (with any port), or the path after it."""
+    return F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)", group), F.lit(""))
+
+
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    return F.regexp_replace(F.lower(_authority(url)), r"^www\.", "")
 
 
 def slug_from_domain(domain: Column) -> Column:
@@ -177,7 +182,7 @@ def publication(url: Column, slugs: dict[str, str] = SLUGS) -> Column:
     paths = sorted((k for k in slugs if "/" in k), key=lambda k: (-len(k), k))
 
     def look_up(own: Column) -> Column:
-        path = F.concat(own, F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+        path = F.concat(own, _authority(url, 2))
         last_two = F.when(F.contains(own, F.lit(".")), F.substring_index(own, ".", -2))
         return F.coalesce(*[F.when(path.startswith(k), F.lit(slugs[k])) for k in paths], F.try_element_at(known, own), F.try_element_at(known, last_two), slug_from_domain(own))
 
@@ -190,7 +195,7 @@ def with_publication(df: DataFrame, url: str = "url", slugs: dict[str, str] = SL
 
 
 def is_video_host(url: Column) -> Column:
-    own = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    own = _authority(url)
     return own.endswith("youtube.com") | own.endswith("youtu.be")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import html as H
 from textloom.functions import text as T
 from textloom.operators import catalog, images, turns
-from textloom.plans.tables import registry, table
+from textloom.plans.tables import registry, table, values_sql
 
 QUERIES, SQL, query = registry()
 
@@ -47,13 +47,6 @@ def html_text(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.sha2(T.collapse(H.strip_tags(F.col("html"))), 256).alias("text_sha256"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?s)<h1[^>]*>.*?</h1>'))::BIGINT AS n_h1 FROM pages")
-def html_blocks(spark, sf_dir):
-    """Headings only; ``html_text_blocks`` has all text blocks."""
-    blocks = pages(spark, sf_dir).select("page_id", F.explode_outer(H.events(F.col("html"))).alias("e"))
-    return blocks.groupBy("page_id").agg(F.count_if(F.col("e.raw").startswith("<h1")).alias("n_h1"))
-
-
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "li", "figcaption")
 BLOCKS_SQL = "(?s)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in BLOCK_TAGS)
 BLOCK_SQL = UNESCAPE_SQL.format("regexp_replace(regexp_replace(regexp_replace(raw, '^<[^>]*>|</[^<]*>$', '', 'g'), '(?s)<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g'), '<[^>]+>', '', 'g')")
@@ -64,7 +57,7 @@ WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '{BLOCKS_SQL}')) AS r
 b AS (SELECT page_id, k, regexp_extract(raw, '^<({"|".join(BLOCK_TAGS)})', 1) AS tag, regexp_replace({BLOCK_SQL}, '^\\s+|\\s+$', '', 'g') AS value FROM r),
 c AS (SELECT page_id, count(*) AS n, {", ".join(f"count(*) FILTER (tag = '{t}') AS n_{t}" for t in BLOCK_TAGS)}, string_agg(tag || chr(9) || value, chr(10) ORDER BY k) AS blocks FROM b WHERE value <> '' GROUP BY page_id)
 SELECT page_id, CAST(coalesce(n, 0) AS INTEGER) AS n_blocks, {", ".join(f"CAST(coalesce(n_{t}, 0) AS INTEGER) AS n_{t}" for t in BLOCK_TAGS)}, sha256(coalesce(blocks, '')) AS text_sha256 FROM pages LEFT JOIN c USING (page_id)""")
-def html_text_blocks(spark, sf_dir):
+def html_blocks(spark, sf_dir):
     """Blocks by tag, and a digest of the tags and texts of all in order."""
     tag = lambda e: F.regexp_extract(e["raw"], f"^<({'|'.join(BLOCK_TAGS)})", 1)
     texts = F.filter(H.events(F.col("html")), lambda e: e["kind"] == "text")
@@ -78,33 +71,67 @@ def html_text_blocks(spark, sf_dir):
 WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages)
 SELECT page_id, host, trim(regexp_replace(replace(regexp_replace(host, '\\.[^.]*$', ''), '.', '-'), '[^a-z0-9-]+', '-', 'g'), '-') AS source_slug FROM h""")
 def url_publication(spark, sf_dir):
+    """Hosts of the pages, of which none is in the table of slugs; ``known_publications`` has all of the table."""
     out = H.with_publication(pages(spark, sf_dir).select("page_id", "url"))
     return out.select("page_id", "host", "source_slug")
 
 
-@query("""
-SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title,
-       CAST(NULL AS VARCHAR) AS author, url AS canonical FROM pages""")
-def meta_chain(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", H.metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.title", "m.author", "m.canonical")
-
-
-SNIPPETS = [
-    (1, "https://www.paulgraham.com/x.html", "<title>Essay</title><body>July 2024 and more</body>"),
-    (2, "https://a.b.example.org/2023/04/05/x", "<title> A\n b </title>"),
-    (3, "https://example.org/x", """<meta property="article:published_time" content="2022-01-02T03:04:05Z"><meta content="it's" name="author">"""),
-    (4, "https://example.org/x", """<script type="application/ld+json">{"@graph":[{"dateModified":"2021-05-06"}],"datePublished":"2020-01-01","headline":"T","author":[{"name":"N"}]}</script>"""),
-    (5, "https://example.org/x", "<time datetime='soon'></time><time datetime='20200102'></time>"),
-    (6, "https://example.org/x", "".join(f"<img src='/wp-content/uploads/{m}/a.png'>" for m in ("2019/03", "2019/04", "2019/04", "2019/04"))),
-    (7, "https://www.youtube.com/watch?v=1", "<title>Video</title>"),
-    (8, "https://example.org/x", "<meta name='pubdate' content='2018/07/08'><link rel='canonical' href='https://c.example.org/'>"),
-]
+#: URLs and their slugs: the longest path, the host, the last two labels of the host, then the domain itself.
+ADDRESSES = [
+    *((f"https://www.{key}/a/b.html?q=1", slug) for key, slug in H.SLUGS.items()),
+    ("https://anthropic.com/news", "anthropic-blog"), ("https://ANTHROPIC.com/careers", "anthropic-blog"), ("https://www.ycombinator.com/blog/x", "yc-blog"), ("https://www.ycombinator.com/library", "y-combinator"),
+    ("https://someone.substack.com/p/x", "substack"), ("https://m.youtube.com/watch?v=1", "youtube"), ("https://my-site.co.uk/x", "my-site-co"), ("http://www.a_b.org", "a-b"), ("nonsense", ""), ("https://x.org/anthropic.com/news", "x"),
+]
+
 
+@query(values_sql("id INTEGER, slug VARCHAR", [(i, slug) for i, (_, slug) in enumerate(ADDRESSES)]))
+def known_publications(spark, sf_dir):
+    rows = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(ADDRESSES)], "id int, url string")
+    return rows.select("id", H.publication(F.col("url")).alias("slug"))
 
-@query()
+
+@query("""
+WITH b AS (SELECT page_id, url, html, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*)</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) ELSE html END,
+  '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '&\\w+;', ' ', 'g'), '\\s+', ' ', 'g')), 1500) AS head FROM pages)
+SELECT page_id, nullif(replace(regexp_extract(url, '/(\\d{4}/\\d{2}/\\d{2})/', 1), '/', '-'), '') AS date, CASE WHEN regexp_matches(url, '/\\d{4}/\\d{2}/\\d{2}/') THEN 'url' ELSE 'none' END AS source,
+       nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title, CAST(NULL AS VARCHAR) AS author, url AS canonical, length(head)::INTEGER AS n_head FROM b""")
+def meta_chain(spark, sf_dir):
+    """All strategies over pages that have a title and a URL only; ``meta_strategies`` has a page for each strategy."""
+    own = pages(spark, sf_dir).select("page_id", H.metadata(F.col("html"), F.col("url")).alias("m"), F.length(H.body_head(F.col("html"))).alias("n_head"))
+    return own.select("page_id", "m.date", "m.source", "m.title", "m.author", "m.canonical", "n_head")
+
+
+PLAIN = "https://example.org/x"
+LD = '<script type="application/ld+json">{}</script>'
+NONE = (None, "none", None, None, PLAIN)
+#: (url, page, (date, source, title, author, canonical)): each strategy, and what it must not take.
+STRATEGIES = [
+    ("https://www.paulgraham.com/x.html", "<title>Essay</title><body>July 2024 and more</body>", ("2024-07-01", "body:month-year", "Essay", None, "https://www.paulgraham.com/x.html")),
+    ("https://a.b.example.org/2023/04/05/x", "<title> A\n b </title>", ("2023-04-05", "url", "A b", None, "https://a.b.example.org/2023/04/05/x")),
+    (PLAIN, """<meta property="article:published_time" content="2022-01-02T03:04:05Z"><meta content="it's" name="author">""", ("2022-01-02", "og:article:published_time", None, "it", PLAIN)),
+    (PLAIN, LD.format('{"@graph":[{"dateModified":"2021-05-06"}],"datePublished":"2020-01-01","headline":"T","author":[{"name":"N"}]}'), ("2021-05-06", "jsonld:dateModified", "T", "N", PLAIN)),
+    (PLAIN, LD.format('{"datePublished":"20200102","name":"By name","author":"A"}'), ("2020-01-02", "jsonld:datePublished", "By name", "A", PLAIN)),
+    (PLAIN, LD.format('[{"headline":" "},{"uploadDate":"2019/08/07x","headline":"H","author":{"name":" Z "}}]'), ("2019-08-07", "jsonld:uploadDate", "H", "Z", PLAIN)),
+    (PLAIN, LD.format('{"dateCreated":"2018-01-01"}') + LD.format("{broken") + "<title>T</title>", ("2018-01-01", "jsonld:dateCreated", "T", None, PLAIN)),
+    (PLAIN, LD.format('{"datePublished":"soon"}') + '<meta name="pubdate" content="2017-01-01">', ("2017-01-01", "meta:pubdate", None, None, PLAIN)),
+    *((PLAIN, f"<meta {a}='{v}' content='2016/0{i % 9 + 1}/02 10:00'>", (f"2016-0{i % 9 + 1}-02", f"meta:{v}", None, None, PLAIN)) for i, (a, v) in enumerate(H.META_DATES) if v != "dc.date.issued"),
+    (PLAIN, "<META CONTENT='20150304' data-x='' NAME='Date'>", ("2015-03-04", "meta:date", None, None, PLAIN)),
+    (PLAIN, "<time datetime='soon'></time><time class=x datetime='20200102'></time>", ("2020-01-02", "html5:time", None, None, PLAIN)),
+    (PLAIN, "".join(f"<img src='/wp-content/uploads/{m}/a.png'>" for m in ("2019/03", "2019/04", "2019/04", "2019/04")), ("2019-04-01", "wp-uploads", None, None, PLAIN)),
+    (PLAIN, "".join(f"<img src='/wp-content/uploads/{m}/a.png'>" for m in ("2019/03", "2019/04", "2019/04")), NONE),
+    (PLAIN, "<body><script>May 1, 2001</script><style>June 2002</style>On <b>March</b>&nbsp;7, 2014</body>", ("2014-03-07", "body:month-day-year", None, None, PLAIN)),
+    (PLAIN, "<body>" + "long " * 400 + "May 1, 2001</body>", NONE),
+    ("https://www.youtube.com/watch?v=1", "<title>Video</title><meta name='date' content='2020-01-01'>", (None, "youtube_skip", None, None, None)),
+    ("https://youtu.be/1", "<title>Video</title>", (None, "youtube_skip", None, None, None)),
+    (PLAIN, "<meta property='og:title' content=' Shared '><title>Own</title><meta property='article:author' content='https://x.org/me'><link href='https://c.example.org/' rel='canonical'>", (None, "none", "Shared", None, "https://c.example.org/")),
+    (PLAIN, "<meta name='author' content='http://me'><meta property='article:author' content=' Me '>", (None, "none", None, "Me", PLAIN)),
+]
+
+
+@query(values_sql("id INTEGER, date VARCHAR, source VARCHAR, title VARCHAR, author VARCHAR, canonical VARCHAR", [(i, *expected) for i, (_, _, expected) in enumerate(STRATEGIES)]))
 def meta_strategies(spark, sf_dir):
-    """Each date strategy once, on constant pages."""
-    rows = spark.createDataFrame(SNIPPETS, "id int, url string, html string")
+    """Each strategy on pages made for it, against the values that the rules give."""
+    rows = spark.createDataFrame([(i, url, html) for i, (url, html, _) in enumerate(STRATEGIES)], "id int, url string, html string")
     return rows.select("id", H.metadata(F.col("html"), F.col("url")).alias("m")).select("id", "m.*")
 
 
@@ -121,7 +148,14 @@ ARTICLE = """<article><a class="image-link" href="https://c.org/images%2Fabcdef1
 <img alt="Chart of growth" src="https://c.org/aaaabbbb1.png"><img src="https://c.org/avatar.png"><h2>Second</h2><img src="data:x"><img src="https://c.org/aaaabbbb1.png"></article>"""
 
 
-@query()
+ANCHORED = [
+    (1, 0, "https://c.org/images%2Fabcdef12-1_x.png", "", "abcdef12-1", -1, 1, True),
+    (1, 1, "https://c.org/s.png", "", "s.png", -1, 2, False),
+    (1, 3, "https://c.org/aaaabbbb1.png", "Chart of growth", "aaaabbbb1", 0, 3, False),
+]
+
+
+@query(values_sql("doc_id INTEGER, pos INTEGER, url VARCHAR, alt VARCHAR, image_id VARCHAR, anchor_index INTEGER, seq INTEGER, is_hero BOOLEAN", ANCHORED))
 def img_anchor(spark, sf_dir):
     docs = spark.createDataFrame([(1, ARTICLE)], "doc_id int, html string")
     blocks = spark.createDataFrame([(1, 0, "First block"), (1, 1, "Second")], "doc_id int, block_no int, text string")
@@ -172,9 +206,15 @@ def year_separators(spark, sf_dir):
     return catalog.year_separators(orders, ["o_custkey"]).groupBy("o_custkey").agg(F.count_if("new_year").alias("n_years"), F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS tag, count(*) AS n FROM events GROUP BY event_type")
+@query("""
+WITH t AS (SELECT event_id, 0 AS k, CASE event_type WHEN 'view' THEN 'talk' WHEN 'click' THEN 'podcast' ELSE event_type END AS tag FROM events UNION ALL SELECT event_id, 1, 'day-' || day(ts) FROM events),
+n AS (SELECT tag, count(*) AS n, min(event_id * 2 + k) AS first, list_position(['podcast', 'essay', 'talk'], tag) AS place FROM t GROUP BY tag)
+SELECT tag, n, CASE WHEN place > 0 THEN 'format' ELSE 'topic' END AS kind, CAST(row_number() OVER (ORDER BY CASE WHEN place > 0 THEN 0 ELSE 1 END, CASE WHEN place > 0 THEN place ELSE -n END, first) AS INTEGER) AS rank FROM n""")
 def tag_counts(spark, sf_dir):
-    return catalog.tag_counts(table(spark, sf_dir, "events").select(F.col("event_id").alias("scan_no"), F.array("event_type").alias("tags"))).select("tag", "n")
+    """Kinds of events, two of them named as formats, and days as topics."""
+    kind = F.when(F.col("event_type") == "view", "talk").when(F.col("event_type") == "click", "podcast").otherwise(F.col("event_type"))
+    tags = F.array(kind, F.concat(F.lit("day-"), F.dayofmonth("ts").cast("string")))
+    return catalog.tag_counts(table(spark, sf_dir, "events").select(F.col("event_id").alias("scan_no"), tags.alias("tags")))
 
 
 @query("""
@@ -199,18 +239,23 @@ def hotword_add(spark, sf_dir):
     return catalog.hotword_add(hotwords(spark, sf_dir, 0), hotwords(spark, sf_dir, 1)).select("word", "weight")
 
 
-@query(f"WITH t AS ({HOTWORDS_SQL.format(0)}), n AS ({HOTWORDS_SQL.format(1)}) SELECT word, CAST(weight AS INTEGER) AS weight FROM t WHERE word NOT IN (SELECT word FROM n)")
+@query(f"WITH t AS ({HOTWORDS_SQL.format(0)}) SELECT word, CAST(weight AS INTEGER) AS weight FROM t WHERE NOT contains(word, 'ly')")
 def hotword_delete(spark, sf_dir):
-    return catalog.hotword_delete(hotwords(spark, sf_dir, 0), hotwords(spark, sf_dir, 1)).select("word", "weight")
+    """The table without its words that contain two letters."""
+    own = hotwords(spark, sf_dir, 0)
+    return catalog.hotword_delete(own, own.where(F.col("word").contains("ly")).select("word")).select("word", "weight")
 
 
-NAMES = ["2024-01-02_naval_on-wealth.html", "2024-01-02_naval_On Wealth.html", "index.html", "2024-1-2_x_y.html", "2023-12-31_y-combinator_a_b.html"]
+NAMES = [
+    "2024-01-02_naval_on-wealth.html", "2024-01-02_naval_On Wealth.html", "index.html", "2024-1-2_x_y.html", "2023-12-31_y-combinator_a_b.html", "2024-01-02_naval_a.htm", "2024-01-02__a.html", "2024-01-02_x_.html",
+    "2024-01-02_naval_économie.html", "2024-01-02_naval_" + "long-" * 14 + "name.html", "x/2024-01-02_naval_a.html", "",
+]
 
 
 @query(f"""
 WITH n(name) AS (VALUES {", ".join(f"('{x}')" for x in NAMES)})
-SELECT name, nullif(regexp_extract(name, '{T.FILENAME}', 1), '') AS date, nullif(regexp_extract(name, '{T.FILENAME}', 2), '') AS source,
-       nullif(regexp_extract(name, '{T.FILENAME}', 3), '') AS rest, name = lower(name) AS lower_case FROM n""")
+SELECT name, nullif(regexp_extract(name, '{T.FILENAME}', 1), '') AS date, nullif(regexp_extract(name, '{T.FILENAME}', 2), '') AS source, nullif(regexp_extract(name, '{T.FILENAME}', 3), '') AS rest,
+       name = lower(name) AS lower, regexp_full_match(name, '[\\x00-\\x7f]*') AS ascii, length(name) <= 80 AS short, regexp_matches(name, '{T.FILENAME}') AS pattern FROM n""")
 def filename_parse(spark, sf_dir):
     names = spark.createDataFrame([(x,) for x in NAMES], "name string")
-    return names.select("name", T.parse_filename(F.col("name")).alias("f"), T.lint_filename(F.col("name"))["lower"].alias("lower_case")).select("name", "f.date", "f.source", "f.rest", "lower_case")
+    return names.select("name", T.parse_filename(F.col("name")).alias("f"), T.lint_filename(F.col("name")).alias("l")).select("name", "f.date", "f.source", "f.rest", "l.*")
