@@ -50,7 +50,7 @@ def some_documents(seed, groups=6):
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 50, 100), (2, 100, 100)])
-@pytest.mark.parametrize("limits", [{}, {"block_elements": 60, "block_sets": 3, "pack_elements": 100, "broadcast_ids": 0}])
+@pytest.mark.parametrize("limits", [{}, {"block_elements": 60, "block_sets": 3, "broadcast_ids": 0, "bloom_words": 8, "combine": 40, "here": 3}])
 def test_against_brute_force(spark, n, num, den, limits):
     docs = some_documents(n * 7 + num)
     df = spark.createDataFrame([(i, t, 5, 6) for i, t in docs], "doc_id long, text string, n int, fp int")
@@ -78,6 +78,42 @@ def test_linked_sets_share_a_signature():
             assert keys[0] & keys[1], (num, len(a), len(b), common)
 
 
+def test_shared_passage_makes_no_links(spark):
+    """Documents of which half is one passage: candidates in one cluster, none of them linked, split by bitmaps."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(25))) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + f" end{i}") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for options in ({}, {"block_sets": 4}):
+        got = ngram_join.near_duplicates(df, **options).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain(docs, 5, 80, 100)
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(2)
+    bands = ngram_join.Bands(80, 100)
+    ruled_out = 0
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900)), dtype=np.uint64))
+        keep = rng.random(len(a)) < rng.choice([0.5, 0.85, 0.95, 1.0])
+        b = np.unique(np.concatenate([a[keep], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 10)), dtype=np.uint64)]))
+        if len(b):
+            linked = bands.linked(len(np.intersect1d(a, b)), len(a), len(b))
+            maybe = ngram_join.maybe_within(bands, np.array([1, 2]), [ngram_join.bitmap(x, bands) for x in (a, b)], np.array([len(a), len(b)]), np.array([0, 0]))
+            assert maybe or not linked
+            ruled_out += not maybe
+    assert ruled_out > 30
+
+
+def test_long_text(spark):
+    """Whole texts are compared: two long ones that differ in their last part only are no copies."""
+    base = [f"w{i}" for i in range(30_000)]
+    docs = [(1, " ".join(base)), (2, " ".join([*base[:28_000], *(f"x{i}" for i in range(2_000))])), (3, " ".join([*base[:15_000], *(f"y{i}" for i in range(15_000))]))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 29996, 1), (2, 29996, 1), (3, 29996, 3)]
+
+
 def test_nothing(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     alone = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "doc_id long, text string")
@@ -105,5 +141,6 @@ def test_components(spark):
         if a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for x in root}
+    for here in (1_000_000, 20):
+        got = [(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "u long, v long"), here).collect()]
+        assert sorted(got) == sorted((x, find(x)) for x in root)

@@ -56,6 +56,34 @@ def test_bpe(codec, library, text):
     assert codec.decode_flat(np.array(ids, np.int32))[0].tobytes() == text.encode()
 
 
+def test_bpe_with_other_patterns(library):
+    assert bpe.WORD_PATTERN == P.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    for pattern in (r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+", r"(\p{L})+|\s+", r"[^ ]+ ?| +"):
+        own, other = bpe.ByteBPE(bpe.read_file(RANKS), pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for t in ("the cat sat on the mat", "a  b, c. 12!", *LONG):
+            assert own.encode(t) == other.encode_ordinary(t), (pattern, t[:30])
+
+
+def test_counter_refuses_other_models(monkeypatch):
+    """A model whose library counts by other rules than those compiled."""
+    monkeypatch.setattr(token_count.CountTransducer, "word", lambda self, run: 1 + len(run))
+    with pytest.raises(ValueError, match="not supported"):
+        token_count.CountTransducer(token_count.read_file(MODEL))
+
+
+def test_state_maps_compose(counter):
+    texts = ["▁the▁quick", "brownfoxes", "jumping", "▁over", "漢字the", "▁" * 30]
+    chunks = [counter.chunk(t) for t in texts]
+    a, b, c, *_ = maps = counter.state_maps(chunks, counter.FRESH)
+    assert counter.compose(counter.compose(a, b), c) == counter.compose(a, counter.compose(b, c))
+    assert all(set(m) == {s for s, _ in before.values()} for before, m in zip(maps, maps[1:]))
+    whole = maps[0]
+    for m in maps[1:]:
+        whole = counter.compose(whole, m)
+    assert whole[counter.FRESH][0] == counter.run(counter.FRESH, "".join(texts))[1] and whole[counter.FRESH][1] == counter.run(counter.FRESH, "".join(texts))[0]
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS, st.integers(1, 9))
 def test_counts(counter, pieces, text, chunk):
@@ -94,7 +122,7 @@ def test_queries_match_the_libraries(spark, small, library, pieces):
 def test_edges(spark):
     schema = "doc_id long, text string, ids string, n_tokens int, extra int"
     df = spark.createDataFrame([(None, None, "x", 1, 7), (1, "", "x", 1, 7), (1, "hi", None, 1, 7), (1, "hi", None, 1, 7)], schema)
-    out = bpe.bpe_decode(bpe.bpe_encode(df, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    out = bpe.bpe_decode(bpe.bpe_encode(df, RANKS, P.PATTERN), RANKS)
     assert sorted((bytes(r["decoded"]), r["extra"], len(r["ids"])) for r in out.collect()) == [(b"", 7, 0), (b"", 7, 0), (b"hi", 7, 1), (b"hi", 7, 1)]
     assert sorted(r["n_tokens"] for r in token_count.count_tokens(df, MODEL).collect()) == [0, 0, 1, 1]
     for made in (out, token_count.count_tokens(df, MODEL)):

@@ -8,8 +8,9 @@ memoised); a byte position that leads nowhere is marked, so each is left at
 most once per token that begins there and the walk is linear in the piece.
 
 Results: a null text is encoded as an empty one (no ids). Empty texts give no
-ids, which decode to no bytes. Rows are encoded one by one, so ties, repeated
-rows, very long texts and empty tables need nothing special; input columns
+ids, which decode to no bytes. Parts of a text that the pattern doesn't match
+have no ids. Rows are encoded one by one, so ties, repeated rows, very long
+texts and empty tables need nothing special; input columns
 stay, but for one with the name of the output, which is replaced.
 """
 
@@ -29,14 +30,18 @@ from pyspark.sql import functions as F
 from textloom.llm.merges import MergeOrder
 from textloom.llm.shared import Shared, read_file
 
-#: Twice so many words, and pieces, at most are kept with their ids by each worker; the vocabulary and this bound its memory.
-WORDS, PIECES = 150_000, 30_000
+#: Twice so many words, and pieces, at most are kept with their ids by each worker; with ``LONGEST`` (below) that bounds them to some 60 MB.
+WORDS, PIECES = 100_000, 30_000
 #: Longer keys are not kept.
 LONGEST = 64
 #: White space other than spaces and line breaks.
 RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
+#: The piece pattern (fixed) of which ``packed`` knows how it cuts at spaces and after letters; texts are cut piece by piece for any other.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Memo:
     """A bounded memo of strings in two generations: what is still asked for moves to the younger one."""
 
@@ -55,14 +60,39 @@ class Memo:
         return found
 
 
-class ByteBPE:
-    """Encoder and decoder for one rank file and one piece pattern."""
+def read_ranks(rank_file: bytes) -> dict[str, int]:
+    """Ids by the tokens' bytes, as Latin-1 characters."""
+    return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
+
+
+class Decoder:
+    """The bytes of all ids, in arrays."""
+
+    def __init__(self, rank_file: bytes):
+        text = {i: s for s, i in read_ranks(rank_file).items()}
+        parts = [text.get(i, "").encode("latin-1") for i in range(max(text) + 1)]
+        self.width = np.array([len(p) for p in parts], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.width)[:-1]])
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and how many each id has."""
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total, dtype=np.int64) + np.repeat(self.start[ids] - (ends - width), width)
+        return self.bytes[place], width
+
+
+class ByteBPE(Decoder):
+    """Encoder, and decoder, for one rank file and one piece pattern."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        self.ids = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
-        self.text = {i: s for s, i in self.ids.items()}
+        super().__init__(rank_file)
+        self.ids = read_ranks(rank_file)
         self.order = MergeOrder(self.ids)
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = lambda text, cut=regex.compile(pattern).finditer: [m.group() for m in cut(text)]  # whatever groups the pattern has
+        self.by_words = pattern == WORD_PATTERN
         self.pack = lambda ids: struct.pack(f"{len(ids)}i", *ids)
         self.index = ahocorasick.Automaton()
         for s in self.ids:
@@ -72,11 +102,6 @@ class ByteBPE:
         self.by_piece = Memo(self.piece_ids, PIECES)
         self.by_word = Memo(self.word_ids, WORDS)
         self.cut: dict[str, str | None] = {}
-        size = max(self.text) + 1
-        parts = [self.text.get(i, "").encode("latin-1") for i in range(size)]
-        self.width = np.array([len(p) for p in parts], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.width)[:-1]])
-        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
 
     def shorter(self, token: str) -> str | None:
         """The longest token that is a proper prefix of the token."""
@@ -132,7 +157,7 @@ class ByteBPE:
 
     def packed(self, text: str) -> bytes:
         """Ids as 32-bit numbers. Where each space stands alone between words, pieces begin at the spaces, and words are looked up whole."""
-        if "\n " in text or " \n" in text or RARE(text):
+        if not self.by_words or "\n " in text or " \n" in text or RARE(text):
             return self.by_pieces(text)
         first, *words = text.split(" ")
         if not first or "" in words:
@@ -143,14 +168,6 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids, and how many each id has."""
-        width = self.width[ids]
-        ends = np.cumsum(width)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total, dtype=np.int64) + np.repeat(self.start[ids] - (ends - width), width)
-        return self.bytes[place], width
-
 
 def share(spark: SparkSession, rank_path: str, pattern: str) -> Shared:
     return Shared(spark, ByteBPE, read_file(rank_path), pattern)
@@ -186,11 +203,29 @@ def decode_column(shared: Shared, ids: Column) -> Column:
     return decoded(ids)
 
 
+def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds the ids of each whole text and the bytes that these ids stand for, by one codec in one pass."""
+    shared = share(df.sparkSession, rank_path, pattern)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        codec, ends, flat, parts = shared.get(), [0], [], []
+        for t in texts:
+            flat.append(codec.packed(t.as_py() or ""))
+            ends.append(ends[-1] + len(flat[-1]) // 4)
+            parts.append(codec.decode_flat(np.frombuffer(flat[-1], np.int32))[0].tobytes())
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+        return pa.StructArray.from_arrays([listed, pa.array(parts, pa.binary())], ["ids", "decoded"])
+
+    out = df.withColumn("__both", both.asNondeterministic()(F.col(text)))
+    return out.withColumn(ids, F.col("__both.ids")).withColumn(decoded, F.col("__both.decoded")).drop("__both")
+
+
 def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each whole text."""
     return df.withColumn(ids, encode_column(share(df.sparkSession, rank_path, pattern), F.col(text)))
 
 
-def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def bpe_decode(df: DataFrame, rank_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for."""
-    return df.withColumn(decoded, decode_column(share(df.sparkSession, rank_path, pattern), F.col(ids)))
+    return df.withColumn(decoded, decode_column(Shared(df.sparkSession, Decoder, read_file(rank_path)), F.col(ids)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 FOREVER = 1 << 60
 #: Pairs of tokens that are remembered at a time.
-MOST_PAIRS = 300_000
+MOST_PAIRS = 200_000
 
 
 class MergeOrder:

@@ -5,21 +5,32 @@ that can link are in the same band or in neighbouring ones. For each band there
 is a scheme: the universe of n-gram hashes is partitioned into segments by
 hash. Sets that link differ in at most H elements, H from the band's sizes, so
 they can't differ in as many segments as the scheme allows for. A segment
-indexed by its whole subset counts 1 towards H + 1, one indexed by its subset
-and all its one-deletion neighbours counts 2 (it is missed only if two elements
-differ). How many segments are of either kind is chosen for each band by the
-cost of index rows and of chance matches; spare segments are added so that sets
-with no more than so many empty whole segments needn't index those, on which
-all sets would meet. A subset's signature is a sum of mixed hashes, from which
-one-deletion neighbours come by subtraction.
-
-Sets with a common signature are linked to the least of them, and the
-components of these candidate links are clusters, outside of which no link can
-be. Within clusters all pairs are verified on the whole sets, in groups: small
-clusters are packed together; large ones are dealt by band and blocks, so that
-each two blocks of compatible bands meet in one group of bounded size. A group
-compares by sparse counts, writes no pairs, and returns a spanning forest of
-the links found. Exact copies are one set throughout, so copies cost nothing.
+indexed by its whole subset weighs 1, one indexed by its subset and all its
+one-deletion neighbours weighs 2 (it is missed only if two elements differ).
+The weights add up to H + 1 + spare, so subsets of linked sets agree in
+segments that weigh spare + 1 or more.
+
+That lets each set leave out ``spare`` whole segments: those with the smallest
+subsets, ties broken by signature, on which chance matches would be frequent.
+Of the segments in which two linked sets agree, the one with the largest subset
+is left out by neither: it is the same subset in both, and if one left it out,
+so it would all the others they agree in, which are too many. How many segments
+are of either kind, and the spare, are chosen for each band by the cost of index
+rows and of chance matches. A subset's signature is a sum of mixed hashes, from
+which one-deletion neighbours come by subtraction.
+
+Sets with a common signature are linked to the least of them (within what a task
+holds at once before the shuffle, so that a signature that very many sets share
+is a row for each task), and the components of these candidate links are
+clusters, outside of which no link can be. Large clusters are first split:
+parity bitmaps of the sets (a bit flipped for each element) differ in at most as
+many bits as the sets in elements, so pairs whose bitmaps differ in more than H
+bits are no links, and only components of the other pairs stay together. Within
+clusters all pairs are verified on the whole sets, in groups: small clusters are
+packed together; large ones are dealt by band and blocks, so that each two
+blocks of compatible bands meet in one group of bounded size. A group compares
+by sparse counts, writes no pairs, and returns a spanning forest of the links
+found. Exact copies are one set throughout, so copies cost nothing.
 
 Hashes have 64 bits; that no two sets share a fingerprint is checked with 64
 more bits, and the run repeated with another seed if two do.
@@ -27,8 +38,12 @@ more bits, and the run repeated with another seed if two do.
 Results: words are runs without ``[\\x20\\x09-\\x0D]``, A-Z lower-cased. A text
 with fewer than n words is one n-gram; a null text, or one without words, has
 an empty set and no links: its component is its own id. Rows with one id are
-one document with several sets. A null id is in no component (null), and its
-row links nothing. The result has doc_id, n_shingles, component_id only.
+one document with several sets: all their components become one; repeated rows
+get a row each. A null id is in no component (null), and its row links nothing.
+A component is named by its least id, so ties don't arise. Very long texts are
+one set like others, never cut. An empty table gives an empty result. The
+result has doc_id, n_shingles, component_id only, whatever other columns are
+called.
 """
 
 from __future__ import annotations
@@ -40,18 +55,24 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.components import components
+from textloom.llm.components import HERE, components, stars
 from textloom.llm.mph import mix
 from textloom.llm.stored import release, store
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: A block of a large cluster has about so many elements and sets; a pack of small clusters so many elements.
-BLOCK_ELEMENTS, BLOCK_SETS, PACK_ELEMENTS = 120_000, 256, 1_000_000
-#: Ids that may be broadcast to pick the documents whose sets are verified; beyond, they are joined.
-BROADCAST_IDS = 2_000_000
+#: A block of a large cluster has about so many elements and sets at most; a pack of small clusters two blocks' worth.
+BLOCK_ELEMENTS, BLOCK_SETS = 120_000, 256
+#: Blocks of bitmaps hold more, as a bitmap is so much smaller than its set.
+BITMAP_SETS, BITMAP_ELEMENTS = 4, 32
+#: Ids that may be broadcast to pick the documents whose sets are verified; beyond, a Bloom filter of ``BLOOM_WORDS`` words is.
+BROADCAST_IDS, BLOOM_WORDS = 2_000_000, 1 << 22
+#: Signatures that a task combines at once.
+COMBINE = 400_000
+#: The cost model: so many other sets share a twentieth of a set's elements with it; a chance match costs as much as an index row.
+PARTNERS, SHARED = 1000.0, 0.05
 
 
 def ngrams(text: str | None, n: int, seed: int = 0) -> np.ndarray:
@@ -81,26 +102,42 @@ class Bands:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * self.den // self.num))
         return int(np.searchsorted(self.tops, size))
 
+    def most_apart(self, a, b):
+        """Elements in which linked sets of these sizes can differ."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
+
     @lru_cache(maxsize=None)  # noqa: B019
     def scheme(self, band: int) -> tuple[int, int, int]:
-        """Segments indexed whole, segments indexed with one-deletion neighbours, and empty segments that may be left out."""
+        """Segments with a whole subset, segments with one-deletion neighbours, and whole ones that a set leaves out."""
         while len(self.tops) <= band:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * self.den // self.num))
         size = self.tops[band]
-        most = 2 * size * (self.den - self.num) // (self.den + self.num)
+        most = self.most_apart(size, size)
         found = []
-        for share in range(5):
-            deleted = (most + 1) * share // 8
-            whole = most + 1 - 2 * deleted
-            segments = whole + deleted
-            spare = int(whole * exp(-size / segments) + 0.5) if segments > 1 else 0
-            whole, segments = whole + spare, segments + spare
-            mean = size / segments
-            rows = whole + deleted * (1 + mean)
-            chance = whole * exp(-mean) + deleted * (1 + mean) * exp(-mean)
-            found.append((rows + 50 * chance, (whole, deleted, spare)))
+        for deleted in sorted({(most + 1) * share // 8 for share in range(5)}):
+            for spare in sorted({(most + 1 - 2 * deleted) * share // 8 for share in range(5)}):
+                whole = most + 1 - 2 * deleted + spare
+                found.append((self.cost(size, whole, deleted, spare), (whole, deleted, spare)))
         return min(found)[1]
 
+    @staticmethod
+    def cost(size: int, whole: int, deleted: int, spare: int) -> float:
+        """Index rows of a set, and its chance matches with sets that share a part of its elements."""
+        mean = size / (whole + deleted)
+        apart, alike = 2 * (1 - SHARED) * mean, SHARED * mean
+        left_out, least, share = spare / max(whole, 1), 0, exp(-mean)  # the subsets left out are the smallest: those under ``least``
+        below = share
+        while below <= left_out:
+            least += 1
+            share *= mean / least
+            below += share
+        term, matches = exp(-alike), 0.0  # a whole subset matches if all of it is shared and nothing else is there
+        for k in range(least + 30):
+            matches += term if k >= least else 0.0
+            term *= alike / (k + 1)
+        rows = whole - spare + deleted * (1 + mean)
+        return rows + PARTNERS * (whole * matches * exp(-apart) + deleted * (1 + apart) * exp(-apart))
+
     def signatures(self, elements: np.ndarray, band: int) -> np.ndarray:
         """What the set indexes in a band's scheme."""
         whole, deleted, spare = self.scheme(band)
@@ -113,13 +150,14 @@ class Bands:
         there = np.flatnonzero(np.diff(of, prepend=-1))
         sums = np.zeros(segments, np.uint64)
         sums[of[there]] = np.add.reduceat(value, there)
-        keep = np.ones(segments, bool)
-        empty = np.ones(segments, bool)
-        empty[of] = False
-        if empty[deleted:].sum() <= spare:  # the first ones are those with neighbours
-            keep[deleted:] = ~empty[deleted:]
         salt = mix(np.arange(segments, dtype=np.uint64), 1_000_003 + band)
-        keys = [(sums + salt)[keep]]
+        own = sums + salt
+        if spare:  # the first segments are those with neighbours; of the others the smallest are left out
+            sizes = np.bincount(of, minlength=segments)[deleted:]
+            kept = own[deleted:][np.lexsort((own[deleted:], sizes))[spare:]]
+            keys = [own[:deleted], kept]
+        else:
+            keys = [own]
         if deleted:
             near = of < deleted
             keys.append((sums[of] - value + salt[of])[near])
@@ -143,13 +181,13 @@ def _fingerprints(docs: DataFrame, n: int, seed: int) -> DataFrame:
     return docs.mapInArrow(made, "doc_id long, n long, fp long, check long")
 
 
-def _index(docs: DataFrame, n: int, seed: int, bands: Bands) -> DataFrame:
+def _index(docs: DataFrame, n: int, seed: int, bands: Bands, combine: int) -> DataFrame:
     """(key, fp): each set's signatures in the scheme of its own band and of the next."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within what is combined
+        keys, ids, held = [], [], 0
         for batch in batches:
-            seen: set[int] = set()  # copies within the batch
-            keys, ids, held = [], [], 0
             for t in batch.column(0):
                 s = ngrams(t.as_py(), n, seed)
                 if not len(s) or (fp := int(np.bitwise_xor.reduce(mix(s, 3)))) in seen:
@@ -160,14 +198,31 @@ def _index(docs: DataFrame, n: int, seed: int, bands: Bands) -> DataFrame:
                 keys.append(own)
                 ids.append(np.full(len(own), fp, np.uint64))
                 held += len(own)
-                if held > 500_000:
-                    yield _two(keys, ids)
+                if held > combine:
+                    yield _combined(keys, ids)
                     keys, ids, held = [], [], 0
-            yield _two(keys, ids)
+                    seen.clear()
+        yield _combined(keys, ids)
 
     return docs.mapInArrow(made, "key long, fp long")
 
 
+def _combined(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Of each signature the least set only. The sets of a component of what is combined are joined to its least by a signature of their own, once."""
+    if not keys:
+        return _two([], [])
+    key, fp = np.concatenate(keys), np.concatenate(ids)
+    order = np.argsort(key, kind="stable")
+    key, fp = key[order], fp[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    least = np.minimum.reduceat(fp, starts)
+    of = np.repeat(least, np.diff(np.append(starts, len(key))))
+    others = np.flatnonzero(fp != of)
+    root, leaf = stars(of[others], fp[others])
+    joint = mix(mix(root, 17) ^ leaf, 19)
+    return _two([key[starts], joint, joint], [least, root, leaf])
+
+
 def _two(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
     cat = lambda xs: pa.array(np.concatenate(xs).view(np.int64) if xs else np.zeros(0, np.int64))
     return pa.RecordBatch.from_arrays([cat(keys), cat(ids)], ["key", "fp"])
@@ -209,9 +264,8 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links_within(bands: Bands, fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
+def links_within(bands: Bands, fps: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links in one cluster or between two blocks of one (sides 1 and 2; 0: all with all)."""
-    sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         pairs = [(0, 1)] if bands.linked(len(np.intersect1d(*sets, assume_unique=True)), *sizes) else []
     elif (sides == 0).all():
@@ -226,17 +280,38 @@ def links_within(bands: Bands, fps: np.ndarray, sets: list[np.ndarray], sides: n
     return [(int(fps[i]), int(fps[j])) for i, j in pairs]
 
 
-def _groups(clusters: DataFrame, bands: Bands, block_elements: int, block_sets: int, pack_elements: int) -> DataFrame:
-    """(fp, grp, sub, side): which groups a set is in. clusters: (fp, n, cluster)."""
+def bitmap(elements: np.ndarray, bands: Bands) -> np.ndarray:
+    """A parity bitmap of a power of two bits, some for each element in which a linked set may differ; halves add up to the bitmap of half the size."""
+    bits = 64
+    while bits < 6 * bands.most_apart(len(elements), len(elements)):
+        bits *= 2
+    odd = np.bincount((mix(elements, 77) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def maybe_within(bands: Bands, fps: np.ndarray, bitmaps: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bitmaps don't rule out a link."""
+    words = min(map(len, bitmaps))
+    flat = np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in bitmaps])
+    near = np.zeros((len(sizes), len(sizes)), bool)
+    for i in range(len(sizes)):
+        apart = np.bitwise_count(flat ^ flat[i]).sum(axis=1)
+        near[i] = (apart <= bands.most_apart(sizes, sizes[i])) & ((sides != sides[i]) | (sides[i] == 0))
+    np.fill_diagonal(near, False)
+    return [(int(fps[i]), int(fps[j])) for i, j in spanning(near)]
+
+
+def _groups(clusters: DataFrame, bands: Bands, block_elements: int, block_sets: int) -> DataFrame:
+    """(fp, n, grp, sub, side): which groups a set is in. clusters: (fp, n, cluster)."""
     tops = bands.tops
     of_band = F.size(F.filter(F.array(*[F.lit(t).cast("long") for t in tops]), lambda t: t < F.col("n")))
     clusters = store(clusters.withColumn("band", of_band))
     whole = clusters.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
-    small = (F.col("elements") <= 2 * block_elements) & (F.col("sets") <= 2 * block_sets)
-    total = whole.where(small).agg(F.sum("elements")).first()[0] or 0
-    packs = max(1, -(-total // pack_elements))
+    small = (F.col("elements") <= block_elements) & (F.col("sets") <= block_sets)
+    total = whole.where(small).agg(F.sum("elements"), F.sum("sets")).first()
+    packs = max(1, -(-(total[0] or 0) // block_elements), -(-(total[1] or 0) // block_sets))
     sized = clusters.join(whole.withColumn("small", small).select(F.col("cluster").alias("c2"), "small"), F.col("cluster") == F.col("c2")).drop("c2")
-    packed = sized.where("small").select("fp", F.struct(F.lit(0).cast("long").alias("a"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("b"), F.lit(0).alias("k"), F.lit(0).alias("l")).alias("grp"), F.col("cluster").alias("sub"), F.lit(0).alias("side"))
+    packed = sized.where("small").select("fp", "n", F.struct(F.lit(0).cast("long").alias("a"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("b"), F.lit(0).alias("k"), F.lit(0).alias("l")).alias("grp"), F.col("cluster").alias("sub"), F.lit(0).alias("side"))
     large = sized.where(~F.col("small"))
     blocks = large.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.sum("n") / block_elements), F.ceil(F.count("*") / block_sets)).cast("long").alias("blocks"))
     near = lambda shift, name: blocks.select(F.col("cluster").alias(f"c_{name}"), (F.col("band") + shift).alias(f"b_{name}"), F.col("blocks").alias(name))
@@ -251,49 +326,96 @@ def _groups(clusters: DataFrame, bands: Bands, block_elements: int, block_sets:
     up = F.transform(to(F.col("above")), lambda j: meet(i, j, b + 1, b + 2, F.lit(1)))
     down = F.transform(to(F.col("below")), lambda j: meet(j, i, b, b + 1, F.lit(2)))
     dealt = large.withColumn("g", F.explode(F.concat(same, up, down)))
-    dealt = dealt.select("fp", F.struct("g.a", "g.b", "g.k", "g.l").alias("grp"), F.lit(0).cast("long").alias("sub"), F.col("g.side").alias("side"))
+    dealt = dealt.select("fp", "n", F.struct("g.a", "g.b", "g.k", "g.l").alias("grp"), F.lit(0).cast("long").alias("sub"), F.col("g.side").alias("side"))
     return packed.unionByName(dealt)
 
 
-def _verified(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int, seed: int, bands: Bands, limits: tuple[int, int, int], broadcast_ids: int) -> DataFrame:
-    """(u, v): links between sets, a spanning forest for each group. members: (fp, n, rep) of all sets."""
-    involved = store(clusters.join(members, clusters["node"] == members["fp"]).select("fp", "n", "rep", F.col("component").alias("cluster")))
-    count = involved.count()
+def bloom(ids: DataFrame, words: int) -> np.ndarray:
+    """A Bloom filter of 64-bit words over ids (r): made by the tasks, at most ``words`` rows come to the driver."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = _spots(batch.column(0).to_numpy(), words)
+            yield pa.RecordBatch.from_arrays([pa.array(word.ravel()), pa.array(bit.ravel().view(np.int64))], ["word", "bit"])
+
+    found = ids.select("r").mapInArrow(made, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _spots(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    dealt = np.stack([mix(ids.view(np.uint64), seed) for seed in (31, 32, 33)])
+    return ((dealt >> np.uint64(32)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (dealt & np.uint64(63))
+
+
+def _sets(docs: DataFrame, involved: DataFrame, n: int, seed: int, made_of, broadcast_ids: int, bloom_words: int) -> DataFrame:
+    """(f, elements): what ``made_of`` makes of each set that is involved. Texts stay where they are; what is made goes on."""
     ids = involved.select(F.col("rep").alias("r"), F.col("fp").alias("f"))
-    picked = docs.join(F.broadcast(ids) if count <= broadcast_ids else ids, F.col("doc_id") == F.col("r")).select("f", "text")
+    filtered = None
+    if involved.count() <= broadcast_ids:
+        docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("r")).select("doc_id", "text", "f")
+    else:
+        filtered = docs.sparkSession.sparkContext.broadcast(bloom(ids, bloom_words))
+        docs = docs.where("doc_id is not null").select("doc_id", "text", F.lit(None).cast("long").alias("f"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            here = range(len(batch))
+            if filtered is not None:
+                word, bit = _spots(batch.column(0).to_numpy(), bloom_words)
+                here = np.flatnonzero((filtered.value[word] & bit != 0).all(axis=0)).tolist()
             fps, out = [], []
-            for f, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = ngrams(t.as_py(), n, seed)
-                if len(s) and int(np.bitwise_xor.reduce(mix(s, 3)).view(np.int64)) == f:  # of rows with one id, the one meant
-                    fps.append(f)
-                    out.append(s.tobytes())
+            for i in here:
+                s = ngrams(batch.column(1)[i].as_py(), n, seed)
+                fp = int(np.bitwise_xor.reduce(mix(s, 3)).view(np.int64)) if len(s) else None
+                if fp is not None and batch.column(2)[i].as_py() in (None, fp):  # of rows with one id, the one meant
+                    fps.append(fp)
+                    out.append(made_of(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(out, pa.binary())], ["f", "elements"])
 
-    sets = picked.mapInArrow(made, "f long, elements binary")
+    return docs.mapInArrow(made, "f long, elements binary")
+
+
+def _compared(sets: DataFrame, involved: DataFrame, bands: Bands, limits: tuple[int, int], within) -> DataFrame:
+    """(u, v): what ``within`` finds in each group of what was made of the sets. involved: (fp, n, cluster)."""
     groups = _groups(involved.select("fp", "n", "cluster"), bands, *limits)
-    rows = groups.join(sets, F.col("fp") == F.col("f")).select("grp", "sub", "side", "fp", "elements")
+    rows = groups.join(sets, F.col("fp") == F.col("f")).select("grp", "sub", "side", "fp", "n", "elements")
 
-    def verify(table: pa.Table) -> pa.Table:
+    def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("sub", "ascending"), ("fp", "ascending")]).combine_chunks()
-        sub, side, fps = (table.column(c).to_numpy() for c in ("sub", "side", "fp"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+        sub, side, fps, sizes = (table.column(c).to_numpy() for c in ("sub", "side", "fp", "n"))
+        made = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
         found: list[tuple[int, int]] = []
         ends = np.flatnonzero(np.diff(sub)) + 1
         for lo, hi in zip([0, *ends], [*ends, len(sub)]):
             once = lo + np.unique(fps[lo:hi], return_index=True)[1]  # rows may repeat
             if len(once) > 1:
-                found += links_within(bands, fps[once], [sets[i] for i in once], side[once])
+                found += within(bands, fps[once], [made[i] for i in once], sizes[once], side[once])
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    return rows.groupBy("grp").applyInArrow(verify, "u long, v long")
+    return rows.groupBy("grp").applyInArrow(compare, "u long, v long")
+
+
+def _links(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int, seed: int, bands: Bands, limits: tuple[int, int], broadcast_ids: int, bloom_words: int, here: int) -> DataFrame:
+    """(u, v): links between sets, a spanning forest for each group. members: (fp, n, rep) of all sets."""
+    involved = store(clusters.join(members, clusters["node"] == members["fp"]).select("fp", "n", "rep", F.col("component").alias("cluster")))
+    made = lambda rows, of: _sets(docs, rows, n, seed, of, broadcast_ids, bloom_words)
+    whole = involved.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
+    large = store(whole.where((F.col("elements") > limits[0]) | (F.col("sets") > limits[1])).select(F.col("cluster").alias("large")))
+    if not large.isEmpty():
+        on = F.col("cluster") == F.col("large")
+        split = involved.join(large, on, "left_semi")
+        maybe = _compared(made(split, lambda s: bitmap(s, bands)), split, bands, (limits[0] * BITMAP_ELEMENTS, limits[1] * BITMAP_SETS), maybe_within)
+        parts = components(store(maybe), here)
+        again = split.drop("cluster").join(parts, F.col("fp") == F.col("node")).select("fp", "n", "rep", F.col("component").alias("cluster"))
+        involved = store(involved.join(large, on, "left_anti").select("fp", "n", "rep", "cluster").unionByName(again))
+    return _compared(made(involved, lambda s: s), involved, bands, limits, links_within)
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100,
-    block_elements: int = BLOCK_ELEMENTS, block_sets: int = BLOCK_SETS, pack_elements: int = PACK_ELEMENTS, broadcast_ids: int = BROADCAST_IDS,
+    block_elements: int = BLOCK_ELEMENTS, block_sets: int = BLOCK_SETS, broadcast_ids: int = BROADCAST_IDS, bloom_words: int = BLOOM_WORDS, combine: int = COMBINE, here: int = HERE,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (least id reachable by links of Jaccard num/den or more) of each row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -307,20 +429,19 @@ def near_duplicates(
             break
     bands.band(int(most or 1) + 1)
     bands.scheme(len(bands.tops))  # the band after the last
-    # the same filter as the join below puts on its side: so both uses share one exchange
-    raw = _index(docs.where("doc_id is not null").select("text"), n, seed, bands).where("key is not null and fp is not null").repartition("key")
-    shared = raw.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select(F.col("key").alias("k"), "least")
-    stars = raw.join(shared, F.col("key") == F.col("k")).where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v")).distinct()
-    spark, stars = docs.sparkSession, store(stars)
-    del raw, shared
-    release(spark)  # the signatures are the largest thing shuffled here, and done with
-    clusters = components(stars)
-    links = components(store(_verified(docs, sets, clusters, n, seed, bands, (block_elements, block_sets, pack_elements), broadcast_ids)))
+    # each signature is here once for each ``combine`` rows of a task at most, so no task gets very many rows of one
+    index = _index(docs.where("doc_id is not null").select("text"), n, seed, bands, combine)
+    least = F.min("fp").over(Window.partitionBy("key").orderBy("fp"))
+    candidates = index.withColumn("least", least).where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    candidates = store(candidates)
+    release(docs.sparkSession)  # the signatures are the largest thing shuffled here, and done with
+    clusters = components(candidates, here)
+    links = components(store(_links(docs, sets, clusters, n, seed, bands, (block_elements, block_sets), broadcast_ids, bloom_words, here)), here)
     # a document whose sets differ (several rows of one id) joins their components as well
     own = marked.where("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b")
     if not own.isEmpty():
         several = marked.join(own.select(F.col("doc_id").alias("d"), "a"), F.col("doc_id") == F.col("d")).where("fp <> a").select(F.col("a").alias("u"), F.col("fp").alias("v")).distinct()
-        links = components(store(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(several)))
+        links = components(store(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(several)), here)
     labelled = sets.select("fp", "rep").join(links, F.col("fp") == F.col("node"), "left").withColumn("c", F.coalesce("component", "fp"))
     least = labelled.groupBy("c").agg(F.min("rep").alias("component_id")).withColumnRenamed("c", "c2")
     by_set = labelled.join(least, F.col("c") == F.col("c2")).select(F.col("fp").alias("f"), "component_id")

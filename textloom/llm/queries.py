@@ -20,8 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    out = bpe.bpe_decode(ids.drop("text"), path, pattern)
+    out = bpe.bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
