@@ -5,13 +5,18 @@ as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents. What a stage decides takes effect: rejected, duplicate
 and contaminated documents go, dropped lines are gone from the text.
 
-A null text is rejected by the first stage. A text of which line dedup leaves
-nothing stays as an empty document; the later stages keep it.
+A null text, or one without words, is rejected by the first stage. A text of
+which line dedup leaves nothing stays as an empty document; the later stages
+keep it. Very long texts are handled whole by each stage. Repeated rows (one id,
+equal text) are one document to the near-duplicate stage, which keeps all rows
+of the least id of a group; ties of an id thus stay together. Documents with a
+null id are never near duplicates of others. An empty table stays empty. Extra
+columns stay, whatever they are called, but for names that begin with two
+underscores; the last stage replaces text by n_tokens, exact and ids.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -19,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, line_dedup, ngram_join, quality_rules
+from textloom.llm.stored import drop, folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +55,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.bpe_decode(bpe.bpe_encode(docs, path, pattern), path, pattern)
-    exact = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"), "ids")
+    out = bpe.bpe_round_trip(docs, path, pattern, ids="ids", decoded="__decoded")
+    exact = F.col("__decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "exact", "ids")]
+    return out.select(*kept, F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"), "ids")
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard", near_duplicates), ("decontamination", decontaminate), ("byte_bpe", tokens)]
@@ -61,13 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, with files between them in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, with tables between them in the folder that all executors share; each goes once the next one is written."""
+    place = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{place}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            drop(spark, before)
+        before = at
     return docs
 
 
