@@ -43,6 +43,7 @@ def meta_tags(html: Column) -> Column:
     return F.array_join(found_all(html, r"""(?i)<meta(?:"[^"]*+"|'[^']*+'|[^>"']++)*+>"""), "\n")
 
 
+# the patterns are fixed values
 def meta_content(html: Column, attr: str, value: str) -> Column:
     """content of the meta tag, whichever attribute comes first; it ends at the first quote of either kind."""
     attr, value = re.escape(attr), re.escape(value)
@@ -57,6 +58,7 @@ def find_meta(html: Column, prop: str) -> Column:
     return unescape(F.coalesce(meta_content(html, "property", prop), meta_content(html, "name", prop)))
 
 
+# the patterns are fixed values
 def jsonld_blocks(html: Column) -> Column:
     """array<string> of JSON objects of all ld+json scripts in order: members of a list or @graph come one by one, a graph before its container."""
     scripts = F.transform(found_all(html, r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""", 1), lambda x: F.trim(F.regexp_replace(x, r"(?s)<!--|-->", "")))
@@ -101,16 +103,19 @@ def _dated(date: Column, source) -> Column:
     return let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(source).alias("source"))))
 
 
+# the patterns are fixed values
 def date_from_time(html: Column) -> Column:
     stamps = found_all(html, r"""(?i)<time[^>]+datetime=["']([^"']+)["']""", 1)
     return _first(F.transform(stamps, normalize_date))
 
 
+# the patterns are fixed values
 def date_from_url(url: Column) -> Column:
     day = found(url, r"/(\d{4}/\d{2}/\d{2})/", 1)
     return F.replace(day, F.lit("/"), F.lit("-"))
 
 
+# the patterns are fixed values
 def date_from_uploads(html: Column, least: int = 3) -> Column:
     """The month most often named by upload paths, of ties the first, if named often enough."""
     months = found_all(html, r"wp-content/uploads/(\d{4}/\d{2})/", 1)
@@ -123,6 +128,7 @@ def date_from_uploads(html: Column, least: int = 3) -> Column:
     return F.when(best["n"] >= least, F.concat(F.replace(best["m"], F.lit("/"), F.lit("-")), F.lit("-01")))
 
 
+# the patterns are fixed values
 def body_head(html: Column, chars: int = 1500) -> Column:
     body = F.coalesce(found(html, r"(?is)<body[^>]*>(.*)</body>"), html)
     body = F.regexp_replace(body, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
@@ -130,6 +136,7 @@ def body_head(html: Column, chars: int = 1500) -> Column:
     return F.left(collapse(body), F.lit(chars))
 
 
+# the patterns are fixed values
 def date_from_body(html: Column) -> Column:
     names = "|".join(MONTHS)
     day, month = rf"\b({names})\s+(\d{{1,2}}),?\s+(\d{{4}})\b", rf"\b({names})\s+(\d{{4}})\b"
@@ -153,6 +160,7 @@ def author_from_meta(html: Column) -> Column:
     return F.coalesce(plain(meta_content(html, "name", "author")), plain(meta_content(html, "property", "article:author")))
 
 
+# the patterns are fixed values
 def canonical(html: Column, url: Column) -> Column:
     tag = found(html, r"""(?i)<link[^>]+rel=["']canonical["'][^>]*>""", 0)
     return F.coalesce(found(tag, r"""(?i)href=["']([^"']+)["']"""), url)
@@ -225,6 +233,7 @@ def metadata(html: Column, url: Column) -> Column:
     return F.when(video, nothing).otherwise(let(meta_tags(html), read))
 
 
+# the patterns are fixed values
 def strip_tags(html: Column) -> Column:
     return unescape(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]+>", " "))
 
@@ -238,11 +247,13 @@ def first_heading(html: Column) -> Column:
     return collapse(F.regexp_replace(found(html, r"(?is)<h1[^>]*>(.*?)</h1>"), r"(?i)<(?!/?em\b)[^>]+>", ""))
 
 
+# the patterns are fixed values
 def field(html: Column, css_class: str) -> Column:
     """Text of the first element with the class."""
     return clean(found(html, rf"""(?is)<\w+[^>]*class=["'][^"']*\b{re.escape(css_class)}\b[^"']*["'][^>]*>(.*?)</"""))
 
 
+# the patterns are fixed values
 def split_reader(html: Column) -> Column:
     """Struct of raw (folded transcript, without summaries) and clean (all else); null if there is no transcript."""
     fold = r"""(?is)<details[^>]*class="[^"]*raw-transcript[^"]*"[^>]*>(.*?)</details>"""
@@ -250,6 +261,7 @@ def split_reader(html: Column) -> Column:
     return F.when(html.rlike(fold), F.struct(strip_tags(F.regexp_replace(raw, r"(?is)<summary\b.*?</summary>", " ")).alias("raw"), strip_tags(F.regexp_replace(html, fold, " ")).alias("clean")))
 
 
+# the patterns are fixed values
 def link_text(inner: Column) -> Column:
     """Links as [text](href), other tags gone."""
     linked = F.regexp_replace(inner, r'(?s)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
@@ -283,6 +295,7 @@ def content_segment(html: Column, marker: str, most: int = 600_000) -> Column:
     return F.substr(html, at, F.lit(most))
 
 
+# the patterns are fixed values
 def image_id(url: Column) -> Column:
     last = F.element_at(F.split(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", ""), "/"), -1)
     return F.coalesce(found(url, r"images%2F([0-9a-fA-F-]{6,})"), found(url, r"/([0-9a-fA-F]{8,})[._]"), F.nullif(last, F.lit("")), F.right(url, F.lit(40)))
@@ -292,6 +305,7 @@ def image_variant(w: Column, h: Column) -> Column:
     return F.when((w <= 0) | (h <= 0), "wide").when(w / h >= 1.8, "banner").when(w / h < 0.8, "portrait").when(F.least(w, h) < 500, "square").otherwise("wide")
 
 
+# the patterns are fixed values
 def image_extension(url: Column, content_type: Column) -> Column:
     kind = F.trim(F.lower(F.split_part(content_type, F.lit(";"), F.lit(1))))
     known = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])

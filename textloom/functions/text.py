@@ -57,6 +57,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+# the patterns are fixed values
 def parse_blocks(raw: Column) -> Column:
     """Utterances between ``>>`` marks, which may be escaped."""
     return nonempty(F.transform(F.split(unescape(raw), r">>\s*"), lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))))
@@ -68,6 +69,7 @@ def windows(items: Column, size: int = 25) -> Column:
     return F.when(F.size(items) == 0, F.slice(F.array(items), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.slice(items, k * size + 1, F.lit(size))))
 
 
+# the patterns are fixed values
 def norm_words(text: Column, drop_tags: bool = False) -> Column:
     """Lower-case words of ASCII letters and digits, without bracketed notes (and without tags)."""
     own = unescape(text)
@@ -81,6 +83,7 @@ def word_count(text: Column) -> Column:
     return F.size(nonempty(F.split(text, r"(?U)\s+")))
 
 
+# the patterns are fixed values
 def norm_running(text: Column) -> Column:
     """Running headers alike but for their numbers."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\d+", "#")
@@ -136,10 +139,12 @@ def split_sentences(text: Column) -> Column:
     return nonempty(F.transform(F.split(marked, "\x04"), lambda s: F.translate(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), HIDDEN, SHOWN)))
 
 
+# the patterns are fixed values
 def mark_uncertain(text: Column) -> Column:
     return F.regexp_replace(text, "⟨\\?([^⟩]*)⟩", '<mark class="asr-uncertain" title="ASR存疑">$1?</mark>')
 
 
+# the patterns are fixed values
 def detect_language(text: Column) -> Column:
     """zh if 60 % of CJK and Latin letters are CJK; en below 100 letters and otherwise."""
     cjk = F.length(F.regexp_replace(text, f"[^{CJK_IDEOGRAPHS}]", ""))
@@ -147,6 +152,7 @@ def detect_language(text: Column) -> Column:
     return F.when(total < 100, "en").when(cjk / total >= 0.6, "zh").otherwise("en")
 
 
+# the patterns are fixed values
 def input_mode(text: Column) -> Column:
     """Captions, stamped or named turns, or an essay, by how many lines look so (two or more)."""
     lines = lambda pattern: F.size(found_all(text, pattern))
@@ -204,11 +210,13 @@ def is_junk_title(title: Column) -> Column:
     return F.lower(own).isin(*JUNK_TITLES) | own.rlike(r"(?i)microsoft word|^untitled$|\.docx?$|\.pdf$|^\s*$")
 
 
+# the patterns are fixed values
 def parse_pdf_date(raw: Column) -> Column:
     day = F.regexp_extract(raw, r"^D:(\d{4})(\d{2})(\d{2})", 0)
     return F.when(day != "", F.concat_ws("-", F.substring(day, 3, 4), F.substring(day, 7, 2), F.substring(day, 9, 2)))
 
 
+# the patterns are fixed values
 def find_cover_date(text: Column) -> Column:
     two = lambda c: F.lpad(c, 2, "0")
     full, month, name = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", r"(\d{4})\s*年\s*(\d{1,2})\s*月", rf"(?i)\b({'|'.join(MONTHS)})\s+(\d{{4}})\b"
@@ -220,6 +228,7 @@ def find_cover_date(text: Column) -> Column:
     )
 
 
+# the patterns are fixed values
 def find_org_name(text: Column) -> Column:
     return F.trim(found(text, r"(?im)^.{2,40}?(研究部|研究所|研究院|证券|Research|Capital|Institute)\s*$", 0))
 

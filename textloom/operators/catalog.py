@@ -86,6 +86,20 @@ def tag_counts(entries: DataFrame, tags: str = "tags", scan: str = "scan_no") ->
     return n.select("tag", "n", "kind", F.row_number().over(order).alias("rank"))
 
 
+def with_poster(entries: DataFrame, poster: str = "poster") -> DataFrame:
+    return entries.where(F.col(poster).isNotNull())
+
+
+def client_order(entries: DataFrame, mode: str = "iso", tag: str | None = None, iso: str = "iso", added: str = "added", scan: str = "scan_no") -> DataFrame:
+    """Entries of a tag (all, without one) by date or by when they were added, with their rank and, by date only, whether a year begins."""
+    own = entries if tag is None else with_tag(entries, tag)
+    by = F.col(iso if mode == "iso" else added).desc_nulls_last()
+    order = Window.orderBy(by, scan)  # the catalog of one site
+    year = F.substring(iso, 1, 4)
+    begins = F.coalesce(year != F.lag(year).over(order), F.lit(True)) if mode == "iso" else F.lit(False)
+    return own.withColumn("rank", F.row_number().over(order)).withColumn("new_year", begins)
+
+
 def with_tag(entries: DataFrame, tag: str, tags: str = "tags") -> DataFrame:
     return entries.where(F.array_contains(tags, tag))
 
@@ -128,15 +142,39 @@ def hotword_content(words: DataFrame) -> DataFrame:
     return words.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda s: s["line"]), "\n").alias("content"))
 
 
-def hotword_add(table: DataFrame, new: DataFrame, weight: int = DEFAULT_WEIGHT) -> DataFrame:
-    """The table with new words (ord, word, weight) after its own; words that are there stay as they are."""
+def hotword_add(table: DataFrame, new: DataFrame, weight: int = DEFAULT_WEIGHT, most: int | None = None) -> DataFrame:
+    """The table with new words (ord, word, weight) after its own; words that are there stay as they are. Of over ``most`` words it is refused."""
     fresh = new.join(table.select("word"), "word", "left_anti")
     last = table.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))  # one row
     fresh = fresh.crossJoin(F.broadcast(last)).select((F.col("last") + 1 + F.col("ord")).cast(table.schema["ord"].dataType).alias("ord"), "word", F.coalesce("weight", F.lit(weight)).alias("weight"))
-    return table.select("ord", "word", "weight").unionByName(fresh)
-
-
-def hotword_delete(table: DataFrame, words: DataFrame) -> DataFrame:
+    out = table.select("ord", "word", "weight").unionByName(fresh)
+    if most is not None and out.limit(most + 1).count() > most:
+        raise ValueError(f"a table has at most {most} words")
+    return out
+
+
+def hotword_upload(table: DataFrame | None, new: DataFrame, overwrite: bool = False) -> DataFrame:
+    """The new words as a table of their own: all of them must be fit, and a table that is there is replaced only if asked for."""
+    if table is not None and not overwrite:
+        raise ValueError("the table is there already")
+    faults = new.withColumn("fault", hotword_fault(F.col("word"), F.col("weight"))).where("fault is not null").limit(1).collect()
+    if faults:
+        raise ValueError(f"{faults[0]['word']!r} is refused: {faults[0]['fault']}")
+    return new.select("ord", "word", F.coalesce("weight", F.lit(DEFAULT_WEIGHT)).alias("weight"))
+
+
+def whole_preview(preview: DataFrame, count: int) -> DataFrame:
+    """The preview of a table, refused if it is shorter than the table: what isn't shown would be lost by writing it back."""
+    shown = preview.count()
+    if shown < count:
+        raise ValueError(f"the preview shows {shown} of {count} words")
+    return preview
+
+
+def hotword_delete(table: DataFrame, words: DataFrame, must: bool = False) -> DataFrame:
+    """The table without the words; must: refused if it has none of them."""
+    if must and table.join(words.select("word"), "word", "left_semi").isEmpty():
+        raise ValueError("none of the words is in the table")
     return table.join(words.select("word"), "word", "left_anti").select("ord", "word", "weight")
 
 
@@ -162,6 +200,16 @@ def merge_posts(posts: DataFrame) -> DataFrame:
     return posts.groupBy("slug").agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col("priority"))).alias("title"))
 
 
+def archive_posts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(slug, title, priority) of the posts that archive pages name: in their data, with a title, or by a link alone."""
+    from textloom.sources.readers import embedded_json
+
+    posts = F.from_json(F.get_json_object(embedded_json(F.col(html)), "$.posts"), "array<struct<slug:string,title:string>>")
+    named = pages.select(F.explode(posts).alias("p")).select("p.slug", "p.title", F.lit(2).alias("priority"))
+    links = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r"/p/([\w-]+)"), F.lit(1)))).alias("slug"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("priority"))
+    return named.where("slug is not null").unionByName(links)
+
+
 def choose_track(tracks: DataFrame, priority: list[str], id_: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The track of each document whose language comes first in the list."""
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col(lang))
@@ -193,5 +241,10 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     return F.struct(out.alias("html"), out.rlike(r"\{\{[A-Z_]+\}\}").alias("left_over"))
 
 
+def linked_entries(index: Column) -> Column:
+    """How many entries an index page links to."""
+    return F.regexp_count(index, F.lit(r'<li class="entry[ "]'))
+
+
 def topic_table(spark: SparkSession, topics: dict[str, list[str]] = TOPICS) -> DataFrame:
     return spark.createDataFrame([(i, t, w) for i, (t, ws) in enumerate(topics.items()) for w in ws], "ord int, topic string, keyword string")

@@ -85,6 +85,21 @@ def gate_report(whole: DataFrame, by_window: DataFrame, id_: str = "doc_id", win
     return out.select(id_, "coverage", "added_ratio", (F.col("added_ratio") > ADDED).alias("added_warning"), (F.col("ok") & F.coalesce("all_ok", F.lit(True))).alias("ok"), "windows", F.struct("w.index", "w.coverage").alias("worst_window"))
 
 
+def finalize(df: DataFrame, corrections, windows: DataFrame | None = None, id_: str = "doc_id", source: str = "source", output: str = "output", gate: float = GATE) -> DataFrame:
+    """The gate run: corrections on both sides, then coverage of whole texts and, if windows (id, window, text) of the source are given, of each.
+
+    One row for each document, as in :func:`gate_report`. A window of the
+    source is corrected like the source, so known errors are no losses.
+    """
+    own = df.select(id_, corrections.apply(F.col(source)).alias("source"), corrections.apply(F.col(output)).alias("output"))
+    whole = coverage(own, id_, gate=gate)
+    if windows is None:
+        windows = own.select(id_, F.lit(0).alias("window"), F.lit("").alias("text")).where("false")
+    else:
+        windows = windows.withColumn("text", corrections.apply(F.col("text")))
+    return gate_report(whole, window_coverage(windows, own.select(id_, F.col("output").alias("text")), id_, gate=gate), id_, gate=gate)
+
+
 def denoise(text: Column) -> Column:
     return F.regexp_replace(text, NOISE, " ")
 

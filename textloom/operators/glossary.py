@@ -1,21 +1,29 @@
 """Corrections from a guarded dictionary: entries (ord, term, weight, variants) and protected words.
 
 The dictionary is kept by hand and small; :class:`Corrections` collects it, up
-to a checked number of keys, into one literal pattern and one literal map, so
-that corrections are plain expressions. The other operators are joins.
+to a checked number of keys. Up to ``PATTERN_KEYS`` of them are one literal
+pattern and one literal map, so that corrections are plain expressions; more are
+one Aho-Corasick automaton, and an Arrow-batched function reads each text once.
+Both give equal results. Terms are looked for by such automata as well, a block
+of keys at a time. The other operators are joins.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.functions.text import CJK_KEYS, let, nonempty, replace_each
+from textloom.functions.text import CJK_KEYS, nonempty, replace_each
 
-#: Keys that a pattern may have.
-MOST_KEYS = 20_000
+#: Keys that a pattern may have, that a worker holds as an automaton, and that it is given at a time to look for terms.
+PATTERN_KEYS, MOST_KEYS, BLOCK_KEYS = 2_000, 1_000_000, 100_000
 
 
 def parse_entries(lines: DataFrame, line: str = "value", ord_: str = "ord") -> DataFrame:
@@ -94,31 +102,104 @@ class Corrections:
         rows = corrections_table(entries).limit(most + 1).collect()
         words = protected.limit(most + 1).collect()
         if max(len(rows), len(words)) > most:
-            raise ValueError(f"a dictionary of over {most} keys is not compiled into a pattern")
+            raise ValueError(f"a dictionary of over {most} keys is too large for a worker")
         return cls((legacy or {}) | {r["variant"]: r["term"] for r in rows}, {r["word"] for r in words})
 
-    def apply(self, text: Column) -> Column:
+    def apply(self, text: Column, pattern_keys: int = PATTERN_KEYS) -> Column:
         if not self.mapping:
             return text
+        if len(self.keys) > pattern_keys:
+            return _corrected(self)(text)
         pairs = F.create_map(*[F.lit(x) for pair in self.mapping.items() for x in pair])
         return replace_each(text, "|".join(map(_pattern, self.keys)), lambda m: F.coalesce(F.try_element_at(pairs, m), m))
 
 
-def scan_terms(docs: DataFrame, entries: DataFrame, text: str = "text", id_: str = "doc_id", most: int = MOST_KEYS) -> DataFrame:
+_automata: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(name: str, keys: dict[str, object]) -> ahocorasick.Automaton:
+    """Made once in a worker, of the latest few dictionaries."""
+    if name not in _automata:
+        while len(_automata) >= 4:
+            _automata.pop(next(iter(_automata)))
+        own = ahocorasick.Automaton()
+        for key, value in keys.items():
+            own.add_word(key, value)
+        own.make_automaton()
+        _automata[name] = own
+    return _automata[name]
+
+
+def _name(items) -> str:
+    return hashlib.sha256("\x00".join(map(str, items)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _ascii(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+def corrected(text: str, found: list[tuple[int, int, str | None]]) -> str:
+    """found: (start, end, replacement, or None for a protected word) of all keys in the text. At each place a protected word goes first, then the longest."""
+    inner = lambda at: 0 < at < len(text) and _ascii(text[at - 1]) and _ascii(text[at])
+    out, at = [], 0
+    for start, end, new in sorted((x for x in found if not inner(x[0]) and not inner(x[1])), key=lambda x: (x[0], x[2] is not None, -x[1])):
+        if start >= at:
+            out += [text[at:start], text[start:end] if new is None else new]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def _corrected(own: Corrections):
+    keys = {k: (len(k), own.mapping.get(k)) for k in own.keys}
+    name = _name([f"{k}={v}" for k, v in keys.items()])
+
+    @F.arrow_udf(T.StringType())
+    def correct(texts: pa.Array) -> pa.Array:
+        automaton, out = _automaton(name, keys), []
+        for t in texts:
+            text = t.as_py()
+            hits = [(end - n + 1, end + 1, new) for end, (n, new) in automaton.iter(text)] if text else []
+            out.append(corrected(text, hits) if hits else text)
+        return pa.array(out, pa.string())
+
+    return correct
+
+
+def _blocks(rows: DataFrame, most: int) -> Iterator[dict[str, tuple[str, ...]]]:
+    """Terms by key, a block at a time; rows: (key, term), which comes in order of keys."""
+    block: dict[str, tuple[str, ...]] = {}
+    for r in rows.orderBy("key", "term").toLocalIterator():
+        if r["key"] not in block and len(block) >= most:
+            yield block
+            block = {}
+        block[r["key"]] = (*block.get(r["key"], ()), r["term"])
+    if block:
+        yield block
+
+
+def scan_terms(docs: DataFrame, entries: DataFrame, text: str = "text", id_: str = "doc_id", block_keys: int = BLOCK_KEYS) -> DataFrame:
     """(id, term): terms that occur in a text, by themselves or by a variant, in any case; terms under 3 characters are skipped.
 
-    The dictionary is collected up to a checked number of keys, so each text is
-    scanned where it is and only hits are exploded.
+    Each text is read once for each block of keys, and only hits are exploded.
     """
     rows = entries.where(F.length("term") >= 3).select("term", F.explode(F.array_distinct(F.concat(F.array("term"), "variants"))).alias("key")).where("key <> ''").select("term", F.lower("key").alias("key")).distinct()
-    got = rows.orderBy("term", "key").limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"a dictionary of over {most} keys is not scanned for")
-    if not got:
-        return docs.select(id_, F.lit("").alias("term")).where("false")
-    known = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["key"]).alias("key")) for r in got])
-    hits = let(F.lower(text), lambda low: F.array_distinct(F.transform(F.filter(known, lambda k: F.contains(low, k["key"])), lambda k: k["term"])))
-    return docs.select(id_, F.explode(hits).alias("term"))
+    out = docs.select(id_, F.lit("").alias("term")).where("false")
+    blocks = 0
+    for keys in _blocks(rows, block_keys):
+        own = docs.select(id_, F.explode(_terms(keys)(F.lower(text))).alias("term"))
+        out, blocks = (own if not blocks else out.unionByName(own)), blocks + 1
+    return out.distinct() if blocks > 1 else out
+
+
+def _terms(keys: dict[str, tuple[str, ...]]):
+    name = _name([f"{k}={v}" for k, v in keys.items()])
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def terms(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(name, keys)
+        return pa.array([sorted({x for _, found in automaton.iter(t.as_py()) for x in found}) if t.as_py() else [] for t in texts], pa.list_(pa.string()))
+
+    return terms
 
 
 def normalize_names(names: Column) -> Column:
@@ -167,3 +248,43 @@ def to_lines(entries: DataFrame) -> DataFrame:
     """(ord, value) in the dictionary's own format."""
     tail = F.when(F.size("variants") > 0, F.concat(F.lit("|"), F.array_join("variants", ","))).otherwise("")
     return entries.select("ord", F.concat("term", F.when((F.col("weight") != "") | (F.size("variants") > 0), F.concat(F.lit("|"), "weight")).otherwise(""), tail).alias("value"))
+
+
+def rewritten(lines: DataFrame, entries: DataFrame, weight: str = "5") -> DataFrame:
+    """(ord, value): the dictionary's file after an upsert. Lines of entries that gained variants are written anew, new entries come last; all other lines, comments and blanks among them, stay as they are.
+
+    lines: (ord, value) of the file; entries: of :func:`upsert`, known by the ord of their line.
+    """
+    before = parse_entries(lines).select("ord", F.col("variants").alias("__had"))
+    own = entries.select("ord", "term", F.coalesce(F.nullif("weight", F.lit("")), F.lit(weight)).alias("weight"), "variants")
+    line = F.concat_ws("|", "term", "weight", F.when(F.size("variants") > 0, F.array_join("variants", ",")))
+    known = own.join(before, "ord")
+    gained = known.where(F.size(F.array_except("variants", "__had")) > 0).select(F.col("ord").alias("__ord"), line.alias("__line"))
+    kept = lines.join(gained, F.col("ord") == F.col("__ord"), "left").select("ord", F.coalesce("__line", "value").alias("value"))
+    return kept.unionByName(own.join(before, "ord", "left_anti").select("ord", line.alias("value")))
+
+
+def lint(entries: DataFrame, protected: DataFrame) -> DataFrame:
+    """One row: numbers of entries, mappings, protected words, refused keys, conflicts and collisions, and status 1 if there are conflicts or collisions."""
+    table = corrections_table(entries)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = one(entries, "n_entries")
+    for df, name in (
+        (table, "n_mappings"), (protected, "n_protected"), (variants(entries).where("rejection is not null"), "n_rejected"), (conflicts(entries), "n_conflicts"), (collisions(table, protected), "n_collisions"),
+    ):
+        out = out.crossJoin(one(df, name))  # one row each
+    return out.withColumn("status", F.when((F.col("n_conflicts") > 0) | (F.col("n_collisions") > 0), 1).otherwise(0))
+
+
+def glossary_mappings(entries: DataFrame) -> dict[str, str]:
+    """The mappings as a dict, without warnings."""
+    return {r["variant"]: r["term"] for r in corrections_table(entries).limit(MOST_KEYS).collect()}
+
+
+def apply_correct_table(text: Column, mappings: dict[str, str], protected: set[str] = frozenset()) -> Column:
+    return Corrections(mappings, protected).apply(text)
+
+
+def append_glossary(entries: DataFrame, protected: DataFrame, batch: DataFrame) -> int:
+    """How many entries a batch adds."""
+    return upsert(entries, protected, batch)[0].count() - entries.count()

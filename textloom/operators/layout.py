@@ -18,6 +18,8 @@ TEXT_CHARS, TEXT_RATIO, SCAN_RATIO = 50, 0.8, 0.2
 BAND, REPEATED, MIN_PAGES = 0.08, 0.6, 4
 WIDE, PER_COLUMN, GUTTER = 0.40, 3, 8.0
 LINE_GAP, TALL = 1.3, 1.12
+#: Pages whose boxes may be broadcast.
+MOST_PAGES = 10_000
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
@@ -152,10 +154,10 @@ def document_metadata(info: DataFrame, lines: DataFrame, pages: DataFrame) -> Da
 
 def boxes_of(points: DataFrame, boxes: DataFrame, by: list[str], x: str = "x", y: str = "y", box: str = "index") -> DataFrame:
     """Points with the first box (x0, y0, x1, y1, closed) of the same group they lie in, null for none. A group is a page: its boxes are few."""
-    own = points.withColumn("__row", F.monotonically_increasing_id())
     listed = boxes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(box).alias("i"), "x0", "y0", "x1", "y1"))).alias("__boxes"))
     inside = F.filter("__boxes", lambda b: F.col(x).between(b["x0"], b["x1"]) & F.col(y).between(b["y0"], b["y1"]))
-    return own.join(listed, by, "left").withColumn(box, F.get(inside, F.lit(0))["i"]).drop("__boxes", "__row")
+    few = listed.limit(MOST_PAGES + 1).count() <= MOST_PAGES  # a row for each page that has boxes
+    return points.join(F.broadcast(listed) if few else listed, by, "left").withColumn(box, F.get(inside, F.lit(0))["i"]).drop("__boxes")
 
 
 def table_anchor(page: Column, index: Column) -> Column:
@@ -180,3 +182,23 @@ def find_notice(pages: DataFrame, pattern: str, id_: str = "doc_id", page: str =
 def cut_notices(pages: DataFrame, notices: DataFrame, id_: str = "doc_id", page: str = "page") -> DataFrame:
     """Pages before the notice."""
     return pages.join(notices, id_, "left").where(F.col("cut").isNull() | (F.col(page) < F.col("cut"))).drop("cut")
+
+
+def sound_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables with a whole box, and (doc_id, page, n_skipped) of pages with others, whose tables are left out with a warning."""
+    whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & (F.col("x1") >= F.col("x0")) & (F.col("y1") >= F.col("y0"))
+    marked = tables.withColumn("__whole", F.coalesce(whole, F.lit(False)))
+    skipped = marked.groupBy(*PAGE).agg(F.count_if(~F.col("__whole")).alias("n_skipped")).where("n_skipped > 0")
+    return marked.where("__whole").drop("__whole").join(skipped.select(*PAGE), PAGE, "left_anti"), skipped
+
+
+def run_report(lines: DataFrame, kept: DataFrame, pages: DataFrame, cut: DataFrame, anchor: str = r"^\[\[table:p\d+-\d+\]\]$") -> DataFrame:
+    """(doc_id, n_lines, n_dropped, n_anchors, n_pages, n_cut): all that a run leaves out of a document.
+
+    kept: lines after headers and tables; cut: pages that stay after notices.
+    """
+    count = lambda df, name, what=F.count("*"): df.groupBy("doc_id").agg(what.alias(name))
+    anchors = F.count_if(F.col("text").rlike(anchor))
+    out = count(pages, "n_pages").join(count(lines, "n_lines"), "doc_id", "left").join(count(kept, "n_kept"), "doc_id", "left").join(count(kept, "n_anchors", anchors), "doc_id", "left").join(count(cut, "n_left"), "doc_id", "left")
+    out = out.fillna(0)
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept") + F.col("n_anchors")).alias("n_dropped"), "n_anchors", "n_pages", (F.col("n_pages") - F.col("n_left")).alias("n_cut"))

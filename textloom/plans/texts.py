@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -285,7 +285,7 @@ SELECT m.variant, m.term, w.word, 'variant in word' AS kind FROM m JOIN w ON con
 UNION ALL SELECT m.variant, m.term, w.word, 'word in variant' FROM m JOIN w ON contains(m.variant, w.word) AND w.word <> m.variant""")
 def glossary_lint(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).where("word <> ''").distinct()
-    entries = words.where("length(word) > 4").select(F.dense_rank().over(Window.orderBy("word")).alias("ord"), F.col("word").alias("term"), F.lit("").alias("weight"), F.array(F.left("word", F.lit(4))).alias("variants"))
+    entries = words.where("length(word) > 4").select(F.col("word").alias("ord"), F.col("word").alias("term"), F.lit("").alias("weight"), F.array(F.left("word", F.lit(4))).alias("variants"))
     return glossary.collisions(glossary.corrections_table(entries), words)
 
 

@@ -77,6 +77,28 @@ def episode_notes(html: Column) -> Column:
     return F.array_max(F.transform(notes, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
 
 
+def episode(html: Column) -> Column:
+    """Struct of title, podcast, date, audio and notes of an episode's page: the page's metas, then what its JSON-LD has instead, then the longest notes in its data."""
+    from textloom.functions.html import find_meta, json_text, jsonld_blocks, normalize_date, title
+
+    blocks = jsonld_blocks(html)
+    of = lambda read: F.get(F.filter(F.transform(blocks, read), lambda x: x.isNotNull()), F.lit(0))
+    field = lambda path: (lambda js: F.nullif(F.trim(F.get_json_object(js, path)), F.lit("")))
+    return F.struct(
+        F.coalesce(of(lambda js: json_text(js, "name")), find_meta(html, "og:title"), title(html)).alias("title"),
+        F.coalesce(of(field("$.partOfSeries.name")), find_meta(html, "og:site_name")).alias("podcast"),
+        F.coalesce(of(lambda js: normalize_date(F.get_json_object(js, "$.datePublished"))), normalize_date(find_meta(html, "article:published_time"))).alias("date"),
+        F.coalesce(of(field("$.associatedMedia.contentUrl")), audio_url(html)).alias("audio"),
+        F.coalesce(episode_notes(html), of(lambda js: json_text(js, "description")), find_meta(html, "og:description")).alias("notes"),
+    )
+
+
+def first_audio(files: DataFrame, id_: str = "doc_id", extension: str = "extension") -> DataFrame:
+    """(id, extension): where there is no caption track, the audio file whose kind comes first."""
+    rank = F.array_position(F.array(*map(F.lit, AUDIO)), F.lower(extension))
+    return files.where(rank > 0).groupBy(id_).agg(F.min_by(extension, rank).alias(extension))
+
+
 def reject_reason(size: Column, kind: Column) -> Column:
     return F.when((kind == "page") & (size < 500), "page too small").when((kind == "audio") & (size < 100_000), "audio too small")
 

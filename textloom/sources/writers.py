@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 
 
 def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """With a partition column, only the partitions that the rows are in are replaced."""
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).json(path)
+    (writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by) if partition_by else writer).json(path)
 
 
 def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
-    """A folder for each key, with its text."""
-    df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """A folder for each key, with its text; folders of other keys stay."""
+    df.select(key, F.col(text).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(path)
+
+
+def write_index(index: DataFrame, gallery: DataFrame, path: str) -> bool:
+    """An index (html) and a gallery of posters (html): the gallery is written only if it has rows, and else goes. Whether there is one."""
+    index.select(F.col("html").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/index")
+    some = not gallery.isEmpty()
+    if some:
+        gallery.select(F.col("html").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/posters")
+    else:
+        spark = index.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/posters")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return some
 
 
 def transcript_text(turns: DataFrame, id_: str = "doc_id") -> DataFrame:
