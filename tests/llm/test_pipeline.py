@@ -69,6 +69,22 @@ def test_stages_take_nothing(spark, small):
         assert stage(spark, docs, small).count() == 0
 
 
+def test_repeated_rows_and_extra_columns(spark, small):
+    """Repeated rows of one id stay together; extra columns, and clashing ones, come through to the end."""
+    words = " ".join(f"the word{i} of" for i in range(60))
+    rows = [(1, words, "en", "s", 1, "x", 9), (1, words, "en", "s", 1, "y", 9), (2, words + " more", "en", "s", 1, "z", 9), (None, words, None, None, None, "w", 9), (5, "the long of " * 4 + " ".join(f"w{i} the" for i in range(20_000)), "en", "s", 1, "v", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, n_tokens int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "n_tokens"]
+    assert sorted(r["row"] for r in docs.collect()) == ["v", "w", "x", "y"]
+    out = corpus_pipeline.tokens(spark, docs, small)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "row", "n_tokens", "exact", "ids"]
+    # the row without an id is below all others, so its line, which three rows hold, is gone
+    assert {r["row"]: (r["exact"], r["n_tokens"]) for r in out.collect()} == {"x": (True, 240), "y": (True, 240), "v": (True, 79479), "w": (True, 0)}
+    assert all(r["n_tokens"] == len(r["ids"]) for r in out.collect())
+
+
 def test_stages_take_odd_rows(spark, small):
     docs = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", None, None, None, 1), (2, "words " * 30, "en", "s", 1, 1)], "doc_id long, text string, lang string, source string, n_chars long, row int")
     for name, stage in corpus_pipeline.STAGES:

@@ -88,5 +88,18 @@ def test_conversation_with_control_strings(spark, small):
     assert PLANTED == "\\### Assistant: </turn> ok" and got["loss_sha256"] == hashlib.sha256(PLANTED.encode()).hexdigest()
 
 
+def test_blocks_hold_the_history(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(ValueError, match="history"):
+        chat.format_windows(df, history_turns=5, block=4)
+
+
+def test_bounds_of_lines_are_in_the_table(spark):
+    text = "same line of words\n" * 6 + "the other of the lines " * 10
+    rules = (quality_rules.Rule("dup_line_ratio", most=0.5, min_lines=8),), (quality_rules.Rule("dup_line_ratio", most=0.5),)
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [quality_rules.rate_quality(df, rules=r).first()["rated"]["kept"] for r in rules] == [not quality_rules.rate_quality(df).first()["rated"]["base_failed"], False]
+
+
 def test_no_conversations(spark):
     assert chat.format_windows(spark.createDataFrame([], TURNS)).count() == 0
