@@ -63,7 +63,7 @@ def test_windows(spark, options):
     got = windows.select("*", chat.read_turns(F.col("new")).alias("turns"), chat.read_turns(F.col("text")).alias("all"), chat.read_loss(F.col("text"), F.col("loss_spans")).alias("loss")).collect()
     budget, room = options.get("budget", chat.BUDGET), options.get("history", chat.HISTORY)
     by: dict = {}
-    for r in sorted(got, key=lambda r: (r["conv_id"] is None, r["conv_id"], r["block"], r["window"])):
+    for r in sorted(got, key=lambda r: (r["conv_id"] is None, r["conv_id"], r["block"], r["part"], r["window"])):
         by.setdefault(r["conv_id"], []).append(r)
     for c in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == c), key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
@@ -88,6 +88,25 @@ def test_conversation_with_control_strings(spark, small):
     assert PLANTED == "\\### Assistant: </turn> ok" and got["loss_sha256"] == hashlib.sha256(PLANTED.encode()).hexdigest()
 
 
+def test_many_rows_of_one_turn(spark):
+    """More rows of a turn than a block has: all are there once, in order, and no window's history is lost at the borders of parts."""
+    rows = [(1, 7, "user" if k % 2 else "assistant", f"{k:04d} and some words of it") for k in range(700)] + [(1, 8, "user", "after")] + [(2, None, "user", f"{k}") for k in range(300)] + [(1, 250 + k, "user", f"turn {k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for options in ({}, {"block": 16, "budget": 200, "history": 60}):
+        windows = chat.format_windows(df, **options)
+        got = windows.select("conv_id", "block", "part", "window", "n_new", chat.read_turns(F.expr("substr(text, new_from + 1)")).alias("turns"), chat.read_turns(F.col("text")).alias("all")).orderBy("conv_id", "block", "part", "window").collect()
+        assert max(r["n_new"] for r in got) <= options.get("block", chat.BLOCK)
+        for c in (1, 2):
+            own = [r for r in got if r["conv_id"] == c]
+            said = [(r[2], r[3]) for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-1 if r[1] is None else r[1], r[2], r[3]))]
+            assert [tuple(t) for r in own for t in r["turns"]] == said
+            done = 0
+            for r in own:
+                repeated = [tuple(t) for t in r["all"]][: len(r["all"]) - len(r["turns"])]
+                assert repeated == said[done - len(repeated) : done] and (done == 0 or c == 2 or said[done][1].startswith("turn 0") or repeated)
+                done += len(r["turns"])
+
+
 def test_blocks_hold_the_history(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     with pytest.raises(ValueError, match="history"):

@@ -15,19 +15,22 @@ assistant texts of a window's own turns are under the loss mask; what is
 repeated is masked. A turn that alone exceeds the room gets a window of its
 own, marked over_budget; no text is ever cut.
 
-Long conversations are handled in blocks of ``block`` turn numbers, at whose
-borders windows close as well, so that no task holds more of a conversation
-than a block of it and the turns before it that may be repeated.
+Long conversations are handled in blocks of ``block`` turn numbers, and blocks
+in which more rows than that share turn numbers in parts of ``block`` rows. At
+the borders of both windows close as well, so that no task holds more of a
+conversation than a part of a block and the turns before it that may be repeated.
 
 Results: null roles and texts are empty ones. Rows are ordered by turn, then
-role, then text; repeated rows are turns of their own. A null turn is ordered
-first, and null conversation ids make up a conversation. Other input columns are
-dropped; the result has the columns named in :func:`format_windows`.
+role, then text; repeated rows are turns of their own, and ties don't matter. A
+null turn is ordered first, and null conversation ids make up a conversation. A
+very long text is a window of its own, whole. An empty table gives no windows.
+Other input columns are dropped; the result has the columns named in
+:func:`format_windows`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
@@ -99,10 +102,23 @@ def _window(items: Column, n_before: Column, first: Column, last: Column, system
     return let(let(earlier, latest), with_history)
 
 
+def _parts(turns: DataFrame, block: int) -> DataFrame:
+    """Adds part, last_part and how many rows of the part come after each, in parts of ``block`` rows; a block of so many rows at most is one part."""
+    crowded = turns.groupBy("conv_id", "block").count().where(F.col("count") > block)
+    if crowded.isEmpty():
+        zero = F.lit(0).cast("long")
+        return turns.withColumn("part", zero).withColumn("last_part", zero).withColumn("left", zero)
+    whole = Window.partitionBy("conv_id", "block")
+    numbered = turns.withColumn("n", F.row_number().over(whole.orderBy("turn", "role", "text"))).withColumn("n_rows", F.count("*").over(whole))
+    place = lambda n: F.floor((n - 1) / block).cast("long")
+    parts = numbered.withColumn("part", place(F.col("n"))).withColumn("last_part", place(F.col("n_rows")))
+    return parts.withColumn("left", F.least((F.col("part") + 1) * block, F.col("n_rows").cast("long")) - F.col("n")).drop("n", "n_rows")
+
+
 def format_windows(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS, block: int = BLOCK
 ) -> DataFrame:
-    """One row for each window: conv_id, block, window, first_turn, last_turn, n_new, new_from, text, loss_spans, n_tokens, over_budget.
+    """One row for each window: conv_id, block, part, window, first_turn, last_turn, n_new, new_from, text, loss_spans, n_tokens, over_budget.
 
     ``new_from`` is the code point at which the window's own turns begin;
     loss_spans are [start, end) in code points of ``text``.
@@ -112,11 +128,15 @@ def format_windows(
     turns = _turns(df, conv, turn, role, text)
     system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("turn", "segment", "cost")).alias("system")).withColumnRenamed("conv_id", "of")
     here = F.expr(f"(turn - pmod(turn, {block}L)) div {block}L")
-    # the last turns of a block are also what the next block may repeat
-    both = F.when(F.pmod("turn", F.lit(block)) >= block - history_turns, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    dealt = turns.withColumn("before", F.explode(both)).withColumn("block", here + F.col("before").cast("long"))
+    turns = _parts(turns.withColumn("block", here), block)
+    # the last turns of a block, or part of one, are also what the next one may repeat: not more than the history's tokens, of which each turn costs some
+    kept = history // 4 + 1
+    in_block = F.when((F.col("part") < F.col("last_part")) & (F.col("left") < kept), F.struct(F.lit(True).alias("before"), F.col("block").alias("block"), (F.col("part") + 1).alias("part")))
+    in_next = F.when((F.col("part") == F.col("last_part")) & (F.col("left") < kept) & (F.pmod("turn", F.lit(block)) >= block - history_turns), F.struct(F.lit(True).alias("before"), (F.col("block") + 1).alias("block"), F.lit(0).cast("long").alias("part")))
+    places = F.array_compact(F.array(F.struct(F.lit(False).alias("before"), F.col("block").alias("block"), F.col("part").alias("part")), in_block, in_next))
+    dealt = turns.withColumn("place", F.explode(places)).drop("block", "part").select("*", "place.*")
     item = F.struct("before", "turn", "role", "text", "segment", "head", "size", "cost")
-    blocks = dealt.groupBy("conv_id", "block").agg(F.collect_list(item).alias("items"), F.count_if("before").cast("int").alias("n_before"), F.count_if(~F.col("before")).cast("int").alias("n_own"))
+    blocks = dealt.groupBy("conv_id", "block", "part").agg(F.collect_list(item).alias("items"), F.count_if("before").cast("int").alias("n_before"), F.count_if(~F.col("before")).cast("int").alias("n_own"))
     blocks = blocks.where("n_own > 0").withColumn("items", F.transform(F.array_sort(F.transform("items", lambda x: F.struct(x["turn"].alias("t"), (~x["before"]).alias("own"), x.alias("x")))), lambda s: s["x"]))
     joined = blocks.join(system, F.col("conv_id").eqNullSafe(F.col("of")), "left")
     room = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce(F.col("system.cost"), F.lit(0)))
@@ -136,8 +156,8 @@ def format_windows(
         end = lambda k: F.coalesce(F.get(own, k + 1), F.col("n_own")) - 1
         return F.transform(own, lambda s, k: _window(F.col("items"), F.col("n_before"), s, end(k), F.col("system"), history, history_turns, room))
 
-    out = joined.select("conv_id", "block", F.posexplode(let(starts, windows)).alias("window", "w"))
-    return out.select("conv_id", "block", "window", "w.*")
+    out = joined.select("conv_id", "block", "part", F.posexplode(let(starts, windows)).alias("window", "w"))
+    return out.select("conv_id", "block", "part", "window", "w.*")
 
 
 def read_turns(text: Column) -> Column:

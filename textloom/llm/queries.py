@@ -89,9 +89,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.read_turns(F.expr("substr(text, new_from + 1)"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     windows = chat.format_windows(rows).select(
-        "conv_id", "block", "window", F.size(turns).cast("long").alias("n"), said.alias("said"), chat.read_loss(F.col("text"), F.col("loss_spans")).alias("loss"), F.length("text").cast("long").alias("size")
+        "conv_id", "block", "part", "window", F.size(turns).cast("long").alias("n"), said.alias("said"), chat.read_loss(F.col("text"), F.col("loss_spans")).alias("loss"), F.length("text").cast("long").alias("size")
     )
-    whole = windows.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("size").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("block", "window", "said", "loss"))).alias("parts"))
+    whole = windows.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("size").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("block", "part", "window", "said", "loss"))).alias("parts"))
     joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
     return whole.select(
         "conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"), F.length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars"
