@@ -72,8 +72,8 @@ def test_corrections_of_the_small_table(spark, small):
     assert set(rows(catalog.queries()["glossary_apply"](spark, small))) <= set(rows(got))
 
 
-def protected_marks(text):
-    """Places of marks that end nothing: within names of hosts, numbers with dots, titles, abbreviations and initials."""
+def protected_places(text):
+    """Places of marks that end nothing, and places where no sentence begins: of names of hosts, numbers with dots, titles, abbreviations and initials."""
     protected = (
         r"\b(?:[A-Za-z0-9-]+\.)+(?:com|org|net|io|co|ai|dev|app|edu|gov|so|me|fm)\b(?:/[A-Za-z0-9_\-./~%?&=#]*[A-Za-z0-9_\-/~%=#])?",
         r"\b\d+(?:\.\d+)+\b",
@@ -81,18 +81,19 @@ def protected_marks(text):
         r"(?i:\b(?:e\.g|i\.e|a\.m|p\.m|U\.S|U\.K|Ph\.D)\.)",
         r"\b(?:[A-Za-z]\.){2,}",
     )
-    out = set()
+    out, starts = set(), set()
     for pattern in protected:
         for m in re.finditer(pattern, text):
             if not out & set(range(*m.span())):
                 out |= {i for i in range(*m.span()) if text[i] in ".!?"}
-    return out
+                starts.add(m.start())
+    return out, starts
 
 
 def plain_sentences(text):
     """Character by character: a mark, closing quotes, white space, then a capital or digit, maybe after an opening quote."""
     text = text.strip()
-    hidden, out, begin, i = protected_marks(text), [], 0, 0
+    (hidden, starts), out, begin, i = protected_places(text), [], 0, 0
     while i < len(text):
         end = i + 1
         if text[i] in ".!?" and i not in hidden:
@@ -102,7 +103,8 @@ def plain_sentences(text):
             while text[after : after + 1].isspace():
                 after += 1
             first = text[after + 1 : after + 2] if text[after : after + 1] and text[after] in "\"'([" else text[after : after + 1]
-            if after > end and first and (first in "0123456789" or "A" <= first <= "Z"):
+            quoted = text[after : after + 1] and text[after] in "\"'(["
+            if after > end and first and after + bool(quoted) not in starts and (first in "0123456789" or "A" <= first <= "Z"):
                 out.append(text[begin:end])
                 begin = end = after
         i = end
@@ -117,6 +119,7 @@ SENTENCES = {
     "One. (Two?) [Three!] 'Four.' 5 six. seven": 5,
     "Él vino. Él no. Ya está! A la casa. ¿No? ok": 3,
     "No. 5 is etc. And e.g. This one.": 1,
+    "Done. Dr. No came. (No. 5 too.) It ended. U.S. law!": 2,
     "  \n\t ": 0,
     "First.\u00a0Second.\n\nThird?Fourth": 3,
 }

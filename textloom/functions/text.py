@@ -128,15 +128,16 @@ PROTECTED = (
     r"|\b(?i:e\.g|i\.e|a\.m|p\.m|U\.S|U\.K|Ph\.D)\."
     r"|\b(?:[A-Za-z]\.){2,}"
 )
-HIDDEN, SHOWN = "\x01\x02\x03", ".!?"
+#: What stands for the marks of a protected form, and before it: no sentence begins with one.
+HIDDEN, SHOWN, BEFORE = "\x01\x02\x03", ".!?", "\x05"
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences; their marks and closing quotes stay with them. URLs, decimals, titles and initials don't end one."""
+    """Sentences; their marks and closing quotes stay with them. URLs, decimals, titles and initials neither end nor begin one."""
     own = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    hidden = F.when(text.rlike(PROTECTED), replace_each(own, PROTECTED, lambda m: F.translate(m, SHOWN, HIDDEN))).otherwise(own)
+    hidden = F.when(text.rlike(PROTECTED), replace_each(own, PROTECTED, lambda m: F.concat(F.lit(BEFORE), F.translate(m, SHOWN, HIDDEN)))).otherwise(own)
     marked = F.regexp_replace(hidden, "([.!?][\"')\\]]*)(?U:\\s)+(?=[\"'(\\[]?[A-Z0-9])", "$1\x04")
-    return nonempty(F.transform(F.split(marked, "\x04"), lambda s: F.translate(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), HIDDEN, SHOWN)))
+    return nonempty(F.transform(F.split(marked, "\x04"), lambda s: F.translate(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), HIDDEN + BEFORE, SHOWN)))
 
 
 # the patterns are fixed values

@@ -375,10 +375,10 @@ PROTECTED_SQL = T.PROTECTED.replace("'", "''")
 HIDDEN_SQL = "chr(1) || chr(2) || chr(3)"
 SENTENCES_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
-p AS (SELECT doc_id, string_split_regex(t, '{PROTECTED_SQL}') AS gaps, list_transform(regexp_extract_all(t, '{PROTECTED_SQL}'), lambda m: translate(m, '.!?', {HIDDEN_SQL})) AS hits FROM d),
+p AS (SELECT doc_id, string_split_regex(t, '{PROTECTED_SQL}') AS gaps, list_transform(regexp_extract_all(t, '{PROTECTED_SQL}'), lambda m: chr(5) || translate(m, '.!?', {HIDDEN_SQL})) AS hits FROM d),
 h AS (SELECT doc_id, array_to_string(list_transform(gaps, lambda g, i: g || coalesce(hits[i], '')), '') AS t FROM p),
 s AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?][\"'')\\]]*)\\s+([\"''(\\[]?[A-Z0-9])', '\\1' || chr(4) || '\\2', 'g'), chr(4)) AS ss FROM h),
-w AS (SELECT doc_id, list_filter(list_transform(ss, lambda x: translate(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), {HIDDEN_SQL}, '.!?')), lambda x: x <> '') AS ss FROM s)"""
+w AS (SELECT doc_id, list_filter(list_transform(ss, lambda x: translate(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), {HIDDEN_SQL} || chr(5), '.!?')), lambda x: x <> '') AS ss FROM s)"""
 
 
 @query(SENTENCES_SQL + " SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS n, unnest(ss) AS sentence FROM w")
