@@ -195,3 +195,10 @@ def test_words_behind_spaces_and_signs():
     assert own.spaced("y o u s t u p i d i d i o t now") == ["you", "stupid", "idiot"]
     assert own.words("2024") == ("2024",) and own.words("plain") == ("plain",) and own.words("") == ("",)
     assert own.words("y0u.$tup1d") == ("youstupid",) or set(own.words("y0u.$tup1d")) >= {"you", "stupid"}
+
+
+def test_vectors_are_packed():
+    for n in (0, 1, 100, quality_svm.BUCKETS // 32, quality_svm.BUCKETS):
+        places = np.sort(np.random.default_rng(n).choice(quality_svm.BUCKETS, n, replace=False)).astype(np.int32)
+        data = quality_svm.packed(places)
+        assert len(data) <= quality_svm.BUCKETS // 8 and (quality_svm.unpacked(data) == places).all()

@@ -90,3 +90,29 @@ def test_stages_take_odd_rows(spark, small):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, small).count()
         assert got == (0 if name == "quality_rules" else 3), name
+
+
+def test_queries_without_the_pipeline(monkeypatch):
+    """The operators' queries don't go with corpus_pipeline.py."""
+    import __spark_entry__ as entry
+
+    real = entry.import_module
+
+    def missing(name):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        return real(name)
+
+    monkeypatch.setattr(entry, "import_module", missing)
+    assert "pipeline" not in entry.queries() and sum(q.startswith("op") for q in entry.queries()) == 10
+
+
+def test_no_own_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from textloom.llm import stored
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stored.folder(session)

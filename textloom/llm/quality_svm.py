@@ -56,6 +56,19 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """At most BUCKETS / 8 bytes: the places, or a bit for each bucket."""
+    if len(places) * 4 < BUCKETS // 8:
+        return places.tobytes()
+    bits = np.zeros(BUCKETS, bool)
+    bits[places] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.int32) if len(data) == BUCKETS // 8 else np.frombuffer(data, np.int32)
+
+
 def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Document frequencies of all features in (2, BUCKETS) by label, and documents by label, over all rows (id, text, label)."""
 
@@ -129,10 +142,10 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary()), batch.column(2)], ["id", "places", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(features(t.as_py())) for t in batch.column(1)], pa.binary()), batch.column(2)], ["id", "places", "label"])
 
     got = sorted(bounded(rows, sample).select("id", "text", "label").mapInArrow(chosen, "id long, places binary, label int").collect(), key=lambda r: r["id"])
-    places = [np.frombuffer(r["places"], np.int32) for r in got]
+    places = [unpacked(r["places"]) for r in got]
     labels = np.where([r["label"] == 1 for r in got], 1.0, -1.0)
     # the last place is the intercept
     vectors = [(np.append(p, BUCKETS), np.append(ratios[p] / np.sqrt(max(len(p), 1)), 1.0)) for p in places]
