@@ -212,6 +212,20 @@ def test_overwrites_keep_other_partitions(spark, tmp_path):
     assert sorted((r["stem"], r["v"]) for r in writers.append_new(rows(("a", "9"), ("c", "2")), known, ["stem"]).collect()) == [("a", "1"), ("c", "2")]
 
 
+def test_documents_and_reports(spark, tmp_path):
+    at = str(tmp_path / "out")
+    paras = spark.createDataFrame([("d", 1, 2, "two"), ("d", 1, 1, "one"), ("d", 2, 1, "three"), ("e", 1, 1, "x")], "doc_id string, page int, para_no int, text string")
+    pages, meta, tables = (spark.createDataFrame(rows, schema) for rows, schema in (([("d", 1), ("e", 1)], "doc_id string, page int"), ([("d", "T")], "doc_id string, title string"), ([("d", 1)], "doc_id string, index int")))
+    writers.write_document(paras, pages, meta, tables, at)
+    writers.write_document(paras.where("doc_id = 'e'"), pages.where("doc_id = 'e'"), meta.limit(0), tables.limit(0), at)
+    body = spark.read.text(f"{at}/body", wholetext=True)
+    assert sorted((r["doc_id"], r["value"].strip()) for r in body.collect()) == [("d", "one\n\ntwo\n\nthree"), ("e", "x")]
+    assert spark.read.json(f"{at}/pages").count() == 2 and spark.read.json(f"{at}/metadata").first()["title"] == "T"
+    rows, report = writers.observed(paras, "run", F.count_if(F.col("page") > 1).alias("later"))
+    rows.collect()
+    assert report.get == {"n_rows": 4, "later": 1}
+
+
 def test_index_and_gallery(spark, tmp_path):
     page = spark.createDataFrame([("<html>",)], "html string")
     assert writers.write_index(page, page, str(tmp_path)) and spark.read.text(str(tmp_path / "posters")).count() == 1

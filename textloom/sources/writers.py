@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,24 @@ def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
     df.select(key, F.col(text).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(path)
 
 
+def write_document(paragraphs: DataFrame, pages: DataFrame, metadata: DataFrame, tables: DataFrame, path: str) -> None:
+    """What a run makes of documents, each in folders by document: the body as text, and its pages, metadata and tables as JSON.
+
+    paragraphs: (doc_id, page, para_no, text). Folders of documents that aren't among the rows stay.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("page", "para_no", "text")))
+    body = paragraphs.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
+    write_texts(body, f"{path}/body", "doc_id", "text")
+    for name, df in (("pages", pages), ("metadata", metadata), ("tables", tables)):
+        write_json(df, f"{path}/{name}", "doc_id")
+
+
+def observed(df: DataFrame, name: str, *counts) -> tuple[DataFrame, Observation]:
+    """The rows, and what a run over them counts, for its report; read it once they are written."""
+    report = Observation(name)
+    return df.observe(report, F.count(F.lit(1)).alias("n_rows"), *counts), report
+
+
 def write_index(index: DataFrame, gallery: DataFrame, path: str) -> bool:
     """An index (html) and a gallery of posters (html): the gallery is written only if it has rows, and else goes. Whether there is one."""
     index.select(F.col("html").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/index")
