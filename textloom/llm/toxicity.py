@@ -34,8 +34,6 @@ stay, but for those with the names of outputs (score, predicted).
 from __future__ import annotations
 
 import re
-from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +42,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import Memo
 from textloom.llm.features import bounded, labelled, platt
+from textloom.llm.mph import mix
 from textloom.llm.shared import Shared
 from textloom.llm.stored import drop, store, store_at
 
@@ -53,6 +51,8 @@ SAMPLE, MIN_TOXIC = 1500, 2
 #: Features in a worker at once, of 16 bytes each; results don't depend on it.
 SHARD_FEATURES = 2_000_000
 PREFIXES = (4, 5, 6, 7)
+#: Tokens that a worker knows at most, and texts that are read together.
+KNOWN, TOGETHER = 300_000, 256
 #: How much stronger words count for more than weaker ones, and units of a weight's share in the sum.
 SHARP, UNITS = 2.0, 1 << 16
 MARKS = ".,;:!?*#$%&|<>()[]{}\"'“”‘’«»¿¡…-_~/\\=+^`"
@@ -60,8 +60,7 @@ MARKS = ".,;:!?*#$%&|<>()[]{}\"'“”‘’«»¿¡…-_~/\\=+^`"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 #: Costs of the channel, as log probabilities: a sign for a letter, a star for one, a sign that is itself, what was put in, a letter that is doubled.
 SIGN, STAR, ITSELF, DROPPED, MARK_DROPPED, DOUBLED = -1.0, -3.5, -4.0, -14.0, -0.5, -3.0
-#: Tokens with more than one path: letters with something else beside them, or with repetitions.
-SEVERAL_PATHS = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|([^\W\d_])\1\1", re.S)
+LETTER, THRICE = re.compile(r"[^\W\d_]").search, re.compile(r"([^\W\d_])\1\1").search
 SPACED = re.compile(r"(?<![^\s.,;:!?])(?:[a-z0-9@$!|][ .\-_*~]){2,}[a-z0-9@$!|](?![^\s.,;:!?])")
 SEPARATORS = " .-_*~"
 CUT = str.maketrans(SEPARATORS, " " * len(SEPARATORS))
@@ -153,7 +152,7 @@ class Restorer:
         # a sign at either end may be a letter (one of them) or a mark
         if len(core) < len(whole) <= len(core) + 1 and core and (whole[0] in LEET or whole[-1] in "$"):
             core = whole
-        if not SEVERAL_PATHS.search(core):
+        if not several_paths(core):
             return [core.strip(MARKS)]
         return [x for x in self.restore(core).strip(MARKS).translate(CUT).split() if x]
 
@@ -162,39 +161,105 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The restored token as one word, and its parts if there are several."""
+        if token.isalpha() and not THRICE(token):
+            return (token,)
         parts = self.parts(token)
         return ("".join(parts), *(parts if len(parts) > 1 else ()))
 
 
+def several_paths(token: str) -> bool:
+    """Letters with something else beside them, or with repetitions."""
+    return bool(THRICE(token) or not token.isalpha() and LETTER(token))
+
+
 def word_features(word: str) -> list[str]:
     return [f"{word}$", *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)] if word else []
 
 
-def key(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass"))
+def word_keys(words: list[str]) -> np.ndarray:
+    """(words, features): the keys of a word and of its prefixes, 0 for prefixes that are longer than it and for no word."""
+    longest = PREFIXES[-1]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.array([w[:longest] for w in words], f"U{longest}").view(np.uint32).reshape(len(words), longest).astype(np.uint64)
+    out = np.zeros((len(words), 1 + len(PREFIXES)), np.uint64)
+    out[:, 0] = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) | np.uint64(1)
+    out[sizes == 0, 0] = 0
+    h = np.zeros(len(words), np.uint64)
+    for k in range(longest):
+        h = mix(h + chars[:, k], k + 1)
+        if k + 1 in PREFIXES:
+            out[:, 1 + PREFIXES.index(k + 1)] = np.where(sizes > k, h | np.uint64(1), np.uint64(0))
+    return out
 
 
-def restored_words(restorer: Restorer, memo: Memo, text: str | None) -> set[str]:
-    low = (text or "").lower()
-    known = memo.young.get
-    return {x for w in set(low.split()) for x in known(w) or memo.fill(w)} | set(restorer.spaced(low))
+def key(feature: str) -> int:
+    """Of one feature, written ``word$`` or ``^prefix``."""
+    return int(word_keys([feature[:-1]])[0, 0] if feature.endswith("$") else word_keys([feature[1:]])[0, 1 + PREFIXES.index(len(feature) - 1)])
+
+
+class KeyTable:
+    """Keys of words by place."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.size, self.rows = 0, np.zeros((1024, 1 + len(PREFIXES)), np.uint64)
+
+    def add(self, words: list[str]) -> range:
+        if not words:
+            return range(0)
+        first, self.size = self.size, self.size + len(words)
+        if self.size > len(self.rows):
+            self.rows = np.concatenate([self.rows[:first], np.zeros((2 * len(words) + first, self.rows.shape[1]), np.uint64)])
+        self.rows[first : self.size] = word_keys(words)
+        return range(first, self.size)
+
+
+class Tokens:
+    """What is known of tokens: of each word they are restored to, a value. Texts are read some at a time, so that values of new words are made together."""
+
+    def __init__(self, restorer: Restorer, values, forget=lambda: None):
+        """values: from a list of words to a list of a value each; forget: called when all known ones go."""
+        self.restorer, self.values, self.forget, self.known = restorer, values, forget, {}
+
+    def learn(self, tokens: set[str]) -> None:
+        if len(self.known) > KNOWN:
+            self.known = {}
+            self.forget()
+        fresh = [t for t in tokens if t not in self.known]
+        own = [self.restorer.words(t) for t in fresh]
+        found = iter(self.values([w for ws in own for w in ws]))
+        self.known.update((t, tuple(v for _ in ws if (v := next(found)) is not None)) for t, ws in zip(fresh, own))
+
+    def read(self, texts: list[str | None]) -> Iterator[list]:
+        """The values of each text's tokens and spaced words."""
+        for at in range(0, len(texts), TOGETHER):
+            low = [(t or "").lower() for t in texts[at : at + TOGETHER]]
+            split = [set(x.split()) for x in low]
+            self.learn(set().union(*split))
+            known = self.known
+            for x, tokens in zip(low, split):
+                found = [v for t in tokens for v in known[t]]
+                spaced = self.restorer.spaced(x)
+                yield found + [v for v in self.values(spaced) if v is not None] if spaced else found
 
 
 def feature_odds(rows: DataFrame, shared: Shared, min_toxic: int) -> tuple[DataFrame, int, int]:
     """(f, share) of all features with log odds above 0, their shares in a text's sum, and documents by class, over all rows (text, label)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = shared.get()
-        memo = Memo(restorer.words, 100_000)
+        table = KeyTable()
+        tokens = Tokens(shared.get(), table.add, table.forget)
         for batch in batches:
-            n: dict[int, list[int]] = {0: [0, 0]}  # key 0: documents
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                toxic = int(y == 1)
-                n[0][toxic] += 1
-                for f in {key(f) for w in restored_words(restorer, memo, t.as_py()) for f in word_features(w)}:
-                    n.setdefault(f, [0, 0])[toxic] += 1
-            counts = np.array(list(n.values()), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(n), np.uint64).view(np.int64)), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], ["f", "n0", "n1"])
+            labels = np.array([int(y == 1) for y in batch.column(1).to_pylist()], np.int64)
+            found: list[list[np.ndarray]] = [[], []]
+            for own, toxic in zip(tokens.read(batch.column(0).to_pylist()), labels):
+                keys = np.unique(np.append(table.rows[own].ravel(), np.uint64(0)))  # key 0: documents
+                found[toxic].append(keys)
+            by_class = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in found]
+            columns = [np.concatenate([k for k, _ in by_class]).view(np.int64), *(np.concatenate([c * (k == y) for k, (_, c) in enumerate(by_class)]) for y in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["f", "n0", "n1"])
 
     found = rows.select("text", "label").mapInArrow(counted, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = store(found.where((F.col("n1") >= min_toxic) | (F.col("f") == 0)))
@@ -216,33 +281,24 @@ def shards(odds: DataFrame, most: int) -> Iterator[tuple[bytes, bytes]]:
 
 class Scorer:
     def __init__(self, counts: np.ndarray, keys: bytes, shares: bytes):
-        self.restorer, self.keys, self.shares = Restorer(counts), array("Q", keys), array("q", shares)
-        self.known = Memo(self.weight, 200_000)
-
-    def of_feature(self, feature: str) -> int:
-        at = bisect_left(self.keys, k := key(feature))
-        return self.shares[at] if at < len(self.keys) and self.keys[at] == k else 0
-
-    def of_word(self, word: str) -> int:
-        return sum(map(self.of_feature, word_features(word)))
-
-    def weight(self, token: str) -> tuple[tuple[str, int], ...]:
-        """The token's words that have a share in a sum, with it."""
-        return tuple((w, share) for w in self.restorer.words(token) if (share := self.of_word(w)))
-
-    def total(self, text: str | None) -> int:
-        """The shares of all distinct words of the text."""
-        low = (text or "").lower()
-        known, fill = self.known.young.get, self.known.fill
-        found = {}
-        for token in set(low.split()):
-            own = known(token)
-            if own is None:
-                own = fill(token)
-            found.update(own)
-        for word in self.restorer.spaced(low):
-            found[word] = self.of_word(word)
-        return sum(found.values())
+        self.keys, self.shares = np.frombuffer(keys, np.uint64), np.frombuffer(shares, np.int64)
+        self.tokens = Tokens(Restorer(counts), self.with_shares)
+
+    def with_shares(self, words: list[str]) -> list[tuple[str, int] | None]:
+        """The words that have a share in a sum, with it."""
+        if not len(self.keys) or not words:
+            return [None] * len(words)
+        keys = word_keys(words)
+        at = np.minimum(np.searchsorted(self.keys, keys.ravel()), len(self.keys) - 1).reshape(keys.shape)
+        total = np.where(self.keys[at] == keys, self.shares[at], 0).sum(axis=1)
+        out: list[tuple[str, int] | None] = [None] * len(words)
+        for i in np.flatnonzero(total).tolist():
+            out[i] = (words[i], int(total[i]))
+        return out
+
+    def totals(self, texts: list[str | None]) -> list[int]:
+        """The shares of all distinct words of each text."""
+        return [sum(dict(own).values()) for own in self.tokens.read(texts)]
 
 
 def margin(total):
@@ -289,7 +345,6 @@ def totals(docs: DataFrame, scorers: list[Shared], text: str) -> DataFrame:
 def total_column(shared: Shared, text: Column) -> Column:
     @F.arrow_udf("bigint")
     def total(texts: pa.Array) -> pa.Array:
-        scorer = shared.get()
-        return pa.array([scorer.total(t.as_py()) for t in texts], pa.int64())
+        return pa.array(shared.get().totals(texts.to_pylist()), pa.int64())
 
     return total(text)
