@@ -101,7 +101,7 @@ def test_many_keys_are_an_automaton(spark):
     mapping = {"abcd": "A", "bcde": "B", "abcd-x1y2": "C", "漢字漢": "D", "x1y2": "E", "cde x1y2": "F", "\\E.*": "G"}
     fix = glossary.Corrections(mapping, {"abc", "abcd x1y2", "漢字漢字"})
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(300)] + ["\\E.* abcd", "", None]
-    got = values(spark, [(t,) for t in texts], "t string", fix.apply(F.col("t")), fix.apply(F.col("t"), pattern_keys=0))
+    got = values(spark, [(t,) for t in texts], "t string", fix.apply_pattern(F.col("t")), fix.apply(F.col("t")))
     assert [a for a, _ in got] == [b for _, b in got] and any(a != t for (a, _), t in zip(got, texts))
 
 

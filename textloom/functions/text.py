@@ -72,11 +72,20 @@ def windows(items: Column, size: int = 25) -> Column:
 # the patterns are fixed values
 def norm_words(text: Column, drop_tags: bool = False) -> Column:
     """Lower-case words of ASCII letters and digits, without bracketed notes (and without tags)."""
+    return nonempty(F.split(F.lower(without_notes(text, drop_tags)), "[^a-z0-9]+"))
+
+
+def spaced_words(text: Column) -> Column:
+    """The same words as a text, with spaces between."""
+    return F.regexp_replace(F.lower(without_notes(text)), "[^a-z0-9]+", " ")
+
+
+def without_notes(text: Column, drop_tags: bool = False) -> Column:
     own = unescape(text)
     out = F.when(F.contains(own, F.lit("[")), F.regexp_replace(own, r"\[[^\]]*\]", " ")).otherwise(own)
     if drop_tags:
         out = F.regexp_replace(out, r"<[^>]+>", " ")
-    return nonempty(F.split(F.lower(out), "[^a-z0-9]+"))
+    return out
 
 
 def word_count(text: Column) -> Column:

@@ -1,8 +1,7 @@
 """Fidelity gates between a source text and its cleaned version.
 
-Words are counted as multisets with map-side combining on (document, word), so
-a common word or a long document adds no more rows than it has distinct words
-in a task.
+Words are counted as multisets within a row that holds both texts, so nothing is
+shuffled by words, however common they are; a row is one document's texts.
 """
 
 from __future__ import annotations
@@ -10,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.automata import shared_words
 from textloom.functions.numerals import numerals
-from textloom.functions.text import found_all, let, norm_words
+from textloom.functions.text import found_all, let, norm_words, spaced_words
 
 # fixed values: the gates
 GATE, ADDED, TOLERANCE = 0.98, 0.05, 0.0
@@ -29,21 +29,12 @@ LATIN_STOP = (
 )
 
 
-def word_counts(df: DataFrame, id_: str, text: str, name: str) -> DataFrame:
-    """(id, word, name): how often each word occurs."""
-    return df.select(id_, F.explode(norm_words(F.col(text))).alias("word")).groupBy(id_, "word").agg(F.count("*").alias(name))
-
-
 def coverage(df: DataFrame, id_: str = "doc_id", source: str = "source", output: str = "output", gate: float = GATE) -> DataFrame:
     """(id, n_source, coverage, added_ratio, ok): the share of source words kept, and words added; 1.0 and 0.0 for no words."""
-    both = df.select(id_, F.explode(F.array(F.struct(F.lit(1).alias("s"), F.col(source).alias("t")), F.struct(F.lit(0).alias("s"), F.col(output).alias("t")))).alias("x"))
-    words = both.select(id_, "x.s", F.explode(norm_words(F.col("x.t"))).alias("word"))
-    n = words.groupBy(id_, "word").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
-    sums = n.groupBy(id_).agg(F.sum("a").alias("n"), F.sum(F.least("a", "b")).alias("kept"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("added"))
-    out = df.select(id_).join(sums, id_, "left")
-    total = F.col("n").cast("double")
-    cov = F.when(total > 0, F.col("kept") / total).otherwise(1.0)
-    return out.select(id_, F.coalesce("n", F.lit(0)).alias("n_source"), cov.alias("coverage"), F.when(total > 0, F.col("added") / total).otherwise(0.0).alias("added_ratio"), (cov >= gate).alias("ok"))
+    out = df.withColumn("__w", shared_words(spaced_words(F.col(source)), spaced_words(F.col(output))))
+    n = F.col("__w.n")
+    cov, added = F.when(n > 0, F.col("__w.kept") / n).otherwise(1.0), F.when(n > 0, F.col("__w.added") / n).otherwise(0.0)
+    return out.select(id_, n.alias("n_source"), cov.alias("coverage"), added.alias("added_ratio"), (cov >= gate).alias("ok"))
 
 
 def window_coverage(windows: DataFrame, output: DataFrame, id_: str = "doc_id", window: str = "window", text: str = "text", out_text: str = "text", gate: float = GATE, margin: int = 150) -> DataFrame:
@@ -51,29 +42,25 @@ def window_coverage(windows: DataFrame, output: DataFrame, id_: str = "doc_id",
 
     A window of source words [a, b) is compared with the output's slice
     [a n / T - m, b n / T + m), m the margin or half the slice if that is more.
-    Each document's output is cut into the slices of all its windows at once;
-    their words and those of the windows are then counted together, so the work
-    grows with the slices, however often a word occurs.
+    Each document's windows and output meet in one row, where the output is cut
+    into the slices of all its windows; nothing is dealt by words.
     """
-    src = windows.select(id_, window, norm_words(F.col(text)).alias("words"))
-    size = F.size("words").cast("long")
+    own = windows.select(id_, window, F.trim(spaced_words(F.col(text))).alias("words")).withColumn("size", F.when(F.col("words") == "", 0).otherwise(F.size(F.split("words", " "))).cast("long"))
     upto = Window.partitionBy(id_).orderBy(window)
-    bounds = src.select(id_, window, size.alias("size"), F.sum(size).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("b"), F.sum(size).over(Window.partitionBy(id_)).alias("total"))
-    bounds = bounds.groupBy(id_).agg(F.max("total").alias("total"), F.collect_list(F.struct(window, (F.col("b") - F.col("size")).alias("a"), "b")).alias("ws"))
+    own = own.withColumn("b", F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = own.groupBy(id_).agg(F.sum("size").alias("total"), F.collect_list(F.struct(window, "words", (F.col("b") - F.col("size")).alias("a"), "b")).alias("ws"))  # one document's windows
     out = output.select(id_, norm_words(F.col(out_text)).alias("out")).withColumn("n", F.size("out").cast("long"))
 
-    def slice_of(w: Column) -> Column:
-        place = lambda at: F.floor(at * F.col("n") / F.greatest("total", F.lit(1)))
+    def with_slice(w: Column) -> Column:
+        place = lambda at: F.floor(at * F.coalesce("n", F.lit(0).cast("long")) / F.greatest("total", F.lit(1)))
         m = F.greatest(F.lit(margin).cast("long"), F.floor((place(w["b"]) - place(w["a"])) / 2))
         lo, hi = F.greatest(place(w["a"]) - m, F.lit(0).cast("long")), F.least(place(w["b"]) + m, F.col("n"))
-        return F.struct(w[window].alias(window), F.slice("out", lo.cast("int") + 1, F.greatest(hi - lo, F.lit(0).cast("long")).cast("int")).alias("words"))
-
-    slices = bounds.join(out, id_).select(id_, F.explode(F.transform("ws", slice_of)).alias("s")).select(id_, f"s.{window}", F.lit(0).alias("src"), "s.words")
-    both = src.select(id_, window, F.lit(1).alias("src"), "words").unionByName(slices).select(id_, window, "src", F.explode("words").alias("word"))
-    counts = both.groupBy(id_, window, "word").agg(F.sum("src").alias("a"), F.sum(1 - F.col("src")).alias("b"))
-    kept = counts.groupBy(id_, window).agg(F.sum(F.least("a", "b")).alias("kept"), F.sum("a").alias("n"))
-    cov = F.coalesce(F.try_divide("kept", "n"), F.lit(1.0))
-    return src.select(id_, window).join(kept, [id_, window], "left").select(id_, window, F.bround(cov, 4).alias("coverage"), (cov >= gate).alias("ok"))
+        return F.struct(w[window].alias(window), w["words"].alias("words"), F.array_join(F.slice("out", lo.cast("int") + 1, F.greatest(hi - lo, F.lit(0).cast("long")).cast("int")), " ").alias("there"))
+
+    cut = listed.join(out, id_, "left").select(id_, F.explode(F.transform("ws", with_slice)).alias("s"))
+    counted = cut.select(id_, f"s.{window}", shared_words(F.col("s.words"), F.col("s.there")).alias("w"))
+    cov = F.when(F.col("w.n") > 0, F.col("w.kept") / F.col("w.n")).otherwise(1.0)
+    return counted.select(id_, window, F.bround(cov, 4).alias("coverage"), (cov >= gate).alias("ok"))
 
 
 def gate_report(whole: DataFrame, by_window: DataFrame, id_: str = "doc_id", window: str = "window", gate: float = GATE) -> DataFrame:

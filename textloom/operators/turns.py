@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.automata import BLOCK_KEYS, blocks, places_in
 from textloom.functions.text import found, nonempty, norm_words, split_sentences, to_seconds, unescape
 
 # fixed values: the header line of a turn
@@ -163,23 +164,21 @@ def phrase_times(stream: DataFrame, turns: DataFrame, id_: str = "doc_id", turn:
     return out.select(F.col("id").alias(id_), F.col("turn").alias(turn), F.expr("nullif(start_sec, double('NaN'))").alias("start_sec"))
 
 
-def first_places(texts: DataFrame, phrases: DataFrame, n: int = 4, id_: str = "doc_id") -> DataFrame:
-    """(id, phrase columns, pos): where the first n words of each phrase first occur in the texts that have them.
+def first_places(texts: DataFrame, phrases: DataFrame, n: int = 4, id_: str = "doc_id", block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """(id, phrase columns, pos): before how many words the first n words of each phrase first occur, in the texts that have them.
 
     texts: (id, words array), phrases: any columns and a words array; shorter
-    ones are in none. An equi-join on two hashes of n words (128 bits), so that
-    texts make numbers of their words, not strings.
+    ones are in none. Each text is read once for each block of phrases.
     """
-
-    def keys(words: Column, i: Column) -> Column:
-        own = [F.get(words, i + k) for k in range(n)]
-        return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(*own[::-1], F.lit(1)).alias("b"))
-
-    asked = phrases.where(F.size("words") >= n).withColumn("__k", keys(F.col("words"), F.lit(0)))
-    grams = texts.where(F.size("words") >= n).select(id_, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: keys(F.col("words"), i))).alias("pos", "__g"))
-    found = grams.join(asked, (F.col("__g.a") == F.col("__k.a")) & (F.col("__g.b") == F.col("__k.b")))
-    kept = [c for c in phrases.columns if c != "words"]
-    return found.groupBy(id_, *kept).agg(F.min("pos").alias("pos"))
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    asked = phrases.where(F.size("words") >= n).withColumn("key", spaced(F.slice("words", 1, n))).drop("words")
+    out = None
+    for keys in blocks(asked.select("key", F.lit("").alias("value")).distinct(), block_keys):
+        own = texts.select(id_, F.explode(places_in(keys)(spaced(F.col("words")))).alias("f")).select(id_, "f.*")
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        out = texts.select(id_, F.lit("").alias("key"), F.lit(0).alias("pos")).where("false")
+    return out.join(asked, "key").drop("key").select(id_, *[c for c in phrases.columns if c != "words"], "pos")
 
 
 def with_stamps(turns: DataFrame, times: DataFrame, id_: str = "doc_id", turn: str = "turn_no") -> DataFrame:
