@@ -34,10 +34,10 @@ from textloom.llm.features import bounded
 from textloom.llm.shared import Shared
 
 #: Bytes of a window of which the labels count, and bytes read on either side of it.
-CORE, MARGIN = 192, 16
+CORE, MARGIN = 240, 12
 #: Labelled documents of each language that are learnt from, spans of each, and bytes of a span.
 SAMPLE, SPANS, SPAN = 300, 16, 64
-EMBED, HIDDEN = 8, 12
+EMBED, HIDDEN = 8, 8
 #: Windows that are labelled at a time; bounds a worker's memory, whatever the texts are.
 TOGETHER = 1024
 LETTER = re.compile(r"[^\W\d_]").search
