@@ -148,10 +148,21 @@ def test_images(spark):
     assert [(r["variant"], r["skip_reason"]) for r in sized] == [("wide", None), ("portrait", "small"), ("banner", None), ("portrait", None)]
 
 
-def test_metadata_strategies(spark):
-    from textloom.plans.pages import meta_strategies
+SNIPPETS = [
+    (1, "https://www.paulgraham.com/x.html", "<title>Essay</title><body>July 2024 and more</body>"),
+    (2, "https://a.b.example.org/2023/04/05/x", "<title> A\n b </title>"),
+    (3, "https://example.org/x", """<meta property="article:published_time" content="2022-01-02T03:04:05Z"><meta content="it's" name="author">"""),
+    (4, "https://example.org/x", """<script type="application/ld+json">{"@graph":[{"dateModified":"2021-05-06"}],"datePublished":"2020-01-01","headline":"T","author":[{"name":"N"}]}</script>"""),
+    (5, "https://example.org/x", "<time datetime='soon'></time><time datetime='20200102'></time>"),
+    (6, "https://example.org/x", "".join(f"<img src='/wp-content/uploads/{m}/a.png'>" for m in ("2019/03", "2019/04", "2019/04", "2019/04"))),
+    (7, "https://www.youtube.com/watch?v=1", "<title>Video</title>"),
+    (8, "https://example.org/x", "<meta name='pubdate' content='2018/07/08'><link rel='canonical' href='https://c.example.org/'>"),
+]
+
 
-    got = {r["id"]: r for r in meta_strategies(spark, "").collect()}
+def test_metadata_strategies(spark):
+    rows = spark.createDataFrame(SNIPPETS, "id int, url string, html string")
+    got = {r["id"]: r["m"] for r in rows.select("id", H.metadata(F.col("html"), F.col("url")).alias("m")).collect()}
     assert [(got[i]["date"], got[i]["source"]) for i in range(1, 9)] == [
         ("2024-07-01", "body:month-year"), ("2023-04-05", "url"), ("2022-01-02", "og:article:published_time"), ("2021-05-06", "jsonld:dateModified"),
         ("2020-01-02", "html5:time"), ("2019-04-01", "wp-uploads"), (None, "youtube_skip"), ("2018-07-08", "meta:pubdate"),
