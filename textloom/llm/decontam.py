@@ -4,13 +4,13 @@ Texts are normalised to words: runs of ASCII letters and digits and of all
 characters beyond ASCII, with A-Z lower-cased. A benchmark item is cut into
 windows of ``width`` consecutive words; an item with fewer words, but not none,
 is one window. All windows go into one Aho-Corasick automaton over the
-normalised text, in which each word of the benchmark is one symbol (a character
-of its own) and all other words are another: a window is a pattern of ``width``
-symbols, whatever its words are. A document is scanned once; a match ends at a
-word, from which offsets are mapped on to code points of the original.
+normalised text, in which each word of the benchmark is written as its number
+and all other words as one character, so patterns are short, whatever their
+words are. A document is scanned once; a match ends at a word, from which
+offsets are mapped on to code points of the original.
 
 The benchmark is a query set given from outside. It is read in blocks of at most
-``block_bytes`` of text (about 100 bytes of automaton for each of them); each
+``block_bytes`` of text (about 250 bytes of automaton for each of them); each
 block is an automaton of its own, broadcast, and scans of up to ``CHAIN`` blocks
 follow one another in one pass over the documents, each adding to what the ones
 before found. A benchmark of more blocks takes a pass for each ``CHAIN`` of them,
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -53,36 +54,35 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TO_WORDS).split(b" ")
 
 
-#: Symbols of words: characters from here on, without the range of surrogates.
-FIRST, HOLE = 0x100, range(0xD800, 0xE000)
+#: A word of the benchmark is written as digits of this base, the first one from an alphabet of its own: no place in the automaton has more ways on.
+BASE, FIRST, LATER = 32, 0x100, 0x80
 OTHER = "\x01"
 
 
-def symbol(number: int) -> str:
-    point = FIRST + number
-    return chr(point if point < HOLE.start else point + len(HOLE))
+def code(number: int, digits: int) -> str:
+    own = [number // BASE**k % BASE for k in range(digits - 1, -1, -1)]
+    return chr(FIRST + own[0]) + "".join(chr(LATER + d) for d in own[1:])
 
 
 class Scanner:
     """The automaton over one block of items, given as (item id, text)."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        self.symbols: dict[bytes, str] = {}
+        listed = [(item, [w for w in words(text) if w]) for item, text in items]
+        known = list(dict.fromkeys(w for _, own in listed for w in own))
+        digits = next(d for d in range(1, 9) if BASE**d >= len(known))
+        self.codes = {w: code(i, digits) for i, w in enumerate(known)}
         held: dict[str, tuple[int, ...]] = {}
-        for item, text in items:
-            own = [w for w in words(text) if w]
-            for w in own:
-                if w not in self.symbols:
-                    self.symbols[w] = symbol(len(self.symbols))
-            coded, alone = "".join([self.symbols[w] for w in own]), (item,)
+        for item, own in listed:
+            coded, alone = "".join([self.codes[w] for w in own]), (item,)
             for i in range(max(1, len(own) - width + 1) if own else 0):
-                window = coded[i : i + width]
+                window = coded[i * digits : (i + width) * digits]
                 before = held.get(window)
                 held[window] = alone if before is None or before == alone else tuple(sorted({*before, item}))
         self.automaton = ahocorasick.Automaton()
         values: dict[tuple, tuple] = {}
         for window, found in held.items():
-            key = (len(window), found)
+            key = (len(window) // digits, found)
             self.automaton.add_word(window, values.setdefault(key, key))
         if held:
             self.automaton.make_automaton()
@@ -94,9 +94,12 @@ class Scanner:
         hits: set[int] = set()
         items: set[int] = set()
         if own and not self.empty:
-            known = self.symbols.get
-            for end, (n, found) in self.automaton.iter("".join([known(w, OTHER) for w in own])):
-                hits.update(range(end - n + 1, end + 1))
+            known = self.codes.get
+            coded = [known(w, OTHER) for w in own]
+            last: dict[int, int] = {}  # of the places where a word's code ends, the word
+            for end, (n, found) in self.automaton.iter("".join(coded)):
+                last = last or {at - 1: i for i, at in enumerate(accumulate(map(len, coded)))}
+                hits.update(range(last[end] - n + 1, last[end] + 1))
                 items.update(found)
         return len(own), hits, items
 
@@ -130,7 +133,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 500_000, found: str = "found"
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 400_000, found: str = "found"
 ) -> DataFrame:
     """Adds ``found``: number of words, places of words hit, items that occur, spans hit in code points of the text."""
     before, path = F.lit(None).cast(FOUND), None
