@@ -60,6 +60,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import HERE, components, stars
 from textloom.llm.mph import mix
+from textloom.llm.shared import clear
 from textloom.llm.stored import release, store
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -70,7 +71,7 @@ BITMAP_SETS, BITMAP_ELEMENTS = 4, 32
 #: Ids that may be broadcast to pick the documents whose sets are verified; beyond, a Bloom filter of ``BLOOM_WORDS`` words is.
 BROADCAST_IDS, BLOOM_WORDS = 2_000_000, 1 << 22
 #: Signatures that a task combines at once.
-COMBINE = 400_000
+COMBINE = 250_000
 #: The cost model: so many other sets share a twentieth of a set's elements with it; a chance match costs as much as an index row.
 PARTNERS, SHARED = 1000.0, 0.05
 
@@ -185,6 +186,7 @@ def _index(docs: DataFrame, n: int, seed: int, bands: Bands, combine: int) -> Da
     """(key, fp): each set's signatures in the scheme of its own band and of the next."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         seen: set[int] = set()  # copies within what is combined
         keys, ids, held = [], [], 0
         for batch in batches:

@@ -6,6 +6,7 @@ import hashlib
 import pickle
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: At most so many made things stay in a worker, those used last. No operator uses more than ``CHAIN`` of them in one pass.
@@ -13,6 +14,12 @@ KEEP, CHAIN = 6, 4
 _made: dict[str, object] = {}
 
 
+def clear() -> None:
+    """Lets go of what other operators made in this worker, for one that needs the room."""
+    _made.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Shared:
     """``Shared(spark, make, *args).get()`` is ``make(*args)`` in any worker; args travel once to each executor.
 
