@@ -31,16 +31,25 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
 def bounded(rows: DataFrame, most: int, label: str = "label", id_: str = "id") -> DataFrame:
     """The ``most`` rows of each label whose ids have the least hashes (all, where there are fewer): never more, however many rows there are.
 
-    Two passes of ids: the first finds the bound of each label, and only rows
-    within it are ranked. Each task ranks its own rows before any are shuffled.
+    Labels are counted, so that about twice as many rows as wanted lie under a
+    bound on the hashes; only these are shuffled and ranked. Where too few do
+    (rows that repeat an id lie all on one side), the bound is raised.
     """
-    ranked = lambda df: df.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__hash"))).where(F.col("__rank") <= most)
-    hashed = rows.withColumn("__hash", F.xxhash64(id_, F.lit(17)))
-    ends = ranked(hashed.select(label, "__hash")).groupBy(label).agg(F.max("__hash").alias("end")).collect()  # a row for each label
-    within = F.lit(False)
-    for end in ends:
-        within = within | (F.col(label).eqNullSafe(F.lit(end[label])) & (F.col("__hash") <= end["end"]))
-    return ranked(hashed.where(within)).drop("__hash", "__rank")
+    hashed = rows.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(id_, F.lit(17)), 1))
+    count = lambda df: {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    wanted = count(hashed)  # a row for each label
+    share, got = {k: min(1.0, 2 * most / n) for k, n in wanted.items()}, {}
+    while True:
+        within = F.lit(False)
+        for k, x in share.items():
+            within = within | (F.col(label).eqNullSafe(F.lit(k)) & (F.col("__hash") <= F.lit(int(x * (2**63 - 1024)) if x < 1 else 2**63 - 1)))
+        got = count(hashed.where(within))
+        few = [k for k, n in wanted.items() if got.get(k, 0) < min(most, n)]
+        if not few:
+            break
+        share |= {k: min(1.0, 4 * share[k]) for k in few}
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("__hash"))
+    return hashed.where(within).withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__hash", "__rank")
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[float, float]:
