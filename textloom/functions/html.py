@@ -262,31 +262,34 @@ def split_reader(html: Column) -> Column:
 
 
 # the patterns are fixed values
-def link_text(inner: Column) -> Column:
-    """Links as [text](href), other tags gone."""
+def link_text(inner: Column, names: tuple[str, ...] | None = None, space: str = r"(?U:\s)") -> Column:
+    """Links as [text](href), other tags gone, and space at both ends; names as in ``unescape``."""
     linked = F.regexp_replace(inner, r'(?s)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)")
-    return F.regexp_replace(unescape(F.regexp_replace(linked, "<[^>]+>", "")), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(unescape(F.regexp_replace(linked, "<[^>]+>", ""), names), rf"^{space}+|{space}+\z", "")
 
 
 def anchor_key(text: Column) -> Column:
     return F.left(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(45))
 
 
-# fixed values: image links, images and text blocks
-EVENT = r'<a\b[^>]*class="[^"]*image-link[^"]*"[^>]*>|<img\b[^>]*>|(?s:<(h[1-6]|p|blockquote|li|figcaption)[^>]*>(.*?)</\1>)'
+# fixed values: image links and images, text blocks
+IMAGE = r'<a\b[^>]*class="[^"]*image-link[^"]*"[^>]*>|<img\b[^>]*>'
+BLOCK = r"(?s:<(h[1-6]|p|blockquote|li|figcaption)[^>]*>(.*?)</\1>)"
 
 
-def events(segment: Column) -> Column:
-    """array<struct<kind, value, raw>> in document order: images (full size before plain) and text blocks."""
+def events(segment: Column, images: bool = True, names: tuple[str, ...] | None = None, space: str = r"(?U:\s)") -> Column:
+    """array<struct<kind, value, raw>> in document order: images (full size before plain) and text blocks.
+
+    Without images, blocks are found within image tags as well; names and space as in ``link_text``."""
     block = r"(?s)^<(h[1-6]|p|blockquote|li|figcaption)[^>]*>(.*)</\1>$"
 
     def read(raw: Column) -> Column:
-        href, src = unescape(found(raw, r'href="([^"]+)"')), unescape(found(raw, r'src="([^"]+)"'))
+        href, src = unescape(found(raw, r'href="([^"]+)"'), names), unescape(found(raw, r'src="([^"]+)"'), names)
         is_link, is_img = raw.rlike(r"^<a\b"), raw.rlike(r"^<img\b")
-        value = F.when(is_link, href).when(is_img, F.when(~src.startswith("data:"), src)).otherwise(F.nullif(link_text(F.regexp_extract(raw, block, 2)), F.lit("")))
+        value = F.when(is_link, href).when(is_img, F.when(~src.startswith("data:"), src)).otherwise(F.nullif(link_text(F.regexp_extract(raw, block, 2), names, space), F.lit("")))
         return F.struct(F.when(is_link | is_img, "img").otherwise("text").alias("kind"), value.alias("value"), raw.alias("raw"))
 
-    return F.filter(F.transform(found_all(segment, EVENT), read), lambda e: e["value"].isNotNull())
+    return F.filter(F.transform(found_all(segment, f"{IMAGE}|{BLOCK}" if images else BLOCK), read), lambda e: e["value"].isNotNull())
 
 
 def content_segment(html: Column, marker: str, most: int = 600_000) -> Column:
