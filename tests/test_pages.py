@@ -12,12 +12,13 @@ PAGES = [
     "　<p> one </p><p>   two \x0b</p>\t<li>\x85</li><li> \n\f</li> ",
     '<img src="x" alt="<p>in a tag</p>"><a class="image-link" href="<h2>too</h2>">&amp</a><p>one <img src="i"> two</p>',
     "<style>a /* <script> */</style> one <script>b</script> two <STYLE>c</Style> three <script>d</style>",
+    "<\u017fcript>e</SCRIPT> four <style>f</\u017ftyle> five",
     "",
     None,
 ]
 
 
-@pytest.mark.parametrize("name", ["html_blocks"])
+@pytest.mark.parametrize("name", ["html_blocks", "html_text"])
 def test_odd_pages(spark, tmp_path, name):
     spark.createDataFrame([(i, html) for i, html in enumerate(PAGES)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()

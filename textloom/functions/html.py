@@ -234,8 +234,11 @@ def metadata(html: Column, url: Column) -> Column:
 
 
 # the patterns are fixed values
-def strip_tags(html: Column) -> Column:
-    return unescape(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]+>", " "))
+def strip_tags(html: Column, names: tuple[str, ...] | None = None, hidden: tuple[str, ...] = ("script|style",)) -> Column:
+    """Text without tags and without hidden elements, one pattern of these after the other; names as in ``unescape``."""
+    for own in hidden:
+        html = F.regexp_replace(html, rf"(?isu)<({own})\b.*?</\1>", " ")
+    return unescape(F.regexp_replace(html, "<[^>]+>", " "), names)
 
 
 def clean(html: Column) -> Column:
