@@ -18,7 +18,7 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["html_blocks", "html_text"])
+@pytest.mark.parametrize("name", ["html_blocks", "html_text", "html_unescape"])
 def test_odd_pages(spark, tmp_path, name):
     spark.createDataFrame([(i, html) for i, html in enumerate(PAGES)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
