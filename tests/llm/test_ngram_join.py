@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import ngram_join
 from textloom.llm.components import components
@@ -90,6 +91,30 @@ def test_shared_passage_makes_no_links(spark):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain(docs, 5, 80, 100)
 
 
+def test_chained_cluster_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Chance matches that chain all sets into one cluster: those that share nothing else don't meet again, and links are found."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(100)]
+    docs += [(200 + i, docs[i][1] + f" end{i}") for i in range(10)]
+    index, groups, dealt = ngram_join._index, ngram_join._groups, []
+
+    def chained(*args):
+        found = index(*args)
+        return found.unionByName(found.select(F.lit(42).cast("long").alias("key"), "fp").distinct())
+
+    def counted(*args):
+        found = groups(*args)
+        dealt.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_index", chained)
+    monkeypatch.setattr(ngram_join, "_groups", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df, block_sets=2).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain(docs, 5, 80, 100)
+    assert max(dealt) < 3 * len(docs), dealt
+
+
 def test_bitmaps_rule_out_no_link():
     rng = np.random.default_rng(2)
     bands = ngram_join.Bands(80, 100)

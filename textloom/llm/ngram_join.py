@@ -22,15 +22,19 @@ which one-deletion neighbours come by subtraction.
 Sets with a common signature are linked to the least of them (within what a task
 holds at once before the shuffle, so that a signature that very many sets share
 is a row for each task), and the components of these candidate links are
-clusters, outside of which no link can be. Large clusters are first split:
-parity bitmaps of the sets (a bit flipped for each element) differ in at most as
-many bits as the sets in elements, so pairs whose bitmaps differ in more than H
-bits are no links, and only components of the other pairs stay together. Within
-clusters all pairs are verified on the whole sets, in groups: small clusters are
-packed together; large ones are dealt by band and blocks, so that each two
-blocks of compatible bands meet in one group of bounded size. A group compares
-by sparse counts, writes no pairs, and returns a spanning forest of the links
-found. Exact copies are one set throughout, so copies cost nothing.
+clusters, outside of which no link can be. Large clusters are first split, as
+chance matches chain ever more sets as a corpus grows: their sets are indexed
+again, and those with a common signature (groups of equal sets of them once) are
+compared by parity bitmaps (a bit flipped for each element). These differ in at
+most as many bits as the sets in elements, so pairs whose bitmaps differ in more
+than H bits are no links, and only components of the other pairs stay together.
+A set that is reached is not compared again in a group, so near copies cost a
+comparison each; a whole cluster is not compared pair by pair for its bitmaps.
+Within clusters all pairs are verified on the whole sets, in groups: small
+clusters are packed together; large ones are dealt by band and blocks, so that
+each two blocks of compatible bands meet in one group of bounded size. A group
+compares by sparse counts, writes no pairs, and returns a spanning forest of the
+links found. Exact copies are one set throughout, so copies cost nothing.
 
 Hashes have 64 bits; that no two sets share a fingerprint is checked with 64
 more bits, and the run repeated with another seed if two do.
@@ -61,7 +65,7 @@ from pyspark.sql import functions as F
 from textloom.llm.components import HERE, components, stars
 from textloom.llm.mph import mix
 from textloom.llm.shared import clear
-from textloom.llm.stored import release, store
+from textloom.llm.stored import drop, release, store, store_at
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A block of a large cluster has about so many elements and sets at most; a pack of small clusters two blocks' worth.
@@ -164,6 +168,11 @@ class Bands:
             keys.append((sums[of] - value + salt[of])[near])
         return mix(np.concatenate(keys), 13)
 
+    def keys(self, elements: np.ndarray) -> np.ndarray:
+        """What the set indexes: its signatures in the scheme of its own band and of the next."""
+        band = self.band(len(elements))
+        return np.concatenate([self.signatures(elements, band), self.signatures(elements, band + 1)])
+
     def linked(self, common, a, b):
         return self.den * common >= self.num * (a + b - common)
 
@@ -195,8 +204,7 @@ def _index(docs: DataFrame, n: int, seed: int, bands: Bands, combine: int) -> Da
                 if not len(s) or (fp := int(np.bitwise_xor.reduce(mix(s, 3)))) in seen:
                     continue
                 seen.add(fp)
-                band = bands.band(len(s))
-                own = np.concatenate([bands.signatures(s, band), bands.signatures(s, band + 1)])
+                own = bands.keys(s)
                 keys.append(own)
                 ids.append(np.full(len(own), fp, np.uint64))
                 held += len(own)
@@ -205,6 +213,7 @@ def _index(docs: DataFrame, n: int, seed: int, bands: Bands, combine: int) -> Da
                     keys, ids, held = [], [], 0
                     seen.clear()
         yield _combined(keys, ids)
+        clear()
 
     return docs.mapInArrow(made, "key long, fp long")
 
@@ -293,14 +302,38 @@ def bitmap(elements: np.ndarray, bands: Bands) -> np.ndarray:
 
 def maybe_within(bands: Bands, fps: np.ndarray, bitmaps: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose bitmaps don't rule out a link."""
+    if len(sizes) == 2:  # most groups are
+        a, b = sorted(bitmaps, key=len)
+        apart = int.from_bytes(a.tobytes()) ^ int.from_bytes(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0).tobytes())
+        near = apart.bit_count() <= bands.most_apart(*sizes.tolist()) and (sides[0] != sides[1] or sides[0] == 0)
+        return [(int(fps[0]), int(fps[1]))] if near else []
     words = min(map(len, bitmaps))
     flat = np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in bitmaps])
-    near = np.zeros((len(sizes), len(sizes)), bool)
-    for i in range(len(sizes)):
-        apart = np.bitwise_count(flat ^ flat[i]).sum(axis=1)
-        near[i] = (apart <= bands.most_apart(sizes, sizes[i])) & ((sides != sides[i]) | (sides[i] == 0))
-    np.fill_diagonal(near, False)
-    return [(int(fps[i]), int(fps[j])) for i, j in spanning(near)]
+    left, edges = np.ones(len(sizes), bool), []
+    for root in range(len(sizes)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            others = np.flatnonzero(left & (sides != sides[at]) if sides[at] else left)
+            if len(others):
+                apart = np.bitwise_count(flat[others] ^ flat[at]).sum(axis=1)
+                new = others[apart <= bands.most_apart(sizes[others], sizes[at])]
+                left[new] = False
+                edges += [(int(fps[at]), int(fps[x])) for x in new]
+                todo += new.tolist()
+    return edges
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(cluster, fp) of signatures (key, fp): the sets that have a signature in common, equal groups once. Groups are known by 64 bits; two that share them are one larger group."""
+    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
+    once = rows.withColumn("before", before).where("before is null or before <> fp")  # a row may repeat
+    of_key = Window.partitionBy("key")
+    several = once.select("fp", F.count("*").over(of_key).alias("sets"), F.bit_xor(F.xxhash64("fp")).over(of_key).alias("cluster")).where("sets > 1")
+    return several.select("cluster", "fp").distinct()
 
 
 def _groups(clusters: DataFrame, bands: Bands, block_elements: int, block_sets: int) -> DataFrame:
@@ -351,8 +384,8 @@ def _spots(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return ((dealt >> np.uint64(32)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (dealt & np.uint64(63))
 
 
-def _sets(docs: DataFrame, involved: DataFrame, n: int, seed: int, made_of, broadcast_ids: int, bloom_words: int) -> DataFrame:
-    """(f, elements): what ``made_of`` makes of each set that is involved. Texts stay where they are; what is made goes on."""
+def _sets(docs: DataFrame, involved: DataFrame, n: int, seed: int, made_of, broadcast_ids: int, bloom_words: int, combine: int | None = None) -> DataFrame:
+    """(f, elements): what ``made_of`` makes of each set that is involved; with combine (key, fp), a row for each of it. Texts stay where they are; what is made goes on."""
     ids = involved.select(F.col("rep").alias("r"), F.col("fp").alias("f"))
     filtered = None
     if involved.count() <= broadcast_ids:
@@ -362,6 +395,7 @@ def _sets(docs: DataFrame, involved: DataFrame, n: int, seed: int, made_of, broa
         docs = docs.where("doc_id is not null").select("doc_id", "text", F.lit(None).cast("long").alias("f"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
         for batch in batches:
             here = range(len(batch))
             if filtered is not None:
@@ -371,12 +405,26 @@ def _sets(docs: DataFrame, involved: DataFrame, n: int, seed: int, made_of, broa
             for i in here:
                 s = ngrams(batch.column(1)[i].as_py(), n, seed)
                 fp = int(np.bitwise_xor.reduce(mix(s, 3)).view(np.int64)) if len(s) else None
-                if fp is not None and batch.column(2)[i].as_py() in (None, fp):  # of rows with one id, the one meant
+                if fp is None or batch.column(2)[i].as_py() not in (None, fp):  # of rows with one id, the one meant
+                    continue
+                own = made_of(s)
+                if combine is None:
                     fps.append(fp)
-                    out.append(made_of(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(out, pa.binary())], ["f", "elements"])
+                    out.append(own.tobytes())
+                    continue
+                keys.append(own)
+                ids.append(np.full(len(own), fp, np.int64))
+                held += len(own)
+                if held > combine:
+                    yield _two(keys, ids)
+                    keys, ids, held = [], [], 0
+            if combine is None:
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(out, pa.binary())], ["f", "elements"])
+        if combine is not None:
+            yield _two(keys, ids)
+        clear()
 
-    return docs.mapInArrow(made, "f long, elements binary")
+    return docs.mapInArrow(made, "f long, elements binary" if combine is None else "key long, fp long")
 
 
 def _compared(sets: DataFrame, involved: DataFrame, bands: Bands, limits: tuple[int, int], within) -> DataFrame:
@@ -391,7 +439,7 @@ def _compared(sets: DataFrame, involved: DataFrame, bands: Bands, limits: tuple[
         found: list[tuple[int, int]] = []
         ends = np.flatnonzero(np.diff(sub)) + 1
         for lo, hi in zip([0, *ends], [*ends, len(sub)]):
-            once = lo + np.unique(fps[lo:hi], return_index=True)[1]  # rows may repeat
+            once = np.arange(lo, hi) if hi == lo + 2 and fps[lo] != fps[lo + 1] else lo + np.unique(fps[lo:hi], return_index=True)[1]  # rows may repeat
             if len(once) > 1:
                 found += within(bands, fps[once], [made[i] for i in once], sizes[once], side[once])
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
@@ -399,17 +447,21 @@ def _compared(sets: DataFrame, involved: DataFrame, bands: Bands, limits: tuple[
     return rows.groupBy("grp").applyInArrow(compare, "u long, v long")
 
 
-def _links(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int, seed: int, bands: Bands, limits: tuple[int, int], broadcast_ids: int, bloom_words: int, here: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int, seed: int, bands: Bands, limits: tuple[int, int], broadcast_ids: int, bloom_words: int, combine: int, here: int) -> DataFrame:
     """(u, v): links between sets, a spanning forest for each group. members: (fp, n, rep) of all sets."""
     involved = store(clusters.join(members, clusters["node"] == members["fp"]).select("fp", "n", "rep", F.col("component").alias("cluster")))
-    made = lambda rows, of: _sets(docs, rows, n, seed, of, broadcast_ids, bloom_words)
+    made = lambda rows, of, *many: _sets(docs, rows, n, seed, of, broadcast_ids, bloom_words, *many)
     whole = involved.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
     large = store(whole.where((F.col("elements") > limits[0]) | (F.col("sets") > limits[1])).select(F.col("cluster").alias("large")))
     if not large.isEmpty():
         on = F.col("cluster") == F.col("large")
         split = involved.join(large, on, "left_semi")
-        maybe = _compared(made(split, lambda s: bitmap(s, bands)), split, bands, (limits[0] * BITMAP_ELEMENTS, limits[1] * BITMAP_SETS), maybe_within)
-        parts = components(store(maybe), here)
+        sized = split.select(F.col("fp").alias("s"), "n")
+        meeting, path = store_at(_meeting(made(split, bands.keys, combine)).join(sized, F.col("fp") == F.col("s")).select("fp", "n", "cluster"))
+        release(docs.sparkSession)  # the signatures again
+        maybe = store(_compared(made(split, lambda s: bitmap(s, bands)), meeting, bands, (limits[0] * BITMAP_ELEMENTS, limits[1] * BITMAP_SETS), maybe_within))
+        drop(docs.sparkSession, path)
+        parts = components(maybe, here)
         again = split.drop("cluster").join(parts, F.col("fp") == F.col("node")).select("fp", "n", "rep", F.col("component").alias("cluster"))
         involved = store(involved.join(large, on, "left_anti").select("fp", "n", "rep", "cluster").unionByName(again))
     return _compared(made(involved, lambda s: s), involved, bands, limits, links_within)
@@ -438,7 +490,7 @@ def near_duplicates(
     candidates = store(candidates)
     release(docs.sparkSession)  # the signatures are the largest thing shuffled here, and done with
     clusters = components(candidates, here)
-    links = components(store(_links(docs, sets, clusters, n, seed, bands, (block_elements, block_sets), broadcast_ids, bloom_words, here)), here)
+    links = components(store(_links(docs, sets, clusters, n, seed, bands, (block_elements, block_sets), broadcast_ids, bloom_words, combine, here)), here)
     # a document whose sets differ (several rows of one id) joins their components as well
     own = marked.where("fp is not null and doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b")
     if not own.isEmpty():

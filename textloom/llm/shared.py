@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import pickle
 from collections.abc import Callable
@@ -18,6 +19,8 @@ def clear() -> None:
     """Lets go of what other operators made in this worker, for one that needs the room."""
     _made.clear()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed
+        trim(0)
 
 
 class Shared:
