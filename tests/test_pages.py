@@ -1,5 +1,9 @@
 """Queries over pages against their SQL, on pages that the tables don't hold or hold rarely."""
 
+import hashlib
+import html
+from html.entities import html5
+
 import duckdb
 import pytest
 from compare import rows, sql_rows
@@ -24,3 +28,16 @@ def test_odd_pages(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert rows(catalog.queries()[name](spark, str(tmp_path))) == sql_rows(con, catalog.oracle_sql()[name])
+
+
+def test_html_unescape_decodes_all_references(spark, tmp_path):
+    """As the standard library does, in the query and in its SQL."""
+    numbers = [0, 9, 13, 31, 65, 127, 128, 159, 160, 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFDEF, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFF, 0x110000, 10**30]
+    cases = [*PAGES, *(f"a&{n}b" for n in html5), *(f"&#{n};&#x{n:X}&#X000{n:x};&#0{n} " for n in numbers), "&#;&#x;&;& &nosuch; &notit &AMPx &amp;lt; &&lt;&gt"]
+    spark.createDataFrame(list(enumerate(cases)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    texts = [None if c is None else html.unescape(c) for c in cases]
+    want = [(i, None, None) if t is None else (i, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)]
+    assert [tuple(r) for r in catalog.queries()["html_unescape"](spark, str(tmp_path)).orderBy("page_id").collect()] == want
+    assert sorted(con.sql(catalog.oracle_sql()["html_unescape"]).fetchall()) == want
